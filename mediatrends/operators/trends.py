@@ -60,25 +60,16 @@ def medoid_queries(members: DataFrame, keys: list[str] = ("cluster_id",)) -> Dat
     )
 
 
-def cluster_trends(
-    history: DataFrame,
+def score_clusters(
+    activity: DataFrame,
     labels: DataFrame,
     as_of: Column | datetime,
     min_cluster_size: int = MIN_CLUSTER_SIZE,
     volume_weight: float = VOLUME_WEIGHT,
     recency_weight: float = RECENCY_WEIGHT,
-    decay_minutes: float = RECENCY_DECAY_MINUTES,
     top_n: int = TOP_N_TRENDS,
-    representatives: bool = True,
 ) -> DataFrame:
-    """Score the clusters of a history and keep the best.
-
-    ``history`` has ``id``, ``query`` (normalised) and ``created_at``; ``labels`` gives
-    ``query``, ``cluster_id`` and ``embedding`` of each distinct text. Clusters under
-    ``min_cluster_size`` rows and noise are left out; equal scores keep the order in which
-    clusters first occur in the history.
-    """
-    activity = query_activity(history, as_of, decay_minutes)
+    """``cluster_trends`` for a history that is already summed per text (``query_activity``)."""
     members = activity.join(labels.filter("cluster_id >= 0"), "query")
     per_cluster = members.groupBy("cluster_id").agg(
         F.sum("n").alias("query_count"),
@@ -93,13 +84,33 @@ def cluster_trends(
         .orderBy(F.desc("trend_score"), F.asc("first_row"))
         .limit(top_n)
     )
+    # the kept clusters are at most top_n rows
     kept = members.join(F.broadcast(ranked.select("cluster_id")), "cluster_id")
-    result = ranked.join(top_queries(kept.drop("embedding")), "cluster_id")
-    columns = ["cluster_id", "trend_score", "query_count", "unique_query_count", "top_queries"]
-    if representatives:
-        result = result.join(medoid_queries(kept), "cluster_id")
-        columns.insert(1, "representative_query")
-    return result.select(*columns, timestamp(as_of).alias("created_at"))
+    return (
+        ranked.join(top_queries(kept.drop("embedding")), "cluster_id")
+        .join(medoid_queries(kept), "cluster_id")
+        .select(
+            "cluster_id", "representative_query", "trend_score", "query_count", "unique_query_count", "top_queries",
+            timestamp(as_of).alias("created_at"),
+        )
+    )
+
+
+def cluster_trends(
+    history: DataFrame,
+    labels: DataFrame,
+    as_of: Column | datetime,
+    decay_minutes: float = RECENCY_DECAY_MINUTES,
+    **options,
+) -> DataFrame:
+    """Score the clusters of a history and keep the best.
+
+    ``history`` has ``id``, ``query`` (normalised) and ``created_at``; ``labels`` gives
+    ``query``, ``cluster_id`` and ``embedding`` of each distinct text. Clusters under
+    ``min_cluster_size`` rows and noise are left out; equal scores keep the order in which
+    clusters first occur in the history. Other options are those of ``score_clusters``.
+    """
+    return score_clusters(query_activity(history, as_of, decay_minutes), labels, as_of, **options)
 
 
 def max_batch(trends: DataFrame) -> DataFrame:
