@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window  # noqa: E402
+from pyspark.sql import Column, DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from mediatrends.functions import providers, scoring, text, vectors  # noqa: E402
@@ -88,8 +88,7 @@ def as_of(spark: SparkSession, sf: str) -> Column:
 
 def query_vectors(spark: SparkSession, sf: str) -> DataFrame:
     texts = history.distinct_queries(normalized_history(spark, sf))
-    # one row per distinct product phrase
-    ranked = texts.withColumn("vec_id", (F.row_number().over(Window.orderBy("query")) - 1).cast("bigint"))
+    ranked = with_row_number(texts, [F.col("query")], "vec_id")
     return ranked.join(table(spark, sf, "embeddings"), "vec_id").select("query", "embedding")
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from mediatrends.functions.vectors import check_metric
 from mediatrends.operators.blocks import BlockPairs, Side, block_pairs, distance_steps
 from mediatrends.operators.components import connected_components
-from mediatrends.session import materialize, with_row_number, with_row_order
+from mediatrends.session import materialize, scratch_scope, with_row_number, with_row_order
 
 # Radius and density of the trend clusters, and the label of noise.
 DEFAULT_EPS = 0.418182
@@ -242,13 +242,15 @@ def dbscan(
     gives the labels of clustering all copies.
     """
     check_metric(metric)
-    rows = dbscan_points(points, id_col, vector_col, weight_col, order_by)
-    blocks = block_pairs(rows.drop("id"), metric, eps, n_blocks=n_blocks, prune=prune)
-    found = materialize(density_clusters(blocks, metric, [eps], [min_samples]), "clusters")
-    numbers = with_row_number(found.select("root").distinct(), [F.col("root")], "label")
-    labels = found.join(numbers, "root").select("row", "label", "is_core")
-    return rows.join(labels, "row", "left").select(
-        "id",
-        F.coalesce("label", F.lit(NOISE).cast("long")).alias("label"),
-        F.coalesce("is_core", F.lit(False)).alias("is_core"),
-    )
+    with scratch_scope(points.sparkSession) as scope:
+        rows = dbscan_points(points, id_col, vector_col, weight_col, order_by)
+        blocks = block_pairs(rows.drop("id"), metric, eps, n_blocks=n_blocks, prune=prune)
+        found = materialize(density_clusters(blocks, metric, [eps], [min_samples]), "clusters")
+        numbers = with_row_number(found.select("root").distinct(), [F.col("root")], "label")
+        labels = found.join(numbers, "root").select("row", "label", "is_core")
+        labelled = rows.join(labels, "row", "left").select(
+            "id",
+            F.coalesce("label", F.lit(NOISE).cast("long")).alias("label"),
+            F.coalesce("is_core", F.lit(False)).alias("is_core"),
+        )
+        return scope.keep(materialize(labelled, "labels"))

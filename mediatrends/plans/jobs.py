@@ -20,7 +20,7 @@ from mediatrends.operators.ivf import ivf_search
 from mediatrends.operators.popularity import DEFAULT_LIMIT, popular_videos, video_stats
 from mediatrends.operators.search import DEFAULT_K, attach_segments, group_segments, knn_join
 from mediatrends.operators.trends import MIN_CLUSTER_SIZE, TOP_N_TRENDS, score_clusters, top_n_per_group
-from mediatrends.session import materialize, with_row_number
+from mediatrends.session import materialize, scratch_scope, with_row_number
 from mediatrends.schemas import VIDEO_HITS
 from mediatrends.sources import readers, writers
 
@@ -64,34 +64,34 @@ def search_job(
     """
     checked = queries.withColumn("error", query_error(F.col("query"), F.col("chat_id").cast("string")))
     texts = checked.filter("error IS NULL").select("query").distinct()
-    embedded = materialize(embed_distinct(texts, "query", embed_fn, how="inner", **embed_options), "searches")
-    vectors = embedded.select(F.col("query").alias("query_id"), "embedding")
-    if index is None:
-        hits = knn_join(vectors, segments, k, metric, rank_by)
-    else:
-        hits = ivf_search(vectors, segments, index, k, probes, metric, rank_by)
-    videos = group_segments(attach_segments(hits, segments), ["query_id"])
-    # at most k segments per text
-    item = F.struct("best_rank", F.col("video_id").cast("string").alias("video_id"), "segments")
-    results = videos.groupBy(F.col("query_id").alias("_query")).agg(
-        F.transform(F.sort_array(F.collect_list(item)), lambda v: v.dropFields("best_rank")).alias("results")
-    )
-    known = embedded.select(F.col("query").alias("_query"), F.lit(True).alias("_embedded"))
-    error = F.coalesce("error", F.when(F.col("_embedded").isNull(), EMPTY_EMBEDDING))
-    answered = (
-        checked.withColumn("_query", F.when(F.col("error").isNull(), F.col("query")))
-        .join(known, "_query", "left")
-        .join(results, "_query", "left")
-        .withColumn("error", error)
-        .withColumn("status", F.when(F.col("error").isNull(), SUCCESS).otherwise(ERROR))
-        .withColumn("results", F.coalesce("results", F.array().cast(f"array<{VIDEO_HITS.simpleString()}>")))
-        .withColumn("created_at", F.lit(created_at or datetime.now(timezone.utc)).cast("timestamp"))
-        .drop("_query", "_embedded")
-    )
-    if history_path is None:
-        return answered
-    answered = materialize(answered, "answers")
-    writers.append_history(answered, history_path)
+    with scratch_scope(queries.sparkSession) as scope:
+        embedded = materialize(embed_distinct(texts, "query", embed_fn, how="inner", **embed_options), "searches")
+        vectors = embedded.select(F.col("query").alias("query_id"), "embedding")
+        if index is None:
+            hits = knn_join(vectors, segments, k, metric, rank_by)
+        else:
+            hits = ivf_search(vectors, segments, index, k, probes, metric, rank_by)
+        videos = group_segments(attach_segments(hits, segments), ["query_id"])
+        # at most k segments per text
+        item = F.struct("best_rank", F.col("video_id").cast("string").alias("video_id"), "segments")
+        results = videos.groupBy(F.col("query_id").alias("_query")).agg(
+            F.transform(F.sort_array(F.collect_list(item)), lambda v: v.dropFields("best_rank")).alias("results")
+        )
+        known = embedded.select(F.col("query").alias("_query"), F.lit(True).alias("_embedded"))
+        error = F.coalesce("error", F.when(F.col("_embedded").isNull(), EMPTY_EMBEDDING))
+        answered = (
+            checked.withColumn("_query", F.when(F.col("error").isNull(), F.col("query")))
+            .join(known, "_query", "left")
+            .join(results, "_query", "left")
+            .withColumn("error", error)
+            .withColumn("status", F.when(F.col("error").isNull(), SUCCESS).otherwise(ERROR))
+            .withColumn("results", F.coalesce("results", F.array().cast(f"array<{VIDEO_HITS.simpleString()}>")))
+            .withColumn("created_at", F.lit(created_at or datetime.now(timezone.utc)).cast("timestamp"))
+            .drop("_query", "_embedded")
+        )
+        answered = scope.keep(materialize(answered, "answers"))
+    if history_path is not None:
+        writers.append_history(answered, history_path)
     return answered
 
 
@@ -121,14 +121,13 @@ def label_queries(
 
     Clusters texts weighted by their rows, which gives the labels of clustering all rows.
     """
-    texts = activity.select("query", "n", "first_row")
-    embedded = materialize(embed_distinct(texts, "query", embed_fn, how="inner", **embed_options), "texts")
-    labels = dbscan(
-        embedded, eps, min_samples, metric, id_col="query", weight_col="n", order_by=[F.col("first_row")]
-    )
-    return embedded.select("query", "embedding").join(
-        labels.select(F.col("id").alias("query"), F.col("label").alias("cluster_id")), "query"
-    )
+    with scratch_scope(activity.sparkSession) as scope:
+        texts = activity.select("query", "n", "first_row")
+        embedded = materialize(embed_distinct(texts, "query", embed_fn, how="inner", **embed_options), "texts")
+        labels = dbscan(
+            embedded, eps, min_samples, metric, id_col="query", weight_col="n", order_by=[F.col("first_row")]
+        ).select(F.col("id").alias("query"), F.col("label").alias("cluster_id"))
+        return scope.keep(materialize(embedded.select("query", "embedding").join(labels, "query"), "labels"))
 
 
 def trend_job(
@@ -150,19 +149,20 @@ def trend_job(
 
     The history is scanned once and summed per text; all later steps work on texts.
     """
-    rows = normalized(read_history(history, as_of, interval_minutes, max_rows))
-    activity = materialize(query_activity(rows, as_of), "activity")
-    total = activity.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    if total < min_cluster_size:
-        return TrendResult(None, 0, total, message=TOO_FEW_ROWS)
-    labels = materialize(label_queries(activity, embed_fn, eps, min_samples, **embed_options), "labels")
-    if labels.filter(F.col("cluster_id") != NOISE).isEmpty():
-        return TrendResult(None, 0, total, message=NO_CLUSTERS)
-    ranked = score_clusters(activity, labels, as_of, min_cluster_size, top_n=top_n)
-    trends = materialize(phrase_for_cluster(ranked, phrase_fn), "trends").orderBy(F.desc("trend_score"), "cluster_id")
+    with scratch_scope(history.sparkSession) as scope:
+        rows = normalized(read_history(history, as_of, interval_minutes, max_rows))
+        activity = materialize(query_activity(rows, as_of), "activity")
+        total = activity.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+        if total < min_cluster_size:
+            return TrendResult(None, 0, total, message=TOO_FEW_ROWS)
+        labels = label_queries(activity, embed_fn, eps, min_samples, **embed_options)
+        if labels.filter(F.col("cluster_id") != NOISE).isEmpty():
+            return TrendResult(None, 0, total, message=NO_CLUSTERS)
+        ranked = score_clusters(activity, labels, as_of, min_cluster_size, top_n=top_n)
+        trends = scope.keep(materialize(phrase_for_cluster(ranked, phrase_fn), "trends"))
     if trends_path is not None:
         writers.persist_trends(trends, trends_path, batch_timestamp or as_of)
-    return TrendResult(trends, trends.count(), total)
+    return TrendResult(trends.orderBy(F.desc("trend_score"), "cluster_id"), trends.count(), total)
 
 
 @dataclass
@@ -193,21 +193,21 @@ def full_history_clusters(
     With ``out_path``, writes ``clusters``, ``queries`` and ``embeddings`` as JSON lines.
     """
     rows = normalized(read_history(history, max_rows=max_rows))
-    numbered = with_row_number(rows, newest_first(), "row_id")
-    activity = numbered.groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("first_row"))
-    labels = materialize(label_queries(activity, embed_fn, eps, min_samples, **embed_options), "labels")
-    found = labels.filter(F.col("cluster_id") != NOISE)
-    labelled = numbered.join(labels.select("query"), "query", "left_semi").join(
-        found.select("query", "cluster_id"), "query", "left"
-    )
+    with scratch_scope(history.sparkSession) as scope:
+        numbered = with_row_number(rows, newest_first(), "row_id")
+        activity = numbered.groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("first_row"))
+        labels = scope.keep(label_queries(activity, embed_fn, eps, min_samples, **embed_options))
+        cluster = F.when(F.col("cluster_id") != NOISE, F.col("cluster_id")).alias("cluster_id")
+        labelled = numbered.join(labels.select("query", cluster), "query")
+        labelled = scope.keep(materialize(labelled.select("row_id", "query", "original_query", "cluster_id"), "rows"))
+    embeddings = labels.select("query", "embedding")
     members = labelled.filter("cluster_id IS NOT NULL").select("cluster_id", "row_id", "query")
     samples = top_n_per_group(members, ["cluster_id"], [F.col("row_id")], sample_rows)
     if out_path is not None:
         writers.export_clusters_json(members, f"{out_path}/clusters")
         labelled.select("row_id", "query", "original_query").write.mode("overwrite").json(f"{out_path}/queries")
-        labels.select("query", "embedding").write.mode("overwrite").json(f"{out_path}/embeddings")
-    columns = ["row_id", "query", "original_query", "cluster_id"]
-    return HistoryClusters(labelled.select(*columns), labels.select("query", "embedding"), samples)
+        embeddings.write.mode("overwrite").json(f"{out_path}/embeddings")
+    return HistoryClusters(labelled, embeddings, samples)
 
 
 # --- popularity --------------------------------------------------------------------
@@ -229,7 +229,7 @@ def popularity_job(
     stats = video_stats(*[tables[n] for n in names], mode=mode, null_aware=null_aware)
     if stats_path is not None:
         writers.overwrite_stats(stats, stats_path)
-        stats = readers.read_stats(stats.sparkSession, stats_path)
+        stats = writers.read_stats(stats.sparkSession, stats_path)
     return stats, popular_videos(stats, limit)
 
 

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +56,49 @@ def scratch_root(spark: SparkSession) -> str:
     return _local_scratch[app].name
 
 
+@dataclass
+class Scratch:
+    """Scratch tables made inside a ``scratch_scope``."""
+
+    paths: list[str] = field(default_factory=list)
+    kept: list[str] = field(default_factory=list)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Hand a scratch table on to the caller of the scope."""
+        self.kept.append(df.scratch_path)
+        return df
+
+
+class _Scopes(threading.local):
+    """Open scopes of a thread; a streaming batch runs in a thread of its own."""
+
+    def __init__(self) -> None:
+        self.open: list[Scratch] = []
+
+
+_scopes = _Scopes()
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[Scratch]:
+    """Delete the scratch tables made inside, except those kept, when the block ends.
+
+    Kept tables belong to the enclosing scope, if there is one. Operators that loop or
+    that read a table several times use a scope, so a run leaves only its result behind.
+    """
+    scope = Scratch()
+    _scopes.open.append(scope)
+    try:
+        yield scope
+    finally:
+        _scopes.open.pop()
+        if _scopes.open:
+            _scopes.open[-1].paths += scope.kept
+        for path in scope.paths:
+            if path not in scope.kept:
+                _delete(spark, path)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared scratch folder and return the table as read back.
 
@@ -61,18 +108,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/mediatrends/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _scopes.open:
+        _scopes.open[-1].paths.append(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a scratch table that no later step reads."""
-    spark = df.sparkSession
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    root = f"{scratch_root(spark)}/mediatrends/"
-    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles() if root in f}
-    for folder in folders:
-        path = hadoop.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a scratch table that no later step reads."""
+    _delete(table.sparkSession, table.scratch_path)
 
 
 def with_row_order(df: DataFrame, order_by: list[Column], name: str = "row_order") -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from pathlib import PurePosixPath
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import NullType, StringType, StructType
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 from mediatrends import schemas
 from mediatrends.functions.text import file_name
@@ -27,7 +28,10 @@ def list_files(spark: SparkSession, paths: str | list[str], suffix: str = "") ->
 
 
 def list_media(spark: SparkSession, folder: str) -> DataFrame:
-    """``path`` and ``size`` of the media files in a folder."""
+    """``path`` and ``size`` of the media files in a folder.
+
+    Spark's file sources skip files of zero bytes, so these do not appear at all.
+    """
     return list_files(spark, folder).withColumnRenamed("length", "size")
 
 
@@ -35,7 +39,7 @@ def _groups(spark: SparkSession, files: list[str]) -> list[tuple[StructType, lis
     """Files grouped so that each group's schemas merge; a group that does not is halved."""
     try:
         return [(spark.read.option("mergeSchema", "true").parquet(*files).schema, files)]
-    except PySparkException as error:
+    except (PySparkException, Py4JJavaError) as error:
         if len(files) == 1:
             if "UNABLE_TO_INFER_SCHEMA" in str(error):
                 return []
@@ -68,7 +72,8 @@ def _optional(df: DataFrame, name: str, kind: str) -> Column:
 
 
 def _vector(df: DataFrame, name: str, dim: int | None) -> DataFrame:
-    if name not in df.columns or isinstance(df.schema[name].dataType, NullType):
+    # a column that is NULL in all rows of a file is stored as a number
+    if name not in df.columns or not isinstance(df.schema[name].dataType, ArrayType):
         df = df.withColumn(name, F.lit(None).cast("array<float>"))
     df = unnest_vector(df, name)
     return df if dim is None else df.withColumn(name, check_dim(F.col(name), dim))
@@ -94,10 +99,10 @@ def read_segments(spark: SparkSession, paths: str | list[str], dim: int | None =
 
 def metadata_json(df: DataFrame, name: str = "video_metadata") -> Column:
     """Metadata as JSON text; missing metadata is the JSON text ``null``."""
-    if name not in df.columns or isinstance(df.schema[name].dataType, NullType):
+    if name not in df.columns:
         return F.lit("null")
-    text = F.col(name) if isinstance(df.schema[name].dataType, StringType) else F.to_json(name)
-    return F.coalesce(text, F.lit("null"))
+    nested = isinstance(df.schema[name].dataType, (ArrayType, MapType, StructType))
+    return F.coalesce(F.to_json(name) if nested else F.col(name).cast("string"), F.lit("null"))
 
 
 def read_videos(spark: SparkSession, paths: str | list[str], dim: int | None = None, keep: Column | None = None) -> DataFrame:

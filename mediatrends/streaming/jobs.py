@@ -108,7 +108,7 @@ def stream_stats(
 def streamed_stats(videos: DataFrame, reports: DataFrame, state_path: str, null_aware: bool = True) -> DataFrame:
     """The statistics of all interactions a ``stream_stats`` query has taken in so far."""
     spark = videos.sparkSession
-    counts = existing(spark, f"{state_path}/counts", COUNTS)
+    counts = existing(spark, f"{state_path}/counts", COUNTS).select("video_id", "kind", "n")
     posts = existing(spark, f"{state_path}/posts", POST_COUNTS).groupBy("share_id").agg(F.sum("n").alias("n"))
     shares = existing(spark, f"{state_path}/shares", SHARE_VIDEOS)
     resolved = posts.join(shares, "share_id").select("video_id", F.lit("post").alias("kind"), "n")
