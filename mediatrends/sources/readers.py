@@ -35,8 +35,16 @@ def list_media(spark: SparkSession, folder: str) -> DataFrame:
     return list_files(spark, folder).withColumnRenamed("length", "size")
 
 
-def _groups(spark: SparkSession, files: list[str]) -> list[tuple[StructType, list[str]]]:
+Group = tuple[StructType, list[str]]
+
+# A file with vectors is larger than this; only smaller ones can lack columns.
+SMALL_FILE_BYTES = 4096
+
+
+def _groups(spark: SparkSession, files: list[str]) -> list[Group]:
     """Files grouped so that each group's schemas merge; a group that does not is halved."""
+    if not files:
+        return []
     try:
         return [(spark.read.option("mergeSchema", "true").parquet(*files).schema, files)]
     except (PySparkException, Py4JJavaError) as error:
@@ -48,21 +56,36 @@ def _groups(spark: SparkSession, files: list[str]) -> list[tuple[StructType, lis
         return _groups(spark, files[:middle]) + _groups(spark, files[middle:])
 
 
-def _read_drifting(spark: SparkSession, files: list[str], shape: Callable[[DataFrame], DataFrame], schema: StructType) -> DataFrame:
-    """Read files whose column types differ, one scan per distinct set of types."""
-    merged: dict[str, tuple[StructType, list[str]]] = {}
-    for found, members in _groups(spark, files) if files else []:
-        if found.fields:
-            merged.setdefault(found.simpleString(), (found, []))[1].extend(members)
+def _with_columns(spark: SparkSession, files: list[str]) -> list[str]:
+    """The files without those that have no columns at all, which cannot be scanned."""
+    merged = _groups(spark, files)
+    if not any(schema.fields for schema, _ in merged):
+        return []
+    if len(files) == 1:
+        return files
+    middle = len(files) // 2
+    return _with_columns(spark, files[:middle]) + _with_columns(spark, files[middle:])
+
+
+def _read_drifting(
+    spark: SparkSession, files: DataFrame, shape: Callable[[DataFrame], DataFrame], schema: StructType
+) -> DataFrame:
+    """Read files (``path``, ``length``) whose column types differ, one scan per set of types."""
+    listed = files.orderBy("path").collect()
+    small = [r["path"] for r in listed if r["length"] < SMALL_FILE_BYTES]
+    large = [r["path"] for r in listed if r["length"] >= SMALL_FILE_BYTES]
+    merged: dict[str, Group] = {}
+    for found, members in _groups(spark, _with_columns(spark, small) + large):
+        merged.setdefault(found.simpleString(), (found, []))[1].extend(members)
     result = spark.createDataFrame([], schema)
     for found, members in merged.values():
         result = result.unionByName(shape(spark.read.schema(found).parquet(*members)).to(schema))
     return result
 
 
-def _file_list(spark: SparkSession, paths: str | list[str], keep: Column | None = None) -> list[str]:
+def _file_list(spark: SparkSession, paths: str | list[str], keep: Column | None = None) -> DataFrame:
     files = list_files(spark, paths, ".parquet")
-    return sorted(r["path"] for r in (files if keep is None else files.filter(keep)).select("path").collect())
+    return files if keep is None else files.filter(keep)
 
 
 def _optional(df: DataFrame, name: str, kind: str) -> Column:

@@ -53,8 +53,8 @@ def test_only_files_without_columns(spark, files):
     assert readers.read_segments(spark, files + "/segment_d.parquet").count() == 0
 
 
-def test_ingest(spark, files, tmp_path):
-    out = str(tmp_path / "tables")
+def test_ingest(spark, files, tmp_path_factory):
+    out = str(tmp_path_factory.mktemp("tables"))
     jobs.ingest_parquet(spark, files, f"{out}/videos", f"{out}/segments", dim=2)
     stored = readers.read_table(spark, "video_segments", f"{out}/segments")
     assert stored.count() == 4 and stored.select("id").distinct().count() == 4
