@@ -79,7 +79,7 @@ def _read_drifting(
         merged.setdefault(found.simpleString(), (found, []))[1].extend(members)
     result = spark.createDataFrame([], schema)
     for found, members in merged.values():
-        result = result.unionByName(shape(spark.read.schema(found).parquet(*members)).to(schema))
+        result = result.unionByName(shape(spark.read.schema(found).parquet(*members)))
     return result
 
 

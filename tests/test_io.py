@@ -62,7 +62,7 @@ def test_ingest(spark, files, tmp_path_factory):
         jobs.ingest_parquet(spark, files, f"{out}/videos", f"{out}/segments")
     assert readers.read_table(spark, "videos", f"{out}/videos").count() == 3
     assert readers.read_table(spark, "video_segments", f"{out}/segments").count() == 4
-    again = readers.read_segments(spark, files)
+    _, again = readers.route_parquet(spark, files)
     writers.append_segments(again, f"{out}/segments", dedupe=True)
     assert readers.read_table(spark, "video_segments", f"{out}/segments").count() == 4
     writers.append_segments(again, f"{out}/segments")
