@@ -133,10 +133,8 @@ def labelled_points(spark: SparkSession, sf: str) -> DataFrame:
 
 def query_labels(spark: SparkSession, sf: str) -> DataFrame:
     """Clusters of the distinct texts, weighted by their rows."""
-    activity = normalized_history(spark, sf).groupBy("query").agg(
-        F.count(F.lit(1)).alias("n"), F.min(history.newest_key()).alias("first_row")
-    )
-    points = activity.join(query_vectors(spark, sf), "query")
+    activity = history.query_counts(normalized_history(spark, sf))
+    points = materialize(activity.join(query_vectors(spark, sf), "query"), "texts")
     labels = dbscan(points, EPS, 2, id_col="query", weight_col="n", order_by=[F.col("first_row")])
     return points.select("query", "embedding").join(
         labels.select(F.col("id").alias("query"), F.col("label").alias("cluster_id")), "query"
@@ -200,9 +198,7 @@ def q_query_recency_score(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_top_queries_per_group(spark: SparkSession, sf: str) -> DataFrame:
-    rows = normalized_history(spark, sf).groupBy("chat_id", "query").agg(
-        F.count(F.lit(1)).alias("n"), F.min(history.newest_key()).alias("first_row")
-    )
+    rows = history.query_counts(normalized_history(spark, sf), ["chat_id"])
     best = trends.top_queries(rows, keys=["chat_id"])
     item = F.posexplode("top_queries").alias("place", "top")
     return best.select("chat_id", item).select(
@@ -384,6 +380,13 @@ def q_transcript_full_text(spark: SparkSession, sf: str) -> DataFrame:
     return transcripts(spark, sf).select("video_id", jobs.full_text(F.col("segments")).alias("video_text"))
 
 
+def q_transcript_text_of_rows(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "conversations").select(
+        F.col("conv_id").cast("string").alias("video_id"), F.col("turn").alias("segment_index"), text.strip_text("text").alias("segment_text")
+    )
+    return jobs.transcript_text(rows)
+
+
 def q_media_types(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.check_media(media_files(spark, sf)).select("path", "size", "video_id", "media_type", "error")
 
@@ -567,6 +570,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "best_configs_davies_bouldin": q_best_configs("davies_bouldin"),
         "transcript_segments": q_transcript_segments,
         "transcript_full_text": q_transcript_full_text,
+        "transcript_text_of_rows": q_transcript_text_of_rows,
         "media_types": q_media_types,
         "video_numbers": q_video_numbers,
         "segment_embedding_join": q_segment_embedding_join,
@@ -861,6 +865,9 @@ def best_sql(metric: str, direction: str) -> str:
 SPACE = "[\\t-\\r\\x1c-\\x1f \\x85\\p{Z}]+"
 STRIPPED = f"regexp_replace(text, '^{SPACE}|{SPACE}$', '', 'g')"
 
+TEXT_SQL = f"""SELECT CAST(conv_id AS VARCHAR) AS video_id, string_agg({STRIPPED}, ' ' ORDER BY turn) AS video_text
+    FROM conversations GROUP BY conv_id"""
+
 MEDIA_SQL = """
     media AS (
         SELECT regexp_replace(url, '[?#].*$', '') ||
@@ -990,8 +997,8 @@ def oracle_sql() -> dict[str, str]:
         "transcript_segments": f"""SELECT CAST(conv_id AS VARCHAR) AS video_id,
             row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS segment_index, CAST(turn AS DOUBLE) * 5 AS segment_start_time,
             CAST(turn AS DOUBLE) * 5 + 5 AS segment_end_time, {STRIPPED} AS segment_text FROM conversations""",
-        "transcript_full_text": f"""SELECT CAST(conv_id AS VARCHAR) AS video_id, string_agg({STRIPPED}, ' ' ORDER BY turn) AS video_text
-            FROM conversations GROUP BY conv_id""",
+        "transcript_full_text": TEXT_SQL,
+        "transcript_text_of_rows": TEXT_SQL,
         "transcript_tables": f"""SELECT CAST(conv_id AS VARCHAR) AS video_id,
             row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS segment_index, CAST(turn AS DOUBLE) * 5 AS segment_start_time,
             {STRIPPED} AS segment_text FROM conversations""",

@@ -38,6 +38,9 @@ class Side:
         self.table = table
         self.vectors = matrix(table.column("vector"))
 
+    def part(self, rows: np.ndarray) -> "Side":
+        return Side(self.table.filter(pa.array(rows)))
+
     def __len__(self) -> int:
         return self.table.num_rows
 

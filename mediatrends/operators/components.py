@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mediatrends.session import discard, materialize
+from mediatrends.session import discard, materialize, scratch_scope
 
 
 def _edge(high: str, low: str) -> Column:
@@ -46,20 +46,19 @@ def connected_components(edges: DataFrame, keys: list[str] = ()) -> DataFrame:
     joined, and a hub's edges are split by the adaptive skew join.
     """
     keys = list(keys)
-    ends = edges.select(*keys, "src", "dst")
-    current = materialize(
-        ends.filter("src <> dst").select(
-            *keys, F.greatest("src", "dst").alias("high"), F.least("src", "dst").alias("low")
-        ).distinct(),
-        "edges",
-    )
-    while not _all_stars(current, keys):
-        following = materialize(_small_star(_large_star(current, keys), keys), "edges")
-        discard(current)
-        current = following
-    members = current.select(*keys, F.col("high").alias("id"), F.col("low").alias("component"))
-    roots = current.select(*keys, F.col("low").alias("id"), F.col("low").alias("component")).distinct()
-    labelled = members.union(roots)
-    loops = ends.filter("src = dst").select(*keys, F.col("src").alias("id"), F.col("dst").alias("component"))
-    alone = loops.distinct().join(labelled, [*keys, "id"], "left_anti")
-    return labelled.union(alone)
+    with scratch_scope(edges.sparkSession) as scope:
+        ordered = edges.select(*keys, F.greatest("src", "dst").alias("high"), F.least("src", "dst").alias("low"))
+        given = materialize(ordered.distinct(), "edges")
+        current = given.filter("high <> low")
+        rounds = [given]
+        while not _all_stars(current, keys):
+            current = materialize(_small_star(_large_star(current, keys), keys), "edges")
+            if len(rounds) > 1:
+                discard(rounds.pop())
+            rounds.append(current)
+        root = F.struct(F.col("low").alias("id"), F.col("low").alias("component"))
+        member = F.struct(F.col("high").alias("id"), F.col("low").alias("component"))
+        # the end of a loop edge that has no other edge is its own component
+        nodes = current.union(given.filter("high = low")).select(*keys, F.explode(F.array(member, root)).alias("node"))
+        found = nodes.groupBy(*keys, "node.id").agg(F.min("node.component").alias("component"))
+        return scope.keep(materialize(found, "components"))

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from mediatrends.functions.vectors import check_metric
 from mediatrends.operators.blocks import BlockPairs, Side, block_pairs, distance_steps
@@ -131,30 +132,28 @@ def _border_roots(metric: str, eps_list: list[float], configs: list[int]):
     """Least root of the core points within reach of each point that is not core."""
 
     def kernel(a: Side, b: Side) -> Iterator[dict]:
-        def roots(side: Side) -> np.ndarray:
-            return side.table.column("roots").combine_chunks().flatten().to_numpy().reshape(len(side), -1)
-
-        roots_a, roots_b = roots(a), roots(b)
-        least_a, least_b = np.full(roots_a.shape, NO_CLUSTER), np.full(roots_b.shape, NO_CLUSTER)
-        for rows, distances in distance_steps(a, b, metric):
-            for place, config in enumerate(configs):
-                close = distances <= eps_list[config % len(eps_list)]
-                least_a[rows, place] = np.where(close, roots_b[None, :, place], NO_CLUSTER).min(axis=1)
-                if a is not b:
-                    from_a = np.where(close, roots_a[rows, place][:, None], NO_CLUSTER).min(axis=0)
-                    least_b[:, place] = np.minimum(least_b[:, place], from_a)
-        for side, own, least in [(a, roots_a, least_a)] + ([] if a is b else [(b, roots_b, least_b)]):
+        for side, other in [(a, b)] if a is b else [(a, b), (b, a)]:
+            own, roots = _roots(side), _roots(other)
+            border, core = (own == NO_CLUSTER).any(axis=1), (roots != NO_CLUSTER).any(axis=1)
+            if not border.any() or not core.any():
+                continue
+            own, roots, row = own[border], roots[core], side["row"][border]
+            least = np.full(own.shape, NO_CLUSTER)
+            for rows, distances in distance_steps(side.part(border), other.part(core), metric):
+                for place, config in enumerate(configs):
+                    close = distances <= eps_list[config % len(eps_list)]
+                    least[rows, place] = np.where(close, roots[None, :, place], NO_CLUSTER).min(axis=1)
             found, place = np.nonzero((own == NO_CLUSTER) & (least != NO_CLUSTER))
             if len(found):
-                yield {
-                    "config": np.array(configs, np.int32)[place],
-                    "row": side["row"][found],
-                    "root": least[found, place],
-                }
+                yield {"config": np.array(configs, np.int32)[place], "row": row[found], "root": least[found, place]}
 
     return kernel, "config int, row long, root long"
 
 
+def _roots(side: Side) -> np.ndarray:
+    return side.table.column("roots").combine_chunks().flatten().to_numpy().reshape(len(side), -1)
+
+
 def density_clusters(
     blocks: BlockPairs, metric: str, eps_list: list[float], min_samples_list: list[int]
 ) -> DataFrame:
@@ -179,7 +178,10 @@ def density_clusters(
     kernel, schema = _core_forest(metric, eps_list, settings)
     core_points = points.select("block", "row", "vector").join(cores, "row")
     edges = blocks.run(core_points, kernel, schema)
-    components = connected_components(edges, ["config"]).select("config", F.col("id").alias("row"), "component")
+    if blocks.n_blocks > 1:
+        components = connected_components(edges, ["config"]).select("config", F.col("id").alias("row"), "component")
+    else:  # the stars of a single block are the components
+        components = edges.select("config", F.col("src").alias("row"), F.col("dst").alias("component"))
 
     core_of = [
         F.struct(F.lit(j * levels + level).alias("config"), (F.col(f"core{j}") <= level).alias("dense"))
@@ -197,7 +199,8 @@ def density_clusters(
 
     # with whole weights, a point next to a core point is itself core if two suffice
     configs = [j * levels + i for j, m in enumerate(min_samples_list) if m > 2 for i in range(levels)]
-    if not configs:
+    always_core = cores.filter(F.greatest(F.lit(0), *[f"core{j}" for j in range(settings)]) == 0)
+    if not configs or always_core.count() == points.count():
         return labelled
     per_row = rooted.filter(F.col("config").isin(configs)).groupBy("row").pivot("config", configs)
     roots = per_row.agg(F.first("root"))
@@ -214,11 +217,11 @@ def dbscan_points(
 ) -> DataFrame:
     """Scratch table of ``row`` (sorts like ``order_by``), id, vector and weight."""
     weight = F.lit(1.0) if weight_col is None else F.col(weight_col).cast("double")
-    rows = points.select(
-        F.col(id_col).alias("id"), F.col(vector_col).alias("vector"), weight.alias("weight"),
-        F.struct(*(order_by or [F.col(id_col)])).alias("_order"),
-    )
-    return with_row_order(rows, [F.col("_order")], "row").drop("_order")
+    columns = [F.col(id_col).alias("id"), F.col(vector_col).alias("vector"), weight.alias("weight")]
+    if order_by is None and isinstance(points.schema[id_col].dataType, IntegralType):
+        return materialize(points.select(F.col(id_col).cast("bigint").alias("row"), *columns), "row")
+    order = F.struct(*(order_by or [F.col(id_col)])).alias("_order")
+    return with_row_order(points.select(*columns, order), [F.col("_order")], "row").drop("_order")
 
 
 def dbscan(

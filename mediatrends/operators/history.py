@@ -23,10 +23,9 @@ def newest_first() -> list[Column]:
     return [F.desc_nulls_first("created_at"), F.col("id")]
 
 
-def newest_key() -> Column:
-    """A value that sorts ascending like ``newest_first``."""
-    age = F.coalesce(-F.unix_micros(timestamp(F.col("created_at"))), F.lit(-(1 << 63)))
-    return F.struct(age.alias("age"), F.col("id").alias("id"))
+def age() -> Column:
+    """A BIGINT that sorts ascending like ``newest_first``, but for ties."""
+    return F.coalesce(-F.unix_micros(timestamp(F.col("created_at"))), F.lit(-(1 << 63)))
 
 
 def read_history(
@@ -57,18 +56,24 @@ def distinct_queries(history: DataFrame) -> DataFrame:
     return history.select("query").distinct()
 
 
+def query_counts(history: DataFrame, keys: list[str] = (), *more: Column) -> DataFrame:
+    """Rows per text (and ``keys``), and ``first_row``, which sorts like the newest row.
+
+    Texts whose newest rows have the same time sort by text, so that only numbers are
+    aggregated and the hash aggregate needs no sort.
+    """
+    counted = history.groupBy(*keys, "query").agg(F.count(F.lit(1)).alias("n"), F.min(age()).alias("age"), *more)
+    return counted.withColumn("first_row", F.struct("age", "query")).drop("age")
+
+
 def query_activity(history: DataFrame, as_of: Column | datetime, decay_minutes: float = 5) -> DataFrame:
     """Per text: rows, summed recency, and the place of its newest row.
 
     Everything later works on one row per text, so a text that makes up much of the
     history is summed before any shuffle.
     """
-    recency = recency_weight(F.col("created_at"), as_of, decay_minutes)
-    return history.groupBy("query").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.coalesce(F.sum(recency), F.lit(0.0)).alias("recency"),
-        F.min(newest_key()).alias("first_row"),
-    )
+    recency = F.sum(recency_weight(F.col("created_at"), as_of, decay_minutes))
+    return query_counts(history, [], F.coalesce(recency, F.lit(0.0)).alias("recency"))
 
 
 def query_scores(history: DataFrame, as_of: Column | datetime) -> DataFrame:

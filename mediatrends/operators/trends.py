@@ -20,6 +20,7 @@ from mediatrends.functions.scoring import (
 from mediatrends.functions.text import display_phrase
 from mediatrends.functions.vectors import rowwise
 from mediatrends.operators.history import query_activity
+from mediatrends.session import materialize, scratch_scope
 
 # Smallest cluster that counts, trends kept per batch, texts listed per trend.
 MIN_CLUSTER_SIZE = 3
@@ -70,30 +71,33 @@ def score_clusters(
     top_n: int = TOP_N_TRENDS,
 ) -> DataFrame:
     """``cluster_trends`` for a history that is already summed per text (``query_activity``)."""
-    members = activity.join(labels.filter("cluster_id >= 0"), "query")
-    per_cluster = members.groupBy("cluster_id").agg(
-        F.sum("n").alias("query_count"),
-        F.sum("recency").alias("recency"),
-        F.count(F.lit(1)).alias("unique_query_count"),
-        F.min("first_row").alias("first_row"),
-    )
-    score = trend_score(F.col("query_count"), F.col("recency"), volume_weight, recency_weight)
-    ranked = (
-        per_cluster.filter(F.col("query_count") >= min_cluster_size)
-        .withColumn("trend_score", score)
-        .orderBy(F.desc("trend_score"), F.asc("first_row"))
-        .limit(top_n)
-    )
-    # the kept clusters are at most top_n rows
-    kept = members.join(F.broadcast(ranked.select("cluster_id")), "cluster_id")
-    return (
-        ranked.join(top_queries(kept.drop("embedding")), "cluster_id")
-        .join(medoid_queries(kept), "cluster_id")
-        .select(
-            "cluster_id", "representative_query", "trend_score", "query_count", "unique_query_count", "top_queries",
-            timestamp(as_of).alias("created_at"),
+    with scratch_scope(activity.sparkSession) as scope:
+        members = activity.join(labels.filter("cluster_id >= 0"), "query")
+        per_cluster = members.groupBy("cluster_id").agg(
+            F.sum("n").alias("query_count"),
+            F.sum("recency").alias("recency"),
+            F.count(F.lit(1)).alias("unique_query_count"),
+            F.min("first_row").alias("first_row"),
         )
-    )
+        score = trend_score(F.col("query_count"), F.col("recency"), volume_weight, recency_weight)
+        ranked = (
+            per_cluster.filter(F.col("query_count") >= min_cluster_size)
+            .withColumn("trend_score", score)
+            .orderBy(F.desc("trend_score"), F.asc("first_row"))
+            .limit(top_n)
+        )
+        ranked = materialize(ranked, "ranked")
+        # the kept clusters are at most top_n rows
+        kept = members.join(F.broadcast(ranked.select("cluster_id")), "cluster_id")
+        trends = (
+            ranked.join(top_queries(kept.drop("embedding")), "cluster_id")
+            .join(medoid_queries(kept), "cluster_id")
+            .select(
+                "cluster_id", "representative_query", "trend_score", "query_count", "unique_query_count", "top_queries",
+                timestamp(as_of).alias("created_at"),
+            )
+        )
+        return scope.keep(materialize(trends, "trends"))
 
 
 def cluster_trends(
@@ -110,7 +114,9 @@ def cluster_trends(
     ``min_cluster_size`` rows and noise are left out; equal scores keep the order in which
     clusters first occur in the history. Other options are those of ``score_clusters``.
     """
-    return score_clusters(query_activity(history, as_of, decay_minutes), labels, as_of, **options)
+    with scratch_scope(history.sparkSession) as scope:
+        activity = materialize(query_activity(history, as_of, decay_minutes), "activity")
+        return scope.keep(score_clusters(activity, labels, as_of, **options))
 
 
 def max_batch(trends: DataFrame) -> DataFrame:

@@ -253,12 +253,20 @@ def full_text(segments: Column) -> Column:
     return F.array_join(F.transform(segments, lambda s: strip_text(s["text"])), " ")
 
 
-def transcript_text(segments: DataFrame) -> DataFrame:
-    """``video_text`` per video from segment rows, in segment order."""
-    item = F.struct("segment_index", "segment_text")
-    return segments.groupBy("video_id").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(item)), lambda s: s["segment_text"]), " ").alias("video_text")
-    )
+def transcript_text(segments: DataFrame, part_rows: int = 1000) -> DataFrame:
+    """``video_text`` per video from segment rows, in segment order.
+
+    Runs of ``part_rows`` segments are joined first, so the last step handles a few long
+    texts per video and never a long list of rows.
+    """
+
+    def joined(df: DataFrame, keys: list[str], order: str, name: str, out: str) -> DataFrame:
+        item = F.sort_array(F.collect_list(F.struct(order, name)))
+        return df.groupBy(*keys).agg(F.array_join(F.transform(item, lambda s: s[name]), " ").alias(out))
+
+    parts = segments.withColumn("part", F.floor(F.col("segment_index") / part_rows))
+    runs = joined(parts, ["video_id", "part"], "segment_index", "segment_text", "run")
+    return joined(runs, ["video_id"], "part", "run", "video_text")
 
 
 def check_media(media: DataFrame) -> DataFrame:

@@ -20,6 +20,8 @@ SESSION_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
+    # mean vectors are kept per cluster in memory up to this many clusters per task
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "1024",
 }
 
 # Largest amount of vector data (bytes) an operator may ship to every executor.
@@ -148,7 +150,7 @@ def with_row_number(df: DataFrame, order_by: list[Column], name: str = "row_numb
     starts = sizes.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
     return (
         ordered.withColumn("_part", part)
-        .join(starts, "_part")
+        .join(F.broadcast(starts), "_part")  # one row per sort partition
         .withColumn(name, F.col("_start") + local)
         .drop("_part", "_start", "_position")
     )

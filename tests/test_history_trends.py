@@ -30,9 +30,11 @@ def test_read_history(spark):
         H.read_history(df, interval_minutes=5)
 
 
-def test_newest_key_sorts_like_newest_first(spark):
-    df = searches(spark, [(3, "a", 1), (1, "b", 1), (2, "c", None), (4, "d", 0.001), (9, "e", -5)])
-    assert [r["id"] for r in df.orderBy(H.newest_key()).collect()] == [r["id"] for r in df.orderBy(*H.newest_first()).collect()] == [2, 9, 4, 1, 3]
+def test_order_of_texts(spark):
+    df = searches(spark, [(3, "a", 1), (1, "b", 1), (2, "c", None), (4, "d", 0.001), (9, "e", -5), (5, "a", 9)])
+    ordered = H.query_counts(df).orderBy("first_row").collect()
+    assert [(r["query"], r["n"]) for r in ordered] == [("c", 1), ("e", 1), ("d", 1), ("a", 2), ("b", 1)]
+    assert [r["id"] for r in df.orderBy(*H.newest_first()).collect()] == [2, 9, 4, 1, 3, 5]
 
 
 def test_recency(spark):
@@ -65,12 +67,12 @@ def test_cluster_trends(spark):
 
 
 def test_ties(spark):
-    rows = [(i, q, 0) for i, q in enumerate(["late"] * 3 + ["early"] * 3)]
+    rows = [(i, q, 0) for i, q in enumerate(["a"] * 3 + ["b"] * 3)]
     df = H.normalized(H.read_history(searches(spark, rows)))
-    labels = spark.createDataFrame([("late", 1, [1.0, 0.0]), ("early", 0, [0.0, 1.0])], "query string, cluster_id long, embedding array<double>")
+    labels = spark.createDataFrame([("a", 1, [1.0, 0.0]), ("b", 0, [0.0, 1.0])], "query string, cluster_id long, embedding array<double>")
     assert [r["cluster_id"] for r in T.cluster_trends(df, labels, NOW, top_n=1).collect()] == [1]
     twins = labels.withColumn("embedding", F.array(F.lit(1.0), F.lit(1.0))).withColumn("cluster_id", F.lit(0))
-    assert T.cluster_trends(df, twins, NOW).first()["representative_query"] == "late"
+    assert T.cluster_trends(df, twins, NOW).first()["representative_query"] == "a"
 
 
 def test_current_trends(spark):
