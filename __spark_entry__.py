@@ -445,7 +445,7 @@ def q_search_job(spark: SparkSession, sf: str) -> DataFrame:
     stored = providers.embed_distinct(parts, "segment_text", embed, "segment_embedding", how="inner")
     searches = search_history(spark, sf).select("id", "query", F.col("chat_id").cast("string").alias("chat_id"), F.lit(None).cast("string").alias("temporary_id"))
     answers = jobs.search_job(searches, stored, embed, k=20)
-    return answers.select("id", "status", "error", F.size("results").alias("videos"))
+    return answers.select("id", "status", "error", (F.size("results") > 0).alias("found"))
 
 
 def q_trend_job(spark: SparkSession, sf: str) -> DataFrame:
@@ -1016,5 +1016,7 @@ def oracle_sql() -> dict[str, str]:
         "display_phrase": """WITH chosen AS (
             SELECT doc_id, CASE WHEN doc_id % 3 = 1 AND lang <> '' THEN lang ELSE coalesce(text, '') END AS phrase FROM documents)
             SELECT doc_id, upper(phrase[1]) || lower(phrase[2:]) AS display FROM chosen""",
+        "search_job": f"""WITH {HISTORY_SQL} SELECT id, CASE WHEN original_query IS NULL THEN 'Error' ELSE 'Success' END AS status,
+            CASE WHEN original_query IS NULL THEN 'Query is empty or None' END AS error, original_query IS NOT NULL AS found FROM history""",
         "embed_distinct": f"""WITH {HISTORY_SQL} SELECT query, count(*) AS rows, 64 AS width FROM searches GROUP BY query""",
     }

@@ -30,6 +30,14 @@ def test_read_history(spark):
         H.read_history(df, interval_minutes=5)
 
 
+def test_interval_reaches_the_scan(spark, tmp_path):
+    searches(spark, [(1, "a", 1), (2, "b", 500)]).write.parquet(str(tmp_path / "h"))
+    df = H.read_history(spark.read.parquet(str(tmp_path / "h")), NOW, 60)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(created_at" in plan and "ReadSchema: struct<id:bigint,chat_id:string,query:string,created_at:timestamp>" in plan
+    assert df.count() == 1
+
+
 def test_order_of_texts(spark):
     df = searches(spark, [(3, "a", 1), (1, "b", 1), (2, "c", None), (4, "d", 0.001), (9, "e", -5), (5, "a", 9)])
     ordered = H.query_counts(df).orderBy("first_row").collect()
