@@ -202,8 +202,8 @@ def eps_pairs(
             src, dst, distance = src[wanted], dst[wanted], distance[wanted]
             first = src < dst
             yield {
-                "src": np.where(first, src, dst).tolist(),
-                "dst": np.where(first, dst, src).tolist(),
+                "src": np.where(first, src, dst),
+                "dst": np.where(first, dst, src),
                 "distance": distance,
             }
 

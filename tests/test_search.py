@@ -60,6 +60,13 @@ def test_knn_join(segments, queries, metric, rank_by, options):
             assert copies == sorted(copies)
 
 
+def test_many_queries_in_steps(segments, queries, monkeypatch):
+    exact = sorted(map(tuple, search.knn_join(queries, segments, 5).collect()), key=str)
+    monkeypatch.setattr(search, "QUERY_STEP", 7)
+    for options in ({}, {"ship_limit": 0, "block_rows": 90}):
+        assert sorted(map(tuple, search.knn_join(queries, segments, 5, **options).collect()), key=str) == exact
+
+
 def test_single_query_equals_join(segments, queries):
     vector = queries.filter("query_id = 's003'").first()["embedding"]
     one = search.knn(segments, vector, 20)
