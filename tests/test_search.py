@@ -61,10 +61,10 @@ def test_knn_join(segments, queries, metric, rank_by, options):
 
 
 def test_many_queries_in_steps(segments, queries, monkeypatch):
-    exact = sorted(map(tuple, search.knn_join(queries, segments, 5).collect()), key=str)
+    run = lambda **options: sorted(map(str, search.knn_join(queries, segments, 5, **options).collect()))
+    exact = run()
     monkeypatch.setattr(search, "QUERY_STEP", 7)
-    for options in ({}, {"ship_limit": 0, "block_rows": 90}):
-        assert sorted(map(tuple, search.knn_join(queries, segments, 5, **options).collect()), key=str) == exact
+    assert run() == exact and run(ship_limit=0, block_rows=90) == exact
 
 
 def test_single_query_equals_join(segments, queries):
