@@ -145,10 +145,13 @@ def _local_blocks(points: DataFrame, n_blocks: int, reach: float, metric: str, b
     # the slack covers rounding of the distances above
     near = pairwise(centers, centers, "l2") - radius[:, None] - radius[None, :] <= chord + 1e-6
     low, high = np.nonzero(np.triu(near))
-    rows = []
-    for tile, (i, j) in enumerate(zip(low.tolist(), high.tolist())):
-        rows += [(i, tile, BOTH)] if i == j else [(i, tile, LEFT), (j, tile, RIGHT)]
-    pairs = spark.createDataFrame(rows, "block int, tile int, side int")
+    tile, apart = np.arange(len(low)), low != high
+    columns = {
+        "block": np.concatenate([low, high[apart]]).astype(np.int32),
+        "tile": np.concatenate([tile, tile[apart]]).astype(np.int32),
+        "side": np.concatenate([np.where(apart, LEFT, BOTH), np.full(apart.sum(), RIGHT)]).astype(np.int32),
+    }
+    pairs = spark.createDataFrame(pa.table(columns))
     return BlockPairs(placed.drop("gap"), len(owner), pairs, len(low))
 
 
@@ -187,11 +190,12 @@ def eps_pairs(
     vector_col: str = "embedding",
     n_blocks: int | None = None,
     prune: bool | None = None,
+    block_rows: int = 2048,
 ) -> DataFrame:
     """All pairs ``src < dst`` at a distance of at most ``eps``, with their distance."""
     kind = points.schema[id_col].dataType.simpleString()
     rows = points.select(F.col(id_col).alias("row"), F.col(vector_col).alias("vector"))
-    blocks = block_pairs(rows, metric, eps, block_rows=2048, n_blocks=n_blocks, prune=prune)
+    blocks = block_pairs(rows, metric, eps, block_rows, n_blocks=n_blocks, prune=prune)
 
     def close(a: Side, b: Side) -> Iterator[dict]:
         left, right = a["row"], b["row"]

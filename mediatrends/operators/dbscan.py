@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from mediatrends.functions.vectors import check_metric
-from mediatrends.operators.blocks import BlockPairs, Side, block_pairs, distance_steps
+from mediatrends.operators.blocks import BLOCK_ROWS, BlockPairs, Side, block_pairs, distance_steps
 from mediatrends.operators.components import connected_components
 from mediatrends.session import materialize, scratch_scope, with_row_number, with_row_order
 
@@ -235,6 +235,7 @@ def dbscan(
     order_by: list[Column] | None = None,
     n_blocks: int | None = None,
     prune: bool | None = None,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """``id``, ``label`` and ``is_core`` of every point.
 
@@ -247,7 +248,7 @@ def dbscan(
     check_metric(metric)
     with scratch_scope(points.sparkSession) as scope:
         rows = dbscan_points(points, id_col, vector_col, weight_col, order_by)
-        blocks = block_pairs(rows.drop("id"), metric, eps, n_blocks=n_blocks, prune=prune)
+        blocks = block_pairs(rows.drop("id"), metric, eps, block_rows, n_blocks, prune)
         found = materialize(density_clusters(blocks, metric, [eps], [min_samples]), "clusters")
         numbers = with_row_number(found.select("root").distinct(), [F.col("root")], "label")
         labels = found.join(numbers, "root").select("row", "label", "is_core")

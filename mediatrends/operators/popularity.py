@@ -111,9 +111,9 @@ def popularity_score() -> Column:
     )
 
 
-def popular_videos(stats: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
+def popular_videos(stats: DataFrame, limit: int | None = DEFAULT_LIMIT) -> DataFrame:
     """The ``limit`` videos with the highest popularity score; ties go to the lower id."""
-    if limit < 0:
+    if limit is None or limit < 0:
         limit = DEFAULT_LIMIT
     return (
         stats.select("video_id", popularity_score().alias("popularity_score"))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mediatrends.operators import grid, validity
-from mediatrends.operators.blocks import eps_pairs
+from mediatrends.operators.blocks import block_pairs, eps_pairs
 from mediatrends.operators.components import connected_components
 from mediatrends.operators.dbscan import dbscan
 
@@ -38,7 +38,7 @@ def labels_of(result):
         (0.05, 2, "cosine", {}),
         (0.03, 6, "cosine", {"n_blocks": 4}),
         (0.35, 5, "l2", {"n_blocks": 5, "prune": True}),
-        (0.02, 8, "cosine", {"n_blocks": 6, "prune": True}),
+        (0.02, 8, "cosine", {"n_blocks": 6, "prune": True, "block_rows": 25}),
     ],
 )
 def test_dbscan_matches_brute_force(spark, eps, min_samples, metric, options):
@@ -56,7 +56,7 @@ def test_weights_stand_for_copies(spark):
     assert (got[inverse.ravel()] == label).all()
 
 
-@pytest.mark.parametrize("options", [{}, {"n_blocks": 3}, {"n_blocks": 5, "prune": True}])
+@pytest.mark.parametrize("options", [{}, {"n_blocks": 3}, {"n_blocks": 5, "prune": True, "block_rows": 20}])
 @pytest.mark.parametrize("metric, eps", [("cosine", 0.02), ("l2", 0.3)])
 def test_eps_pairs(spark, metric, eps, options):
     d = brute.distances(POINTS, metric)
@@ -66,6 +66,18 @@ def test_eps_pairs(spark, metric, eps, options):
     assert all(abs(r["distance"] - d[r["src"], r["dst"]]) < 1e-6 for r in got)
 
 
+def test_pruning_leaves_out_far_blocks(spark):
+    """Two far clouds: crowded cells are cut and the clouds are never paired."""
+    cloud = np.concatenate([rng.normal(scale=0.1, size=(100, 4)), 50 + rng.normal(scale=0.1, size=(80, 4))])
+    rows = frame(spark, cloud).select(F.col("id").alias("row"), F.col("embedding").alias("vector"))
+    blocks = block_pairs(rows, "l2", 0.5, block_rows=20, n_blocks=8, prune=True)
+    assert blocks.n_blocks > 8
+    assert blocks.points.groupBy("block").count().agg(F.max("count")).first()[0] < 60
+    tiles = blocks._tiles(blocks.points).groupBy("tile").agg(F.min("row").alias("low"), F.max("row").alias("high"))
+    assert tiles.filter("low < 100 AND high >= 100").isEmpty()
+    assert 0 < blocks.n_pairs < blocks.n_blocks * (blocks.n_blocks + 1) / 2
+
+
 def test_eps_pairs_with_text_ids(spark):
     rows = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [1.0, 0.0]), ("c", [0.0, 1.0])], "id string, embedding array<double>")
     assert [tuple(r) for r in eps_pairs(rows, 0.1).collect()] == [("a", "b", 0.0)]
