@@ -1,7 +1,6 @@
 import sys
 
 import pytest
-from pyspark.sql import functions as F
 
 from mediatrends.functions import text
 
