@@ -522,7 +522,29 @@ def q_stream_trends(spark: SparkSession, sf: str) -> DataFrame:
     return flat_trends(trends.current_trends(spark.read.parquet(f"{folder}/trends"))).drop("id", "batch_id")
 
 
+def llm_modules() -> list:
+    """The modules of the document operators; none if they have been removed."""
+    try:
+        import corpus_pipeline
+        from mediatrends.llm import registry
+    except ModuleNotFoundError as missing:
+        if missing.name not in ("corpus_pipeline", "mediatrends.llm"):
+            raise
+        return []
+    return [registry, corpus_pipeline]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    added = {name: query for module in llm_modules() for name, query in module.queries().items()}
+    return own_queries() | added
+
+
+def oracle_sql() -> dict[str, str]:
+    added = {name: sql for module in llm_modules() for name, sql in module.oracle_sql().items()}
+    return own_oracle_sql() | added
+
+
+def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "video_stats_fanout": q_video_stats("fanout"),
         "video_stats_fanout_skewed": q_video_stats("fanout", skewed=True),
@@ -907,7 +929,7 @@ def volume_sql(slide_minutes: int, source: str = "searches", until: str = "") ->
     FROM placed {until} GROUP BY start, query"""
 
 
-def oracle_sql() -> dict[str, str]:
+def own_oracle_sql() -> dict[str, str]:
     return {
         "video_stats_fanout": fanout_sql(),
         "video_stats_fanout_skewed": fanout_sql(skewed=True),
