@@ -6,6 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from mediatrends.llm import mixing
+from mediatrends.llm.decontaminate import contaminated
+from mediatrends.llm.pii import find_pii
+from mediatrends.llm.quality import quality_rules
 from mediatrends.llm.simhash import simhash_components
 
 
@@ -13,15 +17,35 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op2_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return quality_rules(table(spark, sf, "documents"))
+
+
+def op3_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf, "documents"))
+
+
+def op5_pii(spark: SparkSession, sf: str) -> DataFrame:
+    return find_pii(table(spark, sf, "documents"))
+
+
+def op10_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 def op7_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash_components(table(spark, sf, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_quality": op2_quality,
+        "op3_mixing": op3_mixing,
+        "op5_pii": op5_pii,
         "op7_simhash": op7_simhash,
+        "op10_decontamination": op10_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_mixing": mixing.SQL}
