@@ -62,14 +62,30 @@ def _pieces(text: Column, pattern: str, matches: Column) -> Column:
     return F.when(F.size(matches) > 0, F.slice(F.split(text, pattern, -1), 1, F.size(matches)))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0), lambda a, b: a + b)
+
+
 def _starts(step: Column) -> Column:
     """Running sums of an array of lengths, the first 0. In blocks, so that long arrays stay cheap."""
-    n_blocks = F.ceil(F.size(step) / _BLOCK).cast("int")
-    plus = lambda a, b: a + b
-    blocks = F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda b: F.aggregate(F.slice(step, b * _BLOCK + 1, F.lit(_BLOCK)), F.lit(0), plus))
-    before = F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda b: F.aggregate(F.slice(blocks, F.lit(1), b), F.lit(0), plus))
-    return F.transform(step, lambda _, i: before[F.floor(i / _BLOCK).cast("int")] + F.aggregate(
-        F.slice(step, F.floor(i / _BLOCK).cast("int") * _BLOCK + 1, i % _BLOCK), F.lit(0), plus))
+
+    def running(steps: Column, before: Column) -> Column:
+        block = lambda i: F.floor(i / _BLOCK).cast("int")
+        return F.transform(steps, lambda _, i: before[block(i)] + _sum(F.slice(steps, block(i) * _BLOCK + 1, i % _BLOCK)))
+
+    def sums(steps: Column) -> Column:
+        last = F.ceil(F.size(steps) / _BLOCK).cast("int") - 1
+        return F.transform(F.sequence(F.lit(0), last), lambda b: _sum(F.slice(steps, b * _BLOCK + 1, F.lit(_BLOCK))))
+
+    def before(blocks: Column) -> Column:
+        return F.transform(blocks, lambda _, b: _sum(F.slice(blocks, F.lit(1), b)))
+
+    return _let(step, lambda steps: _let(sums(steps), lambda blocks: _let(before(blocks), lambda base: running(steps, base))))
 
 
 def _scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -77,15 +93,24 @@ def _scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     found = base.withColumns({f"m_{k}": F.regexp_extract_all("text", F.lit(p), 0) for k, p in (KINDS | {"token": TOKEN}).items()})
     found = found.withColumn("before", _pieces(F.col("text"), TOKEN, F.col("m_token")))
-    gaps = {f"g_{k}": F.transform(_pieces(F.col("text"), p, F.col(f"m_{k}")), F.length) for k, p in KINDS.items()}
+    gaps = {k: F.transform(_pieces(F.col("text"), p, F.col(f"m_{k}")), F.length) for k, p in KINDS.items()}
     left = F.transform("before", lambda p: F.substring_index(F.rtrim(F.translate(F.lower(p), "\t\n\x0b\x0c\r", "     ")), " ", -1))
-    columns = [*[c for k, g in gaps.items() for c in (F.col(f"m_{k}"), g.alias(f"g_{k}"))]]
+    columns = [c for k, g in gaps.items() for c in (F.col(f"m_{k}"), g.alias(f"g_{k}"))]
     return found.select(
         F.monotonically_increasing_id().alias("row"), "id", F.xxhash64("text").alias("text_key"), *columns,
         "m_token", F.transform("before", F.length).alias("g_token"), left.alias("left"),
     )
 
 
+def _base_spans(kind: str) -> Column:
+    def span(z: Column) -> Column:
+        stop = z[f"b_{kind}"] + z[f"s_{kind}"]
+        return F.struct(F.lit(kind).alias("kind"), (stop - F.length(z[f"m_{kind}"])).alias("start"), stop.alias("stop"))
+
+    each = F.filter(F.arrays_zip(f"b_{kind}", f"s_{kind}", f"m_{kind}"), lambda z: _valid(kind, z[f"m_{kind}"]))
+    return F.transform(each, span)
+
+
 def _placed(scanned: DataFrame) -> DataFrame:
     """``spans`` of the fixed patterns, by kind and start, and ``tokens`` with place, context and whether a span meets them."""
     kinds = [*KINDS, "token"]
@@ -93,18 +118,7 @@ def _placed(scanned: DataFrame) -> DataFrame:
     # where the text before a match and the match itself end
     ends = scanned.withColumns(lengths)
     placed = ends.withColumns({f"b_{k}": F.when(F.size(f"s_{k}") > 0, _starts(F.col(f"s_{k}"))).otherwise(F.array().cast("array<int>")) for k in kinds})
-    spans = []
-    for kind in KINDS:
-        each = F.transform(
-            F.arrays_zip(f"b_{kind}", f"s_{kind}", f"m_{kind}"),
-            lambda z, kind=kind: F.struct(
-                F.lit(kind).alias("kind"),
-                (z[f"b_{kind}"] + z[f"s_{kind}"] - F.length(z[f"m_{kind}"])).alias("start"),
-                (z[f"b_{kind}"] + z[f"s_{kind}"]).alias("stop"),
-                _valid(kind, z[f"m_{kind}"]).alias("valid"),
-            ),
-        )
-        spans.append(F.transform(F.filter(each, lambda s: s["valid"]), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"))))
+    spans = [_base_spans(kind) for kind in KINDS]
     tokens = F.transform(
         F.arrays_zip("b_token", "s_token", "m_token", "left"),
         lambda z: F.struct(
@@ -188,7 +202,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     with job(docs.sparkSession) as scope:
         found = _spans(docs, id_col, text_col)
-        counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in KINDS]
+        kinds = F.transform("base", lambda s: s["kind"])
+        counts = [F.size(F.filter(kinds, F.lit(k).__eq__)).cast("bigint").alias(f"n_{k}") for k in KINDS]
         result = found.select(
             F.col("id").alias(id_col), *counts, F.sha2(_listed(F.col("base")), 256).alias("base_sha256"),
             _listed(F.concat("base", "added")).alias("spans"), F.size("added").alias("n_added"),
