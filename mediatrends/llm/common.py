@@ -14,31 +14,31 @@ from mediatrends.session import materialize, scratch_scope
 # Python's bytes.split() splits at the same six.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
 @contextmanager
-def short_lived_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Let Spark delete the shuffle files of each finished job at once.
-
-    Jobs that end in a written table never read their shuffle files again, so an operator
-    of several such jobs needs the disk of its largest job, not of all of them.
-    """
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+def settings(spark: SparkSession, **wanted: str) -> Iterator[None]:
+    """Session settings that hold inside the block; ``__`` in a name stands for a dot."""
+    names = {k.replace("__", "."): v for k, v in wanted.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 @contextmanager
 def job(spark: SparkSession):
-    """Scratch tables made inside are deleted, except those kept; shuffle files live as long as their job."""
-    with short_lived_shuffles(spark), scratch_scope(spark) as scope:
+    """Scratch tables made inside are deleted, except those kept; shuffle files live as long as their job.
+
+    Jobs that end in a written table never read their shuffle files again, so an operator of several
+    such jobs needs the disk of its largest job, not of all of them.
+    """
+    with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"), scratch_scope(spark) as scope:
         yield scope
 
 
@@ -66,4 +66,4 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, weight: Column, how
     return marked.filter("_hot").drop("_hot").join(F.broadcast(few.drop("_hot")), key).unionByName(rest)
 
 
-__all__ = ["WORD", "job", "join_unique", "materialize", "short_lived_shuffles", "text_rows", "type_of"]
+__all__ = ["WORD", "job", "join_unique", "materialize", "settings", "text_rows", "type_of"]

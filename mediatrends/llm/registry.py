@@ -11,12 +11,17 @@ from mediatrends.llm.decontaminate import contaminated
 from mediatrends.llm.pii import find_pii
 from mediatrends.llm.quality import quality_rules
 from mediatrends.llm.simhash import simhash_components
+from mediatrends.llm.suffix_dedup import remove_repeats
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return remove_repeats(table(spark, sf, "documents"))
+
+
 def op2_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality_rules(table(spark, sf, "documents"))
 
@@ -39,6 +44,7 @@ def op7_simhash(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix_dedup": op1_suffix_dedup,
         "op2_quality": op2_quality,
         "op3_mixing": op3_mixing,
         "op5_pii": op5_pii,
