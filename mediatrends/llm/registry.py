@@ -12,6 +12,7 @@ from mediatrends.llm.pii import find_pii
 from mediatrends.llm.quality import quality_rules
 from mediatrends.llm.simhash import simhash_components
 from mediatrends.llm.suffix_dedup import remove_repeats
+from mediatrends.llm.toxicity import toxicity
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -42,6 +43,10 @@ def op7_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash_components(table(spark, sf, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
@@ -49,6 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_mixing": op3_mixing,
         "op5_pii": op5_pii,
         "op7_simhash": op7_simhash,
+        "op9_toxicity": op9_toxicity,
         "op10_decontamination": op10_decontamination,
     }
 
