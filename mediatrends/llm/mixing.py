@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mediatrends.llm.common import WORD, job, join_unique, materialize, type_of
+from mediatrends.llm.common import WORD, job, join_unique, materialize
 from mediatrends.session import with_row_number, with_row_order
 
 CYCLE = 3  # weights 1, 2, 3, 1, 2, 3, ... by the order of the sources
@@ -19,10 +19,11 @@ SLICE_DIGITS = 3  # hexadecimal digits of the shuffle key that name a slice of a
 
 
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """``id``, ``source``, ``key`` (never null), ``size`` and the shuffle key ``turn``."""
+    """``id``, ``text_key``, ``source``, ``key`` (never null), ``size`` and the shuffle key ``turn``."""
     source = F.col(source_col).cast("string")
     return docs.select(
         F.col(id_col).alias("id"),
+        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"),
         source.alias("source"),
         F.coalesce(F.concat(F.lit("="), source), F.lit("")).alias("key"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
@@ -78,36 +79,53 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     size zero are sent in their turn like others. An empty table gives an empty one.
     """
     with job(docs.sparkSession) as scope:
-        sized = materialize(_sized(docs, id_col, text_col, source_col), "sizes")
-        wanted = materialize(targets(sized), "targets")
-        total = wanted.agg(F.sum("source_size")).first()[0] or 0
-        slices = F.substring("turn", 1, SLICE_DIGITS)
-        rows = join_unique(sized.withColumn("slice", slices), wanted.drop("source"), "key", F.col("n")).drop("n", "key")
-        sums = rows.groupBy("place", "slice").agg(F.sum("size").alias("slice_size"))
-        earlier = Window.partitionBy("place").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-        starts = sums.select("place", "slice", F.coalesce(F.sum("slice_size").over(earlier), F.lit(0)).alias("start"))
-        within = Window.partitionBy("place", "slice").orderBy("turn", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
-        sent = rows.join(starts, ["place", "slice"]).withColumn("sent", F.col("start") + F.sum("size").over(within))
-        sent = materialize(sent.drop("slice", "start"), "sent")
-        # a copy queues if its source is still below its target when the copy begins
-        upto = [F.col("sent") + k * F.col("source_size") for k in range(MOST_COPIES)]
-        queues = [(u - F.col("size")) < F.col("target") for u in upto]
-        finish = [u / F.col("target") for u in upto]
-        copies = F.array(*[F.when(q, F.struct(F.lit(k).alias("copy"), f.alias("finish"))) for k, (q, f) in enumerate(zip(queues, finish))])
-        order = ["finish", "place", "turn", "id", "size", "copy"]
-        queue = sent.select("place", "turn", "id", "size", F.explode(F.array_compact(copies)).alias("c")).select("place", "turn", "id", "size", "c.*")
-        last = _last_taken(queue, order, total)
-        if last is None:
-            taken = F.lit(0)
-        else:
-            id_type = type_of(docs, id_col)
-            cut = F.struct(*[F.lit(last[c]).cast(id_type if c == "id" else queue.schema[c].dataType).alias(c) for c in order])
-            mine = [F.struct(f.alias("finish"), "place", "turn", "id", "size", F.lit(k).alias("copy")) <= cut for k, f in enumerate(finish)]
-            taken = sum((F.when(q & m, 1).otherwise(0) for q, m in zip(queues, mine)), F.lit(0))
-        result = sent.select(
-            F.col("id").alias(id_col), "source", "size", "source_size", "target", taken.cast("int").alias("copies"), (taken * F.col("size")).alias("taken")
+        mixed = _mixed(docs, id_col, text_col, source_col)
+        names = ["source", "size", "source_size", "target", "copies", "taken"]
+        return scope.keep(materialize(mixed.select(F.col("id").alias(id_col), *names), "mix"))
+
+
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs`` that the mix takes, with ``mix_size``, ``mix_target``, ``mix_copies`` and ``mix_taken``.
+
+    Rows equal in id and text are one row, whose copies are those of all.
+    """
+    with job(docs.sparkSession) as scope:
+        taken = _mixed(docs, id_col, text_col, source_col).filter("copies > 0").groupBy(F.col("id").alias("_id"), F.col("text_key").alias("_key"))
+        taken = taken.agg(
+            F.first("size").alias("mix_size"), F.first("target").alias("mix_target"), F.sum("copies").alias("mix_copies"), F.sum("taken").alias("mix_taken")
         )
-        return scope.keep(materialize(result, "mix"))
+        text_key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+        rows = docs.join(taken, F.col(id_col).eqNullSafe(F.col("_id")) & (text_key == F.col("_key")))
+        return scope.keep(materialize(rows.dropDuplicates(["_id", "_key"]).drop("_id", "_key"), "mixed"))
+
+
+def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    sized = materialize(_sized(docs, id_col, text_col, source_col), "sizes")
+    wanted = materialize(targets(sized), "targets")
+    total = wanted.agg(F.sum("source_size")).first()[0] or 0
+    slices = F.substring("turn", 1, SLICE_DIGITS)
+    rows = join_unique(sized.withColumn("slice", slices), wanted.drop("source"), "key", F.col("n")).drop("n", "key")
+    sums = rows.groupBy("place", "slice").agg(F.sum("size").alias("slice_size"))
+    earlier = Window.partitionBy("place").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("place", "slice", F.coalesce(F.sum("slice_size").over(earlier), F.lit(0)).alias("start"))
+    within = Window.partitionBy("place", "slice").orderBy("turn", "id", "size", "text_key").rowsBetween(Window.unboundedPreceding, 0)
+    sent = rows.join(starts, ["place", "slice"]).withColumn("sent", F.col("start") + F.sum("size").over(within))
+    sent = materialize(sent.drop("slice", "start"), "sent")
+    # a copy queues if its source is still below its target when the copy begins
+    upto = [F.col("sent") + k * F.col("source_size") for k in range(MOST_COPIES)]
+    queues = [(u - F.col("size")) < F.col("target") for u in upto]
+    finish = [u / F.col("target") for u in upto]
+    own = ["place", "turn", "id", "size", "text_key"]
+    order = ["finish", *own, "copy"]
+    copies = F.array(*[F.when(q, F.struct(F.lit(k).alias("copy"), f.alias("finish"))) for k, (q, f) in enumerate(zip(queues, finish))])
+    queue = sent.select(*own, F.explode(F.array_compact(copies)).alias("c")).select(*own, "c.*")
+    last = _last_taken(queue, order, total)
+    taken = F.lit(0)
+    if last is not None:
+        cut = F.struct(*[F.lit(last[c]).cast(queue.schema[c].dataType).alias(c) for c in order])
+        mine = [F.struct(f.alias("finish"), *own, F.lit(k).alias("copy")) <= cut for k, f in enumerate(finish)]
+        taken = sum((F.when(q & m, 1).otherwise(0) for q, m in zip(queues, mine)), F.lit(0))
+    return sent.withColumn("copies", taken.cast("int")).withColumn("taken", F.col("copies") * F.col("size"))
 
 
 SQL = r"""

@@ -59,16 +59,20 @@ def text_counts(text: str) -> tuple[int, ...]:
     return n, chars, symbols, len(lines) - len(set(lines)), repeated, len(lines), capitals
 
 
-def _counted(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str) -> DataFrame:
+def _counted(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str, whole: bool = False) -> DataFrame:
+    """``id``, ``lang``, ``source`` and the counts of every row; with ``whole`` also all its columns as the struct ``row``."""
+    carried = ["id", "lang", "source", *["row"] * whole]
+
     def run(batches):
         for batch in batches:
             counts = zip(*map(text_counts, batch["text"].to_pylist())) if batch.num_rows else [[] for _ in COUNTS]
-            columns = [batch["id"], batch["lang"], batch["source"], *(pa.array(c, pa.int64()) for c in counts)]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "lang", "source", *COUNTS])
+            columns = [*(batch[c] for c in carried), *(pa.array(c, pa.int64()) for c in counts)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*carried, *COUNTS])
 
-    rows = text_rows(docs, id_col, text_col, F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"))
-    schema = f"id {type_of(docs, id_col)}, lang string, source string, " + ", ".join(f"{c} bigint" for c in COUNTS)
-    return rows.mapInArrow(run, schema)
+    more = [F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source")]
+    rows = text_rows(docs, id_col, text_col, *more, *[F.struct(*docs.columns).alias("row")] * whole)
+    schema = f"id {type_of(docs, id_col)}, lang string, source string" + f", row {docs.schema.simpleString()}" * whole
+    return rows.mapInArrow(run, schema + "".join(f", {c} bigint" for c in COUNTS))
 
 
 def _metrics() -> dict[str, Column]:
@@ -146,14 +150,25 @@ def quality_rules(
     """
     with job(docs.sparkSession) as scope:
         counted = materialize(_counted(docs, id_col, text_col, lang_col, source_col), "counts")
-        judged = materialize(_judged(counted), "verdicts")
+        judged = _judged(counted, limits(materialize(sketches(counted), "sketches")))
         names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_metrics"]
         return scope.keep(materialize(judged.select(F.col("id").alias(id_col), *names), "quality"))
 
 
-def _judged(counted: DataFrame) -> DataFrame:
-    found = limits(materialize(sketches(counted), "sketches"))
+def filter_quality(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source"
+) -> DataFrame:
+    """The rows of ``docs`` that ``quality_rules`` keeps. Texts are counted twice instead of being shuffled."""
+    with job(docs.sparkSession) as scope:
+        columns = (docs, id_col, text_col, lang_col, source_col)
+        found = materialize(limits(materialize(sketches(_counted(*columns)), "sketches")), "limits")
+        kept = _judged(_counted(*columns, whole=True), found).filter("kept").select("row.*")
+        return scope.keep(materialize(kept, "quality_kept"))
+
+
+def _judged(counted: DataFrame, found: DataFrame) -> DataFrame:
     same = counted["lang"].eqNullSafe(found["lang"]) & counted["source"].eqNullSafe(found["source"])
+    # one row per language and source: Spark broadcasts the limits if they are few
     rows = counted.join(found, same, "left").drop(found["lang"]).drop(found["source"])
     outside = [
         F.when(value > F.col(f"most_{m}"), m).when(F.lit(METRICS[m]["low"]) & (value < F.col(f"least_{m}")), m)
