@@ -8,10 +8,9 @@ is caught and a chance meeting of placeholders is not.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,50 +32,53 @@ UNITS = (
 ).split()
 
 _PLAIN, _NUMBER, _UNIT = 0, 1, 2
-_CAPITAL, _ENDS = 4, 8
+_BLANK, _CAPITAL, _ENDS = -1, 4, 8
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»„“”‘’…–—¿¡"
+_EDGE_BYTES = _EDGES.encode("ascii", "ignore")
+_DIGITS = b"0123456789"
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
+_UNIT_SET = frozenset(u.encode() for u in UNITS)
 
-
-def _hash(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little")
-
-
-NUMBER, NAME, UNIT = (_hash(f"\0{kind}") for kind in ("number", "name", "unit"))
+NUMBER, NAME, UNIT = (np.uint64(xxhash.xxh3_64_intdigest(b"\0" + kind)) for kind in (b"number", b"name", b"unit"))
 
 
 class _Words(dict):
-    """Row of each written word in the tables ``hashes`` and ``kinds``; forgotten when it grows too large."""
+    """Row of each written word in the tables ``hashes`` and ``kinds``, filled as words are met."""
 
     MOST = 500_000
 
     def __init__(self) -> None:
         super().__init__()
-        self.hashes: list[int] = []
-        self.kinds: list[int] = []
+        self.hashes = np.zeros(self.MOST, np.uint64)
+        self.kinds = np.zeros(self.MOST, np.int8)
 
     def __missing__(self, raw: bytes) -> int:
-        word = raw.decode()
-        core = word.strip(_EDGES)
-        low = core.lower()
-        kind, value = _PLAIN, low
+        row = len(self)
+        if row == len(self.kinds):
+            self.hashes = np.concatenate([self.hashes, np.zeros(row, np.uint64)])
+            self.kinds = np.concatenate([self.kinds, np.zeros(row, np.int8)])
+        if raw.isascii():
+            core = raw.strip(_EDGE_BYTES)
+            low = core.lower()
+        else:
+            core = raw.decode().strip(_EDGES)
+            low = core.lower().encode()
         if not low:
-            kind = -1
-        elif any(c.isdigit() for c in low):
-            kind = _NUMBER
-        elif low in _UNIT_SET:
-            kind = _UNIT
-        if kind >= 0 and core[:1].isupper() and core[1:] == core[1:].lower() and len(core) > 1:
-            kind |= _CAPITAL
-        if word[-1] in ".!?:;" or word[-1] in "\"')]" and word[-2:-1] in (".", "!", "?"):
-            kind = kind | _ENDS if kind >= 0 else kind
-        self.hashes.append(_hash(value))
-        self.kinds.append(kind)
-        self[raw] = len(self.kinds) - 1
-        return self[raw]
-
-
-_UNIT_SET = frozenset(UNITS)
+            kind = _BLANK
+        else:
+            kind = _PLAIN
+            if len(low.translate(None, _DIGITS)) < len(low):
+                kind = _NUMBER
+            elif low in _UNIT_SET:
+                kind = _UNIT
+            if core[:1].isupper() and len(core) > 1 and core[1:] == core[1:].lower():
+                kind |= _CAPITAL
+            if raw[-1:] in b".!?:;" or raw[-1:] in b"\"')]" and raw[-2:-1] in b".!?":
+                kind |= _ENDS
+        self.hashes[row] = xxhash.xxh3_64_intdigest(low)
+        self.kinds[row] = kind
+        self[raw] = row
+        return row
 
 
 class Canonical:
@@ -88,13 +90,13 @@ class Canonical:
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """Template hash of each word, whether it is literal, and the words as written."""
         if len(self.words) > _Words.MOST:
-            self.words = _Words()
+            self.words = _Words()  # forget, so that memory stays bounded
         # the end of a line ends a sentence
         raw = text.replace("\n", " .\n").encode().split()
         rows = np.fromiter(map(self.words.__getitem__, raw), dtype=np.int64, count=len(raw))
-        kinds = self._kinds()[rows]
+        kinds = self.words.kinds[rows]
         # a word without letters ends a sentence if it is a stop; other marks are passed over
-        blank = kinds < 0
+        blank = kinds == _BLANK
         stop = np.zeros(len(raw) + 1, dtype=bool)
         stop[1:] = (kinds > 0) & (kinds & _ENDS > 0)
         stop[0] = True
@@ -109,25 +111,15 @@ class Canonical:
             rows, kinds = rows[kept], kinds[kept]
         else:
             begins = stop[:-1]
-        hashes = self._hashes()[rows]
+        hashes = self.words.hashes[rows]
         base = kinds & 3
         after_number = np.concatenate([[False], base[:-1] == _NUMBER])
         name = (kinds & _CAPITAL > 0) & ~begins & (base != _NUMBER)
         unit = (base == _UNIT) & after_number
         literal = ~((base == _NUMBER) | name | unit)
-        hashes = np.where(base == _NUMBER, np.uint64(NUMBER), np.where(unit, np.uint64(UNIT), np.where(name, np.uint64(NAME), hashes)))
+        hashes = np.where(base == _NUMBER, NUMBER, np.where(unit, UNIT, np.where(name, NAME, hashes)))
         return hashes, literal, raw
 
-    def _kinds(self) -> np.ndarray:
-        if getattr(self, "_k", None) is None or len(self._k) != len(self.words.kinds):
-            self._k = np.array(self.words.kinds, dtype=np.int16)
-            self._h = np.array(self.words.hashes, dtype=np.uint64)
-        return self._k
-
-    def _hashes(self) -> np.ndarray:
-        self._kinds()
-        return self._h
-
 
 def windows(hashes: np.ndarray, literal: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """Hash of the window at each position, whether it has enough literal words, and the words in a window."""
