@@ -130,11 +130,13 @@ def _placed(scanned: DataFrame) -> DataFrame:
 
 
 def _occurrences(placed: DataFrame) -> DataFrame:
-    """One row per token that has a context: ``row``, ``left``, ``token``, its place and ``seed``, whether a span meets it."""
+    """One row per token that has a context: ``row``, ``left``, ``token``, its place, ``core`` (the token without the marks at
+    its edges) and ``seed``, whether a span meets it."""
     meets = lambda t: F.exists("spans", lambda s: (s["start"] < t["stop"]) & (s["stop"] > t["start"]))
     marked = F.transform("tokens", lambda t: t.withField("seed", meets(t)))
     each = placed.filter(F.size("tokens") > 0).select("row", F.explode(marked).alias("t")).select("row", "t.*")
-    return each.filter(F.col("left") != "")
+    core = F.rtrim(F.ltrim(F.col("token"), F.lit(_EDGES)), F.lit(_EDGES))
+    return each.filter(F.col("left") != "").withColumn("core", core)
 
 
 def trusted_contexts(docs: DataFrame, occurrences: DataFrame, text_col: str = "text") -> DataFrame:
@@ -143,7 +145,7 @@ def trusted_contexts(docs: DataFrame, occurrences: DataFrame, text_col: str = "t
     A context's confidence is the sum of the scores of the tokens after it over all its occurrences in the corpus,
     before whatever word. It needs ``SUPPORT`` different tokens whose score reaches ``CONFIDENCE``.
     """
-    edges = occurrences.groupBy("left", "token").agg(F.count(F.lit(1)).alias("n"), F.bool_or("seed").alias("seed"))
+    edges = occurrences.groupBy("left", "core").agg(F.count(F.lit(1)).alias("n"), F.bool_or("seed").alias("seed"))
     edges = materialize(edges, "edges")
     enough = edges.groupBy("left").agg(F.count(F.lit(1)).alias("n_tokens"), F.sum("n").alias("n_edges")).filter(F.col("n_tokens") >= SUPPORT)
     enough = materialize(enough, "contexts")
@@ -153,27 +155,25 @@ def trusted_contexts(docs: DataFrame, occurrences: DataFrame, text_col: str = "t
     totals = materialize(totals, "context_totals")
     graph = materialize(edges.join(totals, "left"), "graph")
     seed = F.when(F.col("seed"), 1.0).otherwise(0.0)
-    scores = materialize(graph.groupBy("token").agg(F.max(seed).alias("score"), F.count(F.lit(1)).alias("n_left")), "scores")
+    scores = materialize(graph.groupBy("core").agg(F.max(seed).alias("score"), F.count(F.lit(1)).alias("n_left")), "scores")
     for turn in range(ROUNDS):
-        scored = join_unique(graph, scores, "token", F.col("n_left"))
+        scored = join_unique(graph, scores, "core", F.col("n_left"))
         sums = scored.groupBy("left", "n_all").agg(
             F.sum(F.col("n") * F.col("score")).alias("mass"), F.count_if(F.col("score") >= CONFIDENCE).alias("trusted")
         )
         confident = sums.filter(F.col("trusted") >= SUPPORT).select("left", F.least(F.col("mass") / F.col("n_all"), F.lit(1.0)).alias("confidence"))
         confident = materialize(confident.filter(F.col("confidence") >= CONFIDENCE), "confident")
         if turn + 1 < ROUNDS:
-            best = graph.join(confident, "left").groupBy("token").agg(F.max("confidence").alias("best"))
+            best = graph.join(confident, "left").groupBy("core").agg(F.max("confidence").alias("best"))
             raised = F.greatest("score", F.coalesce("best", F.lit(0.0)))
-            scores = materialize(scores.join(best, "token", "left").select("token", raised.alias("score"), "n_left"), "scores")
+            scores = materialize(scores.join(best, "core", "left").select("core", raised.alias("score"), "n_left"), "scores")
     return confident
 
 
 def _trimmed(spans: DataFrame) -> DataFrame:
-    """Spans of tokens without the marks at their edges."""
-    core = F.ltrim(F.col("token"), F.lit(_EDGES))
-    start = F.col("start") + F.length("token") - F.length(core)
-    stop = start + F.length(F.rtrim(core, F.lit(_EDGES)))
-    return spans.select("row", F.struct(F.lit(FOUND).alias("kind"), start.alias("start"), stop.alias("stop")).alias("span"))
+    """Spans of the cores of tokens."""
+    start = F.col("start") + F.length("token") - F.length(F.ltrim(F.col("token"), F.lit(_EDGES)))
+    return spans.select("row", F.struct(F.lit(FOUND).alias("kind"), start.alias("start"), (start + F.length("core")).alias("stop")).alias("span"))
 
 
 def _spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

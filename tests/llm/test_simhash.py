@@ -1,0 +1,84 @@
+import random
+
+import numpy as np
+import pytest
+
+from mediatrends.llm.simhash import _links, _masks, fingerprint, keep_one, simhash_components
+from tests.conftest import SF
+from tests.llm import plain
+
+SCHEMA = "doc_id long, text string"
+
+
+def test_fingerprints():
+    texts = ["", " \n", "One", "one TWO", "a b c", "a b c d a b c", "É é \x85 x\x0by z"]
+    assert [fingerprint(t) for t in texts] == [plain.fingerprint(t) for t in texts]
+
+
+def test_every_pair_of_three_bits_shares_five_positions():
+    masks = _masks()
+    assert len(masks) == 56
+    for bits in [(0, 1, 2), (0, 20, 63), (7, 8, 9)]:
+        flip = sum(1 << b for b in bits)
+        assert any(flip & m == 0 for m in masks)
+
+
+def _joined(edges, members):
+    root = {int(m): int(m) for m in members}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges.view(np.uint64).tolist():
+        root[find(a)] = find(b)
+    return {m: find(m) for m in root}
+
+
+@pytest.mark.parametrize("n, spread", [(300, 40), (6000, 14)])
+def test_links_of_a_list(n, spread):
+    """Few members are compared step by step; crowded lists look up the possible changes."""
+    draw = random.Random(n)
+    mask = _masks()[0]
+    free = [b for b in range(64) if not mask >> b & 1]
+    core = draw.getrandbits(64) & mask
+    members = np.unique(np.array([core | sum(1 << b for b in free[:spread] if draw.random() < 0.5) for _ in range(n)], dtype=np.uint64))
+    got = _joined(_links(members, mask), members)
+    want = dict(zip(members.tolist(), plain.groups(members.tolist()))) if len(members) < 1000 else None
+    if want is None:  # all changes of one bit among 14 free bits are present or bridged: one group
+        assert len(set(got.values())) == 1
+    else:
+        assert len({(got[m], want[m]) for m in want}) == len(set(got.values())) == len(set(want.values()))
+
+
+def test_given_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = sorted(docs.collect(), key=lambda r: r.doc_id)
+    prints = [plain.fingerprint(r.text) for r in rows]
+    least = {}
+    names = plain.groups(prints)
+    for r, g in zip(rows, names):
+        least.setdefault(g, r.doc_id)
+    want = {r.doc_id: (f"{p:016x}", least[g]) for r, p, g in zip(rows, prints, names)}
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in simhash_components(docs).collect()} == want
+    kept = keep_one(docs)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(least.values())
+
+
+def test_odd_rows(spark):
+    rows = [(None, None), (None, ""), (5, ""), (7, "a b c d"), (7, "a b c d"), (7, "something else again"), (None, "only here")]
+    df = spark.createDataFrame([(*r, 0, 1) for r in rows], SCHEMA + ", fp int, root int")
+    got = simhash_components(df).collect()
+    assert len(got) == 7
+    assert {r.component_id for r in got if r.fingerprint == "0" * 16} == {5}
+    kept = sorted((r.doc_id or 0, r.text or "") for r in keep_one(df).collect())
+    assert kept == [(0, "only here"), (5, ""), (7, "a b c d"), (7, "something else again")]
+    assert simhash_components(df.limit(0)).collect() == [] and keep_one(df.limit(0)).collect() == []
+
+
+def test_large_group_of_copies_and_long_text(spark):
+    text = " ".join(f"w{i * i % 99_991}" for i in range(60_000))
+    rows = [(i, "the very same text here") for i in range(2000)] + [(5000, text), (4000, text + ".")]
+    got = {r.doc_id: r.component_id for r in simhash_components(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[1999] == 0 and got[5000] == 4000
