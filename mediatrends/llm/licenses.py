@@ -52,7 +52,7 @@ KNOWN = {
 
 # Spellings that count as equal; the first form becomes the second.
 SPELLINGS = {
-    "licence": "license", "licenced": "licensed", "sub license": "sublicense", "non commercial": "noncommercial", "non infringement": "noninfringement",
+    "licence": "license", "licences": "licenses", "licenced": "licensed", "sublicence": "sublicense", "sub license": "sublicense", "non commercial": "noncommercial", "non infringement": "noninfringement",
     "merchantibility": "merchantability", "copyright owner": "copyright holder", "organisation": "organization", "authorised": "authorized",
     "recognised": "recognized", "favour": "favor", "honour": "honor", "fulfil": "fulfill", "per cent": "percent", "acknowledgement": "acknowledgment",
     "judgement": "judgment", "modernise": "modernize", "https": "http", "v 2 0": "version 2 0", "v3": "version 3",
@@ -65,10 +65,15 @@ PUNCTUATION = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 def canonical(text: Column) -> Column:
     """The canonical form of a text; empty for a text of marks and copyright lines only."""
     form = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "\n")
-    form = F.concat(F.lit(" "), F.regexp_replace(form, PUNCTUATION, " "), F.lit(" "))
+    # two spaces between words, so that each has one of its own on both sides
+    form = F.concat(F.lit(" "), F.regexp_replace(form, PUNCTUATION, "  "), F.lit(" "))
     for old, new in SPELLINGS.items():
-        form = F.replace(form, F.lit(f" {old} "), F.lit(f" {new} "))
-    return F.trim(form)
+        form = F.replace(form, F.lit(_apart(old)), F.lit(_apart(new)))
+    return F.trim(F.regexp_replace(form, " +", " "))
+
+
+def _apart(words: str) -> str:
+    return f" {words.replace(' ', '  ')} "
 
 
 def known_digests(spark, known: dict[str, list[str]] = KNOWN) -> DataFrame:
@@ -109,10 +114,10 @@ def _sql_text(text: str) -> str:
 
 def _sql_form(text: str) -> str:
     form = rf"regexp_replace(lower({text}), '{COPYRIGHT_LINE}', chr(10), 'g')"
-    form = rf"' ' || regexp_replace({form}, '{PUNCTUATION}', ' ', 'g') || ' '"
+    form = rf"' ' || regexp_replace({form}, '{PUNCTUATION}', '  ', 'g') || ' '"
     for old, new in SPELLINGS.items():
-        form = f"replace({form}, ' {old} ', ' {new} ')"
-    return f"trim({form})"
+        form = f"replace({form}, '{_apart(old)}', '{_apart(new)}')"
+    return f"trim(regexp_replace({form}, ' +', ' ', 'g'))"
 
 
 _KNOWN_SQL = ", ".join(f"({_sql_text(name)}, {_sql_text(text)})" for name, texts in KNOWN.items() for text in texts)
