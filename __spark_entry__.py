@@ -493,7 +493,7 @@ def q_stream_stats(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("event_id") - F.col("event_id") % 3).alias("VideoShareId"),
         scoring.timestamp(F.col("ts")).alias("ts"),
     ).filter("kind IS NOT NULL")
-    streams.stream_stats(interactions, f"{folder}/state", f"{folder}/checkpoint", "40 days").awaitTermination()
+    streams.stream_stats(interactions, f"{folder}/state", f"{folder}/checkpoint").awaitTermination()
     return streams.streamed_stats(tables["videos"], tables["reports"], f"{folder}/state")
 
 
@@ -519,7 +519,7 @@ def q_stream_trends(spark: SparkSession, sf: str) -> DataFrame:
     streams.stream_trends(
         history_stream(spark, sf), f"{folder}/history", f"{folder}/trends", f"{folder}/checkpoint", providers.trigram_embedder()
     ).awaitTermination()
-    return flat_trends(trends.current_trends(spark.read.parquet(f"{folder}/trends"))).drop("id", "batch_id")
+    return flat_trends(trends.current_trends(spark.read.parquet(f"{folder}/trends"))).drop("id", "batch_id", "batch_date")
 
 
 def llm_modules() -> list:

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -76,7 +76,7 @@ class BlockPairs:
             return df.join(self.pairs, "block")
         other = F.explode(F.sequence(F.lit(0), F.lit(self.n_blocks - 1)))
         low, high = F.least("block", "other"), F.greatest("block", "other")
-        tile = (low * F.lit(self.n_blocks) - (low * (low - 1) / 2).cast("int") + high - low).cast("int")
+        tile = low.cast("bigint") * F.lit(self.n_blocks) + high
         side = F.when(low == high, BOTH).when(F.col("block") == low, LEFT).otherwise(RIGHT)
         return df.withColumn("other", other).withColumn("tile", tile).withColumn("side", side).drop("other")
 
@@ -97,23 +97,25 @@ class BlockPairs:
                     yield pa.RecordBatch.from_pydict(columns, arrow_schema)
 
         tiled = self._tiles(df).drop("block")
-        return tiled.repartitionById(tasks, "tile").groupBy("tile").applyInArrow(tile, schema)
+        spread = F.pmod(F.xxhash64("tile"), F.lit(tasks)).cast("int")
+        return tiled.repartitionById(tasks, spread).groupBy("tile").applyInArrow(tile, schema)
 
 
 def _hash_blocks(points: DataFrame, n_blocks: int) -> DataFrame:
     return points.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(n_blocks)).cast("int"))
 
 
-def _local_blocks(points: DataFrame, n_blocks: int, reach: float, metric: str, block_rows: int) -> BlockPairs:
+def _local_blocks(points: DataFrame, n_pivots: int, reach: float, metric: str, block_rows: int) -> BlockPairs:
     """Blocks of nearby points, without the block pairs that are further apart than ``reach``.
 
-    Points go to the nearest of ``n_blocks`` pivots and crowded cells are cut by hash. By
-    the triangle inequality two blocks hold no pair within reach if their pivots are
-    further apart than both radii plus the reach. On the cosine metric this is applied to
-    chords of unit vectors, where distance d is a chord of sqrt(2 d).
+    Points go to the nearest of ``n_pivots`` pivots and crowded cells are cut by hash into more
+    blocks. By the triangle inequality two cells hold no pair within reach if their pivots
+    are further apart than both radii plus the reach. On the cosine metric this is applied to
+    chords of unit vectors, where distance d is a chord of sqrt(2 d). Only pivots and
+    cells pass through the driver; pairs of blocks are made from pairs of cells in tasks.
     """
     spark = points.sparkSession
-    chosen = points.orderBy(F.xxhash64("row"), "row").limit(n_blocks).select("vector").toArrow()
+    chosen = points.orderBy(F.xxhash64("row"), "row").limit(n_pivots).select("vector").toArrow()
     shape = unit_rows if metric == "cosine" else np.asarray
     pivots = shape(matrix(chosen.column("vector")))
 
@@ -125,34 +127,35 @@ def _local_blocks(points: DataFrame, n_blocks: int, reach: float, metric: str, b
         return pa.StructArray.from_arrays([pa.array(cell, pa.int32()), pa.array(gap)], ["cell", "gap"])
 
     located = materialize(points.withColumn("_at", locate("vector")).select("*", "_at.*").drop("_at"), "cells")
-    counts = {r["cell"]: r["n"] for r in located.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    layout, owner = [], []
-    for cell in sorted(counts):
-        parts = math.ceil(counts[cell] / block_rows)
-        layout.append((cell, len(owner), parts))
-        owner += [cell] * parts
-    parts = F.pmod(F.xxhash64("row"), F.col("_parts")).cast("int")
-    placed = (
-        located.join(spark.createDataFrame(layout, "cell int, _first int, _parts int"), "cell")
-        .withColumn("block", F.col("_first") + parts)
-        .drop("cell", "_first", "_parts")
-    )
-    radius = np.zeros(len(owner))
-    for r in placed.groupBy("block").agg(F.max("gap").alias("gap")).collect():
-        radius[r["block"]] = r["gap"]
+    cells = located.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("gap").alias("radius")).orderBy("cell").collect()
+    parts = np.array([math.ceil(c["n"] / block_rows) for c in cells])
+    first = np.cumsum(parts) - parts
+    layout = spark.createDataFrame([(c["cell"], int(f), int(p)) for c, f, p in zip(cells, first, parts)], "cell int, _first int, _parts int")
+    block = F.col("_first") + F.pmod(F.xxhash64("row"), F.col("_parts")).cast("int")
+    # fewer cells than pivots, whose number is bounded
+    placed = located.join(F.broadcast(layout), "cell").withColumn("block", block).drop("cell", "gap", "_first", "_parts")
+    radius, centers = np.array([c["radius"] for c in cells]), pivots[[c["cell"] for c in cells]]
     chord = math.sqrt(2 * reach) if metric == "cosine" else reach
-    centers = pivots[owner]
     # the slack covers rounding of the distances above
     near = pairwise(centers, centers, "l2") - radius[:, None] - radius[None, :] <= chord + 1e-6
     low, high = np.nonzero(np.triu(near))
-    tile, apart = np.arange(len(low)), low != high
-    columns = {
-        "block": np.concatenate([low, high[apart]]).astype(np.int32),
-        "tile": np.concatenate([tile, tile[apart]]).astype(np.int32),
-        "side": np.concatenate([np.where(apart, LEFT, BOTH), np.full(apart.sum(), RIGHT)]).astype(np.int32),
-    }
-    pairs = spark.createDataFrame(pa.table(columns))
-    return BlockPairs(placed.drop("gap"), len(owner), pairs, len(low))
+    same = low == high
+    n_pairs = int(np.where(same, parts[low] * (parts[low] + 1) // 2, parts[low] * parts[high]).sum())
+    ends = {"low_first": first[low], "low_parts": parts[low], "high_first": first[high], "high_parts": parts[high]}
+    near_cells = spark.createDataFrame(pa.table({k: v.astype(np.int32) for k, v in ends.items()}))
+
+    def blocks_of(end: str) -> Column:
+        return F.explode(F.sequence(F.col(f"{end}_first"), F.col(f"{end}_first") + F.col(f"{end}_parts") - 1))
+
+    tiles = near_cells.withColumn("low", blocks_of("low")).withColumn("high", blocks_of("high")).filter("low <= high")
+    tile = F.col("low").cast("bigint") * F.lit(int(parts.sum())) + F.col("high")
+    apart = F.col("low") != F.col("high")
+    ends_of = F.array(
+        F.struct(F.col("low").alias("block"), F.when(apart, LEFT).otherwise(BOTH).alias("side")),
+        F.when(apart, F.struct(F.col("high").alias("block"), F.lit(RIGHT).alias("side"))),
+    )
+    pairs = tiles.select(tile.alias("tile"), F.explode(F.array_compact(ends_of)).alias("end")).select("end.block", "tile", "end.side")
+    return BlockPairs(placed, int(parts.sum()), materialize(pairs, "block_pairs"), n_pairs)
 
 
 def block_pairs(
@@ -167,7 +170,7 @@ def block_pairs(
 
     There are enough blocks to bound a block to about ``block_rows`` rows and to give
     every core a pair. With a ``reach`` and many blocks, pairs that are provably too far
-    apart are left out; the pivots for that are checked to fit in a task.
+    apart are left out, however many blocks there are.
     """
     total = points.count()
     if n_blocks is None:
@@ -177,8 +180,9 @@ def block_pairs(
         prune = n_blocks >= PRUNE_FROM_BLOCKS
     if prune and reach is not None and total:
         width = points.select(F.size("vector").alias("width")).first()["width"]
-        if n_blocks * max(width, n_blocks) * 8 <= SHIP_LIMIT_BYTES:
-            return _local_blocks(points, n_blocks, reach, metric, block_rows)
+        # pivots and their distances fit in a task; beyond that many blocks, cells hold several
+        n_pivots = max(1, min(n_blocks, SHIP_LIMIT_BYTES // (8 * max(width, 1)), math.isqrt(SHIP_LIMIT_BYTES // 8)))
+        return _local_blocks(points, n_pivots, reach, metric, block_rows)
     return BlockPairs(_hash_blocks(points, n_blocks), n_blocks)
 
 

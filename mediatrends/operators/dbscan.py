@@ -58,22 +58,21 @@ def _least_tree(levels: np.ndarray, square: bool, limit: int) -> list[tuple[int,
     rows, columns = levels.shape
     nodes = rows if square else rows + columns
     across = levels if square else np.ascontiguousarray(levels.T)
-    best = np.full(nodes, limit, np.uint8)  # 0 once a node is in the forest
-    pick = best.copy()  # 255 once a node is in the forest
+    best = np.full(nodes, limit, np.int32)  # -1 once a node is in the forest, so that nothing improves it
+    pick = best.copy()  # above every level once a node is in the forest
     parent = np.full(nodes, -1)
     edges = []
     for _ in range(nodes):
         node = int(pick.argmin())
         if pick[node] < limit:
             edges.append((int(parent[node]), node, int(pick[node])))
-        best[node], pick[node] = 0, 255
+        best[node], pick[node] = -1, limit + 1
         if square or node < rows:
             reach, offset = levels[node], 0 if square else rows
         else:
             reach, offset = across[node - rows], 0
         part = slice(offset, offset + len(reach))
-        # a visited node can never improve, since its best is 0; level 0 must beat "limit" only
-        closer = (reach < best[part]) & (pick[part] != 255)
+        closer = reach < best[part]
         best[part][closer] = reach[closer]
         pick[part][closer] = reach[closer]
         parent[part][closer] = node
@@ -107,7 +106,7 @@ def _core_forest(metric: str, eps_list: list[float], settings: int):
     limit = len(eps_list)
 
     def kernel(a: Side, b: Side) -> Iterator[dict]:
-        base = np.empty((len(a), len(b)), np.uint8)
+        base = np.empty((len(a), len(b)), np.int32)
         for rows, distances in distance_steps(a, b, metric):
             base[rows] = np.searchsorted(eps_list, distances, side="left")
         nodes = a["row"] if a is b else np.concatenate([a["row"], b["row"]])
@@ -116,7 +115,7 @@ def _core_forest(metric: str, eps_list: list[float], settings: int):
         place[by_row] = np.arange(len(nodes))
         nodes = nodes[by_row]
         for setting in range(settings):
-            core_a, core_b = a[f"core{setting}"].astype(np.uint8), b[f"core{setting}"].astype(np.uint8)
+            core_a, core_b = a[f"core{setting}"].astype(np.int32), b[f"core{setting}"].astype(np.int32)
             levels = np.maximum(np.maximum(base, core_a[:, None]), core_b[None, :])
             edges = [(int(place[u]), int(place[v]), at) for u, v, at in _least_tree(levels, a is b, limit)]
             for level, root in _stars(edges, limit):

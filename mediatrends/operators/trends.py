@@ -129,6 +129,9 @@ def current_trends(trends: DataFrame, limit: int = TOP_N_TRENDS, min_score: floa
         raise ValueError("limit must be between 1 and 100")
     if min_score < 0:
         raise ValueError("min_score must not be negative")
+    if "batch_date" in trends.columns:  # the table's partitions: only the newest day is read
+        newest = trends.agg(F.max("batch_date").alias("d")).first()["d"]
+        trends = trends.filter(F.col("batch_date") == F.lit(newest))
     latest = trends.filter(F.col("batch_timestamp") == max_batch(trends).scalar())
     ties = [c for c in ("cluster_id", "representative_query", "id") if c in trends.columns]
     return (

@@ -31,6 +31,8 @@ EMPTY_CHAT = "chat_id is empty"
 EMPTY_EMBEDDING = "Embedding is empty or None"
 TOO_FEW_ROWS = "Insufficient data for clustering"
 NO_CLUSTERS = "No semantic clusters found"
+NO_AUDIO = "Input file missing or empty: "
+UNSUITABLE = "Unsuitable file type ["
 
 
 # --- search ------------------------------------------------------------------------
@@ -79,10 +81,11 @@ def search_job(
         )
         known = embedded.select(F.col("query").alias("_query"), F.lit(True).alias("_embedded"))
         error = F.coalesce("error", F.when(F.col("_embedded").isNull(), EMPTY_EMBEDDING))
+        # invalid searches have no text to join by and stay out of the joins
+        valid = checked.filter("error IS NULL").withColumn("_query", F.col("query"))
+        joined = valid.join(known, "_query", "left").join(results, "_query", "left")
         answered = (
-            checked.withColumn("_query", F.when(F.col("error").isNull(), F.col("query")))
-            .join(known, "_query", "left")
-            .join(results, "_query", "left")
+            joined.unionByName(checked.filter("error IS NOT NULL"), allowMissingColumns=True)
             .withColumn("error", error)
             .withColumn("status", F.when(F.col("error").isNull(), SUCCESS).otherwise(ERROR))
             .withColumn("results", F.coalesce("results", F.array().cast(f"array<{VIDEO_HITS.simpleString()}>")))
@@ -206,7 +209,8 @@ def full_history_clusters(
     if out_path is not None:
         writers.export_clusters_json(members, f"{out_path}/clusters")
         labelled.select("row_id", "query", "original_query").write.mode("overwrite").json(f"{out_path}/queries")
-        embeddings.write.mode("overwrite").json(f"{out_path}/embeddings")
+        vectors = labelled.select("row_id", "query").join(embeddings, "query").select("row_id", "query", "embedding")
+        vectors.write.mode("overwrite").json(f"{out_path}/embeddings")
     return HistoryClusters(labelled, embeddings, samples)
 
 
@@ -272,8 +276,8 @@ def transcript_text(segments: DataFrame, part_rows: int = 1000) -> DataFrame:
 def check_media(media: DataFrame) -> DataFrame:
     """Add ``video_id``, ``media_type`` and ``error`` (NULL for a usable video file)."""
     kind = media_type("path")
-    missing = F.concat(F.lit("Input file missing or empty: "), F.col("path"))
-    unsuitable = F.concat(F.lit("Unsuitable file type ["), F.coalesce(F.col("media_type"), F.lit("None")), F.lit("]"))
+    missing = F.concat(F.lit(NO_AUDIO), F.col("path"))
+    unsuitable = F.concat(F.lit(UNSUITABLE), F.coalesce(F.col("media_type"), F.lit("None")), F.lit("]"))
     return (
         media.withColumn("video_id", file_stem("path"))
         .withColumn("media_type", kind)
@@ -307,27 +311,35 @@ def build_transcript_tables(
     """Video and segment rows with embeddings for the media files (``path``, ``size``).
 
     Titles number the accepted files in path order. Segments and embeddings are matched by
-    text, so a segment without an embedding is left out and shifts no other.
+    text, so a segment without an embedding is left out and shifts no other. Files that are
+    empty, are no video or have no transcript are in ``rejected``.
     """
-    checked = check_media(media)
-    accepted = with_row_number(checked.filter("error IS NULL"), [F.col("path")], "place")
-    title = F.concat(F.lit(title_prefix), (F.col("place") + 1).cast("string"))
-    spoken = accepted.select("video_id", title.alias("title")).join(transcripts, "video_id")
-    if metadata is None:
-        meta = F.lit("null")
-    else:
-        meta = F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in metadata.items()]))
-    text = spoken.select(
-        "video_id", F.lit(tenant_id).alias("tenant_id"), "title", F.lit(video_url).cast("string").alias("video_url"),
-        meta.alias("video_metadata"), full_text(F.col("segments")).alias("video_text"),
-    )
-    videos = embed_distinct(text, "video_text", embed_fn, "text_embedding", **embed_options)
-    videos = videos.withColumnRenamed("video_id", "id")
-    parts = transcript_segments(spoken).withColumn("tenant_id", F.lit(tenant_id))
-    segments = embed_distinct(parts, "segment_text", embed_fn, "segment_embedding", how="inner", **embed_options)
+    with scratch_scope(media.sparkSession) as scope:
+        checked = materialize(check_media(media), "media")
+        accepted = with_row_number(checked.filter("error IS NULL"), [F.col("path")], "place")
+        title = F.concat(F.lit(title_prefix), (F.col("place") + 1).cast("string"))
+        named = materialize(accepted.select("video_id", "path", title.alias("title")), "accepted")
+        spoken = named.drop("path").join(transcripts, "video_id")
+        if metadata is None:
+            meta = F.lit("null")
+        else:
+            meta = F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in metadata.items()]))
+        text = spoken.select(
+            "video_id", F.lit(tenant_id).alias("tenant_id"), "title", F.lit(video_url).cast("string").alias("video_url"),
+            meta.alias("video_metadata"), full_text(F.col("segments")).alias("video_text"),
+        )
+        # results are written once, so the model is not asked again whenever one is read
+        videos = embed_distinct(text, "video_text", embed_fn, "text_embedding", **embed_options)
+        videos = scope.keep(materialize(videos.withColumnRenamed("video_id", "id"), "videos"))
+        parts = transcript_segments(spoken).withColumn("tenant_id", F.lit(tenant_id))
+        segments = embed_distinct(parts, "segment_text", embed_fn, "segment_embedding", how="inner", **embed_options)
+        segments = scope.keep(materialize(segments, "segments"))
+        silent = named.join(transcripts.select("video_id"), "video_id", "left_anti").select("path")
+        without = checked.filter("error IS NULL").join(silent, "path", "left_semi").withColumn("error", F.concat(F.lit(NO_AUDIO), F.col("path")))
+        rejected = scope.keep(materialize(checked.filter("error IS NOT NULL").unionByName(without), "rejected"))
     if out_path is not None:
         writers.write_transcript_parquet(videos, segments, out_path)
-    return TranscriptTables(videos, segments, checked.filter("error IS NOT NULL"))
+    return TranscriptTables(videos, segments, rejected)
 
 
 def ingest_parquet(

@@ -48,9 +48,12 @@ def scratch_root(spark: SparkSession) -> str:
     executors could not read each other's files.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    local = spark.sparkContext.master.startswith("local")  # local-cluster runs on one machine, too
     if configured:
+        if configured.startswith("file:") and not local:
+            raise RuntimeError("spark.checkpoint.dir names a folder of one machine")
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not local:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _local_scratch:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import PurePosixPath
+from urllib.parse import unquote
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from py4j.protocol import Py4JJavaError
+from pyarrow import fs
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,19 +32,18 @@ def list_files(spark: SparkSession, paths: str | list[str], suffix: str = "") ->
 
 
 def list_media(spark: SparkSession, folder: str) -> DataFrame:
-    """``path`` and ``size`` of the media files in a folder.
-
-    Spark's file sources skip files of zero bytes, so these do not appear at all.
-    """
-    return list_files(spark, folder).withColumnRenamed("length", "size")
+    """``path`` and ``size`` of the media files in a folder, those of zero bytes included."""
+    filled = list_files(spark, folder).withColumnRenamed("length", "size")
+    # a scan skips files of zero bytes; the file index, which Spark holds anyway, lists them
+    indexed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).inputFiles()
+    every = spark.createDataFrame([(unquote(p),) for p in indexed], "path string")
+    plain = F.regexp_replace("path", "^file:/+", "file:/")
+    empty = every.withColumn("_key", plain).join(filled.select(plain.alias("_key")), "_key", "left_anti")
+    return filled.unionByName(empty.select("path", F.lit(0).cast("bigint").alias("size")))
 
 
 Group = tuple[StructType, list[str]]
 
-# A file with vectors is larger than this; only smaller ones can lack columns.
-SMALL_FILE_BYTES = 4096
-
-
 def _groups(spark: SparkSession, files: list[str]) -> list[Group]:
     """Files grouped so that each group's schemas merge; a group that does not is halved."""
     if not files:
@@ -56,27 +59,45 @@ def _groups(spark: SparkSession, files: list[str]) -> list[Group]:
         return _groups(spark, files[:middle]) + _groups(spark, files[middle:])
 
 
-def _with_columns(spark: SparkSession, files: list[str]) -> list[str]:
-    """The files without those that have no columns at all, which cannot be scanned."""
-    merged = _groups(spark, files)
-    if not any(schema.fields for schema, _ in merged):
-        return []
-    if len(files) == 1:
-        return files
-    middle = len(files) // 2
-    return _with_columns(spark, files[:middle]) + _with_columns(spark, files[middle:])
+def _footers(files: DataFrame) -> DataFrame:
+    """``path`` and ``kind`` of each file: its schema as text, empty without columns, NULL if Arrow has no access to the store.
+
+    Footers are read in tasks.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds = []
+            for path in batch["path"].to_pylist():
+                try:
+                    store, inner = fs.FileSystem.from_uri(path)
+                except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+                    kinds.append(None)
+                    continue
+                schema = pq.read_schema(inner, filesystem=store)
+                kinds.append("\n".join(f"{f.name} {f.type}" for f in schema))
+            yield pa.RecordBatch.from_arrays([batch["path"], pa.array(kinds, pa.string())], names=["path", "kind"])
+
+    tasks = files.sparkSession.sparkContext.defaultParallelism
+    return files.select("path").repartition(tasks).mapInArrow(read, "path string, kind string")
 
 
 def _read_drifting(
     spark: SparkSession, files: DataFrame, shape: Callable[[DataFrame], DataFrame], schema: StructType
 ) -> DataFrame:
-    """Read files (``path``, ``length``) whose column types differ, one scan per set of types."""
-    listed = files.orderBy("path").collect()
-    small = [r["path"] for r in listed if r["length"] < SMALL_FILE_BYTES]
-    large = [r["path"] for r in listed if r["length"] >= SMALL_FILE_BYTES]
+    """Read files (``path``) whose column types differ, one scan per set of types; files without columns hold nothing.
+
+    A scan is made from the paths of its files, which Spark's file index keeps on the driver.
+    """
+    by_kind: dict[str | None, list[str]] = {}
+    for path, kind in _footers(files).orderBy("path").collect():
+        if kind != "":
+            by_kind.setdefault(kind, []).append(path)
     merged: dict[str, Group] = {}
-    for found, members in _groups(spark, _with_columns(spark, small) + large):
-        merged.setdefault(found.simpleString(), (found, []))[1].extend(members)
+    for kind, members in by_kind.items():
+        groups = _groups(spark, members) if kind is None else [(spark.read.parquet(members[0]).schema, members)]
+        for found, own in groups:
+            merged.setdefault(found.simpleString(), (found, []))[1].extend(own)
     result = spark.createDataFrame([], schema)
     for found, members in merged.values():
         result = result.unionByName(shape(spark.read.schema(found).parquet(*members)))
@@ -183,11 +204,21 @@ def read_cluster_json(spark: SparkSession, path: str, n_rows: int | None = None)
 
 
 def read_embeddings_json(spark: SparkSession, path: str) -> DataFrame:
-    """``row_id``, ``query`` and ``embedding`` from one object with two parallel lists."""
+    """``row_id``, ``query`` and ``embedding`` from exported embeddings.
+
+    Reads JSON lines of these three, as the history job writes them, or files that hold one
+    object with the parallel lists ``queries`` and ``embeddings`` (such a file is one task's work).
+    Any other form is an error.
+    """
+    lines = spark.read.schema("row_id bigint, query string, embedding array<double>").json(path)
+    if not lines.filter("row_id IS NOT NULL").isEmpty():
+        missing = F.raise_error(F.lit("a line without row_id")).cast("bigint")
+        return lines.withColumn("row_id", F.coalesce("row_id", missing))
     schema = "queries array<string>, embeddings array<array<double>>"
-    pairs = spark.read.schema(schema).json(path, multiLine=True).select(
-        F.posexplode(F.arrays_zip("queries", "embeddings")).alias("row_id", "pair")
-    )
+    whole = spark.read.schema(schema).json(path, multiLine=True)
+    if not whole.isEmpty() and whole.filter("queries IS NOT NULL AND embeddings IS NOT NULL").isEmpty():
+        raise ValueError(f"no embeddings in a known form: {path}")
+    pairs = whole.select(F.posexplode(F.arrays_zip("queries", "embeddings")).alias("row_id", "pair"))
     return pairs.select(F.col("row_id").cast("bigint"), F.col("pair.queries").alias("query"), F.col("pair.embeddings").alias("embedding"))
 
 
@@ -211,4 +242,6 @@ def read_table(spark: SparkSession, name: str, path: str, fmt: str = "parquet",
         raise ValueError(f"unknown table: {name}")
     if fmt == "jdbc":
         return spark.read.format("jdbc").options(dbtable=path, **options).load()
-    return spark.read.schema(TABLES[name]).format(fmt).options(**options).load(path)
+    # batches may lie in folders of their own beside files; all are the table's rows
+    reader = spark.read.schema(TABLES[name]).format(fmt).option("recursiveFileLookup", "true")
+    return reader.options(**options).load(path)

@@ -21,11 +21,13 @@ from mediatrends.functions.vectors import unnest_vector
 from mediatrends.operators.history import windowed_query_volume
 from mediatrends.operators.popularity import exclude_reported
 from mediatrends.plans.jobs import trend_job
-from mediatrends.sources.writers import DuplicateVideoError, conform, existing, trend_rows
+from mediatrends.session import materialize, scratch_scope
+from mediatrends.sources.writers import DuplicateVideoError, conform, existing, persist_trends
 
 INTERACTION_KINDS = ("like", "view", "share", "post")
 
-HISTORY_INPUT = "id string, chat_id string, query string, created_at timestamp, batch_id long"
+HISTORY_INPUT = StructType([schemas.HISTORY[c] for c in ("id", "chat_id", "query", "created_at")])
+SEEN = StructType().add("kind", StringType()).add("Id", LongType())
 COUNTS = StructType().add("video_id", LongType()).add("kind", StringType()).add("n", LongType())
 POST_COUNTS = StructType().add("share_id", LongType()).add("n", LongType())
 SHARE_VIDEOS = StructType().add("share_id", LongType()).add("video_id", LongType())
@@ -56,7 +58,7 @@ def stream_trends(
         typed = {"created_at": timestamp(F.col("created_at"))}
         typed.update({c: F.col(c).cast("string") for c in ("id", "chat_id")})
         _write_batch(batch.withColumns(typed), history_path, batch_id)
-        stored = spark.read.schema(HISTORY_INPUT).parquet(history_path)
+        stored = existing(spark, history_path, HISTORY_INPUT, "batch_id")
         as_of: datetime | None = (
             stored.filter(F.col("batch_id") == batch_id)
             .agg(F.date_format(F.max("created_at"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("t"))
@@ -65,44 +67,38 @@ def stream_trends(
         if as_of is None:
             return
         # later batches may be stored already when a batch is replayed
-        seen = stored.filter(F.col("batch_id") <= batch_id).drop("batch_id")
+        seen = stored.filter(F.coalesce(F.col("batch_id") <= batch_id, F.lit(True))).drop("batch_id")
         moment = datetime.fromisoformat(as_of)
         result = trend_job(seen, moment, embed_fn, **options)
         if result.trends is not None:
-            _write_batch(trend_rows(result.trends, moment), trends_path, batch_id)
+            persist_trends(result.trends, trends_path, moment, batch_id=f"stream-{batch_id}")
 
     return _start(history_stream, each, checkpoint, trigger)
 
 
-def stream_stats(
-    interactions: DataFrame,
-    state_path: str,
-    checkpoint: str,
-    watermark: str = "1 hour",
-    trigger: dict | None = None,
-) -> StreamingQuery:
-    """Keep counts of interactions (``kind``, ``Id``, ``VideoId``, ``VideoShareId``, ``ts``).
+def stream_stats(interactions: DataFrame, state_path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Keep counts of interactions (``kind``, ``Id``, ``VideoId``, ``VideoShareId``).
 
-    An interaction that arrives again within the watermark counts once. Posts are counted
-    by share and matched to videos when the statistics are read, so a post may arrive
-    before its share.
+    An interaction counts once however often and however late it arrives: each batch leaves
+    out what earlier batches have stored. Posts are counted by share and matched to videos
+    when the statistics are read, so a post may arrive before its share.
     """
-    unique = interactions.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["kind", "Id"])
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        try:
-            direct = batch.filter(F.col("kind").isin("like", "view", "share"))
+        earlier = existing(batch.sparkSession, f"{state_path}/seen", SEEN, "_batch")
+        earlier = earlier.filter(F.col("_batch") != batch_id).select("kind", "Id")
+        with scratch_scope(batch.sparkSession):
+            fresh = materialize(batch.dropDuplicates(["kind", "Id"]).join(earlier, ["kind", "Id"], "left_anti"), "fresh")
+            direct = fresh.filter(F.col("kind").isin("like", "view", "share"))
             counts = direct.groupBy(F.col("VideoId").alias("video_id"), "kind").agg(F.count("Id").alias("n"))
-            posts = batch.filter("kind = 'post'").groupBy(F.col("VideoShareId").alias("share_id"))
-            shares = batch.filter("kind = 'share'").select(F.col("Id").alias("share_id"), F.col("VideoId").alias("video_id"))
+            posts = fresh.filter("kind = 'post'").groupBy(F.col("VideoShareId").alias("share_id"))
+            shares = fresh.filter("kind = 'share'").select(F.col("Id").alias("share_id"), F.col("VideoId").alias("video_id"))
             _write_batch(counts, f"{state_path}/counts", batch_id)
             _write_batch(posts.agg(F.count("Id").alias("n")), f"{state_path}/posts", batch_id)
             _write_batch(shares, f"{state_path}/shares", batch_id)
-        finally:
-            batch.unpersist()
+            _write_batch(fresh.select("kind", F.col("Id").cast("bigint").alias("Id")), f"{state_path}/seen", batch_id)
 
-    return _start(unique, each, checkpoint, trigger)
+    return _start(interactions, each, checkpoint, trigger)
 
 
 def streamed_stats(videos: DataFrame, reports: DataFrame, state_path: str, null_aware: bool = True) -> DataFrame:
@@ -136,8 +132,8 @@ def stream_ingest(
         rows = unnest_vector(batch, vector)
         if kind == "videos":
             rows = conform(rows.withColumnRenamed("video_id", "id"), schema)
-            stored = existing(batch.sparkSession, table_path, StructType([*schema.fields]).add("batch_id", "long"))
-            earlier = stored.filter(F.col("batch_id") != batch_id).select("id")
+            stored = existing(batch.sparkSession, table_path, schema, "_batch")
+            earlier = stored.filter(~F.col("_batch").eqNullSafe(batch_id)).select("id")
             twice = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id")
             clash = twice.union(rows.select("id").join(earlier, "id", "left_semi")).first()
             if clash:

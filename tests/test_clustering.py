@@ -182,3 +182,13 @@ def test_histogram_like_numpy(spark):
     same = validity.size_histogram(spark.createDataFrame([(0,), (1,)], "label long")).collect()
     want = np.flatnonzero(np.histogram([1, 1], bins=30)[0])
     assert [r["bin"] - 1 for r in same] == want.tolist()
+
+
+@pytest.mark.parametrize("n", [254, 255, 300])
+def test_least_tree_with_many_radii(n):
+    from mediatrends.operators.dbscan import _least_tree, _stars
+
+    levels = np.array([[0, n - 1, n], [n - 1, 0, n], [n, n, 0]], dtype=np.int32)
+    edges = _least_tree(levels, True, n)
+    assert [(min(u, v), max(u, v), at) for u, v, at in edges] == [(0, 1, n - 1)]
+    assert [root.tolist() for level, root in _stars(edges, n) if level == n - 1] == [[0, 0]]

@@ -93,7 +93,7 @@ def test_path_checks(spark, tmp_path):
 def test_transcripts_to_tables(spark, tmp_path):
     media_dir = tmp_path / "media"
     media_dir.mkdir()
-    for name, content in (("b.mp4", "x"), ("a.MOV", "x"), ("song.mp3", "x")):
+    for name, content in (("b.mp4", "x"), ("a.MOV", "x"), ("song.mp3", "x"), ("silent film.mp4", "x"), ("none.mp4", "")):
         (media_dir / name).write_text(content)
     lines = [
         {"video_id": "a", "segments": [{"start": 0.0, "end": 1.0, "text": " hello "}, {"start": 1.0, "end": 2.0, "text": " "}, {"start": 2.0, "end": 3.5, "text": "you\n"}]},
@@ -101,9 +101,16 @@ def test_transcripts_to_tables(spark, tmp_path):
     ]
     (tmp_path / "t.json").write_text("\n".join(json.dumps(x) for x in lines))
     empty = spark.createDataFrame([("/media/empty.mp4", 0)], "path string, size long")
+    asked = spark.sparkContext.accumulator(0)
+    plain = trigram_embedder(8)
+
+    def counting(texts):
+        asked.add(len(texts))
+        return plain(texts)
+
     built = jobs.build_transcript_tables(
         readers.list_media(spark, str(media_dir)).union(empty), readers.read_transcripts(spark, str(tmp_path / "t.json")),
-        trigram_embedder(8), "tenant", metadata={"k": 1}, out_path=str(tmp_path / "out"),
+        counting, "tenant", metadata={"k": 1}, out_path=str(tmp_path / "out"),
     )
     videos = {r["id"]: r for r in built.videos.collect()}
     assert (videos["a"]["title"], videos["b"]["title"]) == ("video_1", "video_2")
@@ -112,6 +119,8 @@ def test_transcripts_to_tables(spark, tmp_path):
     # the silent second segment has no embedding and shifts nothing
     assert sorted((r["segment_index"], r["segment_text"], len(r["segment_embedding"])) for r in built.segments.collect()) == [(1, "hello", 8), (3, "you", 8)]
     assert {r["error"].split(":")[0] for r in built.rejected.collect()} == {"Unsuitable file type [audio]", "Input file missing or empty"}
+    assert sorted(r["path"].rsplit("/", 1)[1] for r in built.rejected.collect()) == ["empty.mp4", "none.mp4", "silent film.mp4", "song.mp3"]
+    assert asked.value == 3  # "hello  you", "hello" and "you", whatever was read since
     read = readers.read_segments(spark, str(tmp_path / "out" / "segment"), 8)
     assert read.count() == 2 and readers.read_videos(spark, str(tmp_path / "out" / "video")).count() == 2
 
@@ -167,3 +176,31 @@ def test_tuning_report(spark, embeddings):
     assert report["grid"].count() == 4 and report["pivot_num_clusters"].count() == 2
     assert report["silhouette"].first()[0] is not None
     assert set(report) >= {"size_histogram", "largest_clusters", "davies_bouldin", "calinski_harabasz", "best_silhouette", "best_davies_bouldin"}
+
+
+def test_large_file_without_columns(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    bare = pa.table({}).replace_schema_metadata({"pandas": "x" * 200_000})
+    pq.write_table(bare, tmp_path / "segment_bare.parquet")
+    frame = pd.DataFrame([{"video_id": "a", "segment_index": 1, "segment_embedding": [1.0, 2.0]}])
+    frame.to_parquet(tmp_path / "segment_full.parquet")
+    frame.assign(segment_embedding=None).to_parquet(tmp_path / "segment_null.parquet")
+    frame.assign(segment_index="2").to_parquet(tmp_path / "segment_text.parquet")
+    got = readers.read_segments(spark, str(tmp_path)).orderBy("segment_index").collect()
+    assert [r["segment_index"] for r in got] == [1, 1, 2]
+
+
+def test_history_export_is_read_back(spark, tmp_path):
+    rows = [(f"{i}", "c", q, f"2024-01-01T00:{i:02}:00") for i, q in enumerate(["red shoes", "Red shoes!", "blue hat", "blue hat", "green tea"])]
+    history = spark.createDataFrame(rows, "id string, chat_id string, query string, created_at string").withColumn("created_at", F.to_timestamp("created_at"))
+    jobs.full_history_clusters(history, trigram_embedder(64), out_path=str(tmp_path))
+    points = readers.read_embeddings_json(spark, str(tmp_path / "embeddings"))
+    assert points.count() == 5 and {tuple(r) for r in points.select("row_id", "query").collect()} == {
+        (0, "green tea"), (1, "blue hat"), (2, "blue hat"), (3, "red shoes"), (4, "red shoes")}
+    members = readers.read_cluster_json(spark, str(tmp_path / "clusters"))
+    assert jobs.tuning_report(points, members, [0.5], [2])["diagnostics"].first()["total_points"] == 5
+    (tmp_path / "odd.json").write_text('{"other": 1}')
+    with pytest.raises(ValueError):
+        readers.read_embeddings_json(spark, str(tmp_path / "odd.json"))

@@ -51,6 +51,28 @@ def test_trends_over_batches(spark, tmp_path):
     assert spark.read.parquet(stored).count() == 16
 
 
+def test_late_and_repeated_interactions_count_once(spark, tmp_path):
+    schema = "kind string, Id long, VideoId long, VideoShareId long, ts timestamp"
+    source, state, check = (str(tmp_path / n) for n in ("in", "state", "check"))
+    late = T0 - timedelta(days=400)
+    for rows in ([("view", 1, 0, None, T0)], [("view", 2, 0, None, late), ("view", 1, 0, None, T0), ("share", 5, 0, None, T0)], [("share", 5, 0, None, late), ("post", 9, None, 5, late)]):
+        drop(spark, rows, schema, source)
+        S.stream_stats(once(spark, schema, source), state, check).awaitTermination()
+    videos = spark.createDataFrame([(0,)], "id long")
+    got = S.streamed_stats(videos, spark.createDataFrame([], "VideoId long, IsResolved boolean"), state).first()
+    assert tuple(got) == (0, 0, 2, 1, 1)
+
+
+def test_streams_start_on_stored_tables(spark, tmp_path):
+    schema = "id string, chat_id string, query string, created_at timestamp"
+    source, stored, out, check = (str(tmp_path / n) for n in ("in", "history", "trends", "check"))
+    drop(spark, [(f"old-{i}", "c", "red shoes", T0) for i in range(5)], schema, stored)
+    drop(spark, [(f"new-{i}", "c", "red shoes", T0 + timedelta(minutes=1)) for i in range(3)], schema, source)
+    S.stream_trends(once(spark, schema, source), stored, out, check, trigram_embedder(64)).awaitTermination()
+    assert writers.existing(spark, stored, S.HISTORY_INPUT).count() == 8
+    assert [r["query_count"] for r in spark.read.parquet(out).collect()] == [8]
+
+
 def test_ingest(spark, tmp_path):
     frame = pd.DataFrame([{"video_id": "a", "tenant_id": "t", "segment_index": 1, "segment_start_time": 0.0, "segment_end_time": 1.0, "segment_text": "x", "segment_embedding": [[1.0, 2.0]]}])
     source = tmp_path / "in"
