@@ -52,7 +52,7 @@ KNOWN = {
 
 # Spellings that count as equal; the first form becomes the second.
 SPELLINGS = {
-    "licence": "license", "licences": "licenses", "licenced": "licensed", "sublicence": "sublicense", "sub license": "sublicense", "non commercial": "noncommercial", "non infringement": "noninfringement",
+    "licence": "license", "licences": "licenses", "licenced": "licensed", "sublicence": "sublicense", "unlicence": "unlicense", "sub license": "sublicense", "non commercial": "noncommercial", "non infringement": "noninfringement",
     "merchantibility": "merchantability", "copyright owner": "copyright holder", "organisation": "organization", "authorised": "authorized",
     "recognised": "recognized", "favour": "favor", "honour": "honor", "fulfil": "fulfill", "per cent": "percent", "acknowledgement": "acknowledgment",
     "judgement": "judgment", "modernise": "modernize", "https": "http", "v 2 0": "version 2 0", "v3": "version 3",
