@@ -6,6 +6,7 @@ import os
 import sys
 import uuid
 from collections.abc import Callable
+from datetime import timedelta
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F  # noqa: E402
 from mediatrends.functions import providers, scoring, text, vectors  # noqa: E402
 from mediatrends.operators import grid, history, ivf, popularity, search, trends, validity  # noqa: E402
 from mediatrends.operators.blocks import eps_pairs  # noqa: E402
+from mediatrends.operators.components import connected_components  # noqa: E402
 from mediatrends.operators.dbscan import dbscan  # noqa: E402
 from mediatrends.plans import jobs  # noqa: E402
 from mediatrends.session import materialize, scratch_root, with_row_number  # noqa: E402
@@ -262,6 +264,35 @@ def q_dbscan(metric: str, eps: float, min_samples: int):
     return run
 
 
+def q_eps_pairs_blocked(prune: bool):
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        pairs = eps_pairs(table(spark, sf, "embeddings"), EPS, id_col="vec_id", n_blocks=12, prune=prune, block_rows=48)
+        return pairs.withColumn("distance", scoring.round4(F.col("distance")))
+
+    return run
+
+
+def q_dbscan_blocked(min_samples: int, prune: bool):
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        points = table(spark, sf, "embeddings")
+        labels = dbscan(points, EPS, min_samples, id_col="vec_id", n_blocks=12, prune=prune, block_rows=48)
+        return labels.select(F.col("id").alias("vec_id"), "label", "is_core")
+
+    return run
+
+
+def q_index_blocked(name: str):
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return getattr(validity, name)(labelled_points(spark, sf), block_rows=48).select(F.round(name, 6).alias(name))
+
+    return run
+
+
+def q_connected_components(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = eps_pairs(table(spark, sf, "embeddings"), EPS, id_col="vec_id", n_blocks=12, prune=False)
+    return connected_components(pairs.select("src", "dst"))
+
+
 def q_query_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return query_labels(spark, sf).select("query", "cluster_id")
 
@@ -433,31 +464,51 @@ def q_display_phrase(spark: SparkSession, sf: str) -> DataFrame:
 # --- jobs, sinks and streams over the same tables ------------------------------------
 
 
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+LETTER_EPS = 0.18
+
+
+def letter_counts(texts: list[str]) -> list[list[float]]:
+    """An embedding that SQL can express: how often each letter occurs."""
+    return [[float(t.count(c)) for c in LETTERS] for t in texts]
+
+
 def q_embed_distinct(spark: SparkSession, sf: str) -> DataFrame:
-    rows = providers.embed_distinct(normalized_history(spark, sf), "query", providers.trigram_embedder())
-    return rows.groupBy("query").agg(F.count(F.lit(1)).alias("rows"), F.max(F.size("embedding")).alias("width"))
+    rows = providers.embed_distinct(normalized_history(spark, sf), "query", letter_counts)
+    counts = F.array_join(F.transform(F.first("embedding"), lambda x: x.cast("bigint").cast("string")), ",")
+    return rows.groupBy("query").agg(F.count(F.lit(1)).alias("rows"), counts.alias("counts"))
 
 
 def q_search_job(spark: SparkSession, sf: str) -> DataFrame:
-    """Every search of the history against the transcripts of all conversations."""
-    embed = providers.trigram_embedder()
+    """Every search of the history against the transcripts of all conversations: status of each, hits of each text."""
     parts = jobs.transcript_segments(transcripts(spark, sf)).withColumn("id", F.concat_ws("-", "video_id", "segment_index"))
-    stored = providers.embed_distinct(parts, "segment_text", embed, "segment_embedding", how="inner")
+    stored = providers.embed_distinct(parts, "segment_text", letter_counts, "segment_embedding", how="inner")
     searches = search_history(spark, sf).select("id", "query", F.col("chat_id").cast("string").alias("chat_id"), F.lit(None).cast("string").alias("temporary_id"))
-    answers = jobs.search_job(searches, stored, embed, k=20)
-    return answers.select("id", "status", "error", (F.size("results") > 0).alias("found"))
+    answers = jobs.search_job(searches, stored, letter_counts, metric="l2")
+    hits = F.transform("results", lambda v: F.concat_ws(":", v["video_id"], F.array_join(F.transform(
+        v["segments"], lambda s: F.concat_ws("=", s["segment_start_time"].cast("bigint"), F.round(s["distance"] * 10000).cast("bigint"))), ",")))
+    return answers.select("id", "status", "error", F.sha2(F.array_join(hits, ";"), 256).alias("hits"))
+
+
+TREND_COLUMNS = [
+    "representative_query", "representative_query_generated", "trend_score", "query_count", "unique_query_count", "top_queries"
+]
 
 
 def q_trend_job(spark: SparkSession, sf: str) -> DataFrame:
-    moment = table(spark, sf, "events").agg(F.max("ts")).first()[0]
-    result = jobs.trend_job(search_history(spark, sf), moment, providers.trigram_embedder())
-    return flat_trends(result.trends)
+    """Find, persist and read back the trends of the history."""
+    moment = table(spark, sf, "events").agg(F.max("ts")).first()[0] + timedelta(minutes=1)
+    folder = new_folder(spark, "trends")
+    jobs.trend_job(search_history(spark, sf), moment, letter_counts, eps=LETTER_EPS, trends_path=folder)
+    return flat_trends(trends.current_trends(spark.read.parquet(folder))).select(*TREND_COLUMNS)
 
 
 def q_full_history(spark: SparkSession, sf: str) -> DataFrame:
     folder = new_folder(spark, "history")
-    jobs.full_history_clusters(search_history(spark, sf), providers.trigram_embedder(), out_path=folder)
-    return readers.read_cluster_json(spark, f"{folder}/clusters").groupBy("cluster_id").agg(F.count(F.lit(1)).alias("rows"))
+    jobs.full_history_clusters(search_history(spark, sf), letter_counts, eps=LETTER_EPS, out_path=folder)
+    vectors_read = readers.read_embeddings_json(spark, f"{folder}/embeddings")
+    width = F.aggregate("embedding", F.lit(0.0), lambda a, b: a + b).cast("bigint")
+    return readers.read_cluster_json(spark, f"{folder}/clusters").join(vectors_read, "row_id").select("row_id", "cluster_id", "query", width.alias("letters"))
 
 
 def q_transcript_tables(spark: SparkSession, sf: str) -> DataFrame:
@@ -517,9 +568,9 @@ def q_stream_query_volume(spark: SparkSession, sf: str) -> DataFrame:
 def q_stream_trends(spark: SparkSession, sf: str) -> DataFrame:
     folder = new_folder(spark, "stream")
     streams.stream_trends(
-        history_stream(spark, sf), f"{folder}/history", f"{folder}/trends", f"{folder}/checkpoint", providers.trigram_embedder()
+        history_stream(spark, sf), f"{folder}/history", f"{folder}/trends", f"{folder}/checkpoint", letter_counts, eps=LETTER_EPS
     ).awaitTermination()
-    return flat_trends(trends.current_trends(spark.read.parquet(f"{folder}/trends"))).drop("id", "batch_id", "batch_date")
+    return flat_trends(trends.current_trends(spark.read.parquet(f"{folder}/trends"))).select(*TREND_COLUMNS)
 
 
 def llm_modules() -> list:
@@ -573,6 +624,15 @@ def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "dbscan_components": q_dbscan("cosine", EPS, 2),
         "dbscan_border": q_dbscan("cosine", EPS, 5),
         "dbscan_euclidean": q_dbscan("l2", 1.15, 5),
+        "eps_pairs_blocked": q_eps_pairs_blocked(False),
+        "eps_pairs_pruned": q_eps_pairs_blocked(True),
+        "dbscan_blocked": q_dbscan_blocked(2, False),
+        "dbscan_blocked_border": q_dbscan_blocked(5, False),
+        "dbscan_pruned": q_dbscan_blocked(2, True),
+        "dbscan_pruned_border": q_dbscan_blocked(5, True),
+        "silhouette_blocked": q_index_blocked("silhouette"),
+        "davies_bouldin_blocked": q_index_blocked("davies_bouldin"),
+        "connected_components": q_connected_components,
         "query_clusters": q_query_clusters,
         "cluster_trends": q_cluster_trends,
         "current_trends": q_current_trends,
@@ -677,6 +737,14 @@ HISTORY_SQL = f"""
     ),
     moment AS (SELECT max(ts) + INTERVAL 1 MINUTE AS as_of FROM events)"""
 
+# the stream reads names as they are, as of its newest row
+PLAIN_HISTORY_SQL = f"""
+    searches AS (
+        SELECT event_id AS id, user_id AS chat_id, ts AS created_at, p_name AS original_query, {normal('p_name')} AS query
+        FROM events JOIN part ON p_partkey = (event_id * 7) % (SELECT count(*) FROM part)
+    ),
+    moment AS (SELECT max(ts) AS as_of FROM events)"""
+
 RECENCY = "exp(-(epoch_us(as_of) - epoch_us(created_at)) / 60e6 / 5)"
 
 # per text: rows, recency, and the number of its newest row
@@ -735,6 +803,23 @@ QUERY_CLUSTERS_SQL = f"""{HISTORY_SQL}, {ACTIVITY_SQL},
     ), {dbscan_sql('labels', 'texts', EPS, 2)}"""
 
 
+def letters_sql(column: str) -> str:
+    return f"[(length({column}) - length(replace({column}, chr(c::INTEGER), '')))::DOUBLE for c in range(97, 123)]"
+
+
+def letter_clusters_sql(history: str) -> str:
+    """CTEs of the distinct texts of a history and their clusters by letter counts."""
+    return f"""{history}, {ACTIVITY_SQL},
+    texts AS (SELECT query AS id, first_row AS place, {letters_sql('query')} AS vector, n AS weight FROM activity),
+    {dbscan_sql('labels', 'texts', LETTER_EPS, 2)}"""
+
+
+def letter_trends_sql(history: str) -> str:
+    return f"""WITH RECURSIVE {letter_clusters_sql(history)}, {trends_sql('trends', 'numbered', 'as_of')}
+    SELECT representative_query, array_to_string(string_split(representative_query, ' ')[1:4], ' ') AS representative_query_generated,
+        trend_score, query_count, unique_query_count, top_queries FROM trends"""
+
+
 def trends_sql(name: str, source: str, moment: str) -> str:
     """CTEs for the scored clusters of the rows of ``source`` as of a moment."""
     return f"""
@@ -929,8 +1014,21 @@ def volume_sql(slide_minutes: int, source: str = "searches", until: str = "") ->
     FROM placed {until} GROUP BY start, query"""
 
 
+# Queries that take another path to the rows of a query with SQL.
+SAME_ROWS = {
+    "eps_pairs_blocked": "eps_pairs",
+    "eps_pairs_pruned": "eps_pairs",
+    "dbscan_blocked": "dbscan_components",
+    "dbscan_pruned": "dbscan_components",
+    "dbscan_blocked_border": "dbscan_border",
+    "dbscan_pruned_border": "dbscan_border",
+    "silhouette_blocked": "silhouette",
+    "davies_bouldin_blocked": "davies_bouldin",
+}
+
+
 def own_oracle_sql() -> dict[str, str]:
-    return {
+    sql = {
         "video_stats_fanout": fanout_sql(),
         "video_stats_fanout_skewed": fanout_sql(skewed=True),
         "video_stats": f"{STATS_SQL} SELECT * FROM stats",
@@ -1038,7 +1136,36 @@ def own_oracle_sql() -> dict[str, str]:
         "display_phrase": """WITH chosen AS (
             SELECT doc_id, CASE WHEN doc_id % 3 = 1 AND lang <> '' THEN lang ELSE coalesce(text, '') END AS phrase FROM documents)
             SELECT doc_id, upper(phrase[1]) || lower(phrase[2:]) AS display FROM chosen""",
-        "search_job": f"""WITH {HISTORY_SQL} SELECT id, CASE WHEN original_query IS NULL THEN 'Error' ELSE 'Success' END AS status,
-            CASE WHEN original_query IS NULL THEN 'Query is empty or None' END AS error, original_query IS NOT NULL AS found FROM history""",
-        "embed_distinct": f"""WITH {HISTORY_SQL} SELECT query, count(*) AS rows, 64 AS width FROM searches GROUP BY query""",
+        "search_job": f"""WITH {HISTORY_SQL},
+            segments AS (
+                SELECT video_id || '-' || segment_index AS segment_id, video_id, segment_index, {letters_sql('segment_text')} AS vector FROM (
+                    SELECT conv_id::VARCHAR AS video_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS segment_index,
+                        turn * 5 AS start, {STRIPPED} AS segment_text FROM conversations)
+                WHERE segment_text <> ''),
+            starts AS (
+                SELECT conv_id::VARCHAR || '-' || row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS segment_id, turn * 5 AS start FROM conversations),
+            texts AS (SELECT DISTINCT original_query AS text FROM history WHERE original_query IS NOT NULL),
+            ranked AS (
+                SELECT text, segment_id, video_id, distance, row_number() OVER (PARTITION BY text ORDER BY distance, segment_id) AS rank FROM (
+                    SELECT text, segment_id, video_id, list_distance({letters_sql('text')}, vector) AS distance FROM texts, segments)),
+            videos AS (
+                SELECT text, video_id, min(rank) AS best,
+                    string_agg(start || '=' || (round(round(distance, 4) * 10000))::BIGINT, ',' ORDER BY rank) AS listed
+                FROM ranked JOIN starts USING (segment_id) WHERE rank <= 250 GROUP BY text, video_id),
+            answers AS (SELECT text, string_agg(video_id || ':' || listed, ';' ORDER BY best) AS hits FROM videos GROUP BY text)
+            SELECT id, CASE WHEN original_query IS NULL THEN 'Error' ELSE 'Success' END AS status,
+                CASE WHEN original_query IS NULL THEN 'Query is empty or None' END AS error, sha256(coalesce(hits, '')) AS hits
+            FROM history LEFT JOIN answers ON text = original_query""",
+        "embed_distinct": f"""WITH {HISTORY_SQL} SELECT query, count(*) AS rows,
+            array_to_string([x::BIGINT for x in {letters_sql('query')}], ',') AS counts FROM searches GROUP BY query""",
+        "trend_job": letter_trends_sql(HISTORY_SQL),
+        "stream_trends": letter_trends_sql(PLAIN_HISTORY_SQL),
+        "full_history_clusters": f"""WITH RECURSIVE {letter_clusters_sql(HISTORY_SQL)}
+            SELECT position - 1 AS row_id, label AS cluster_id, query, list_sum({letters_sql('query')})::BIGINT AS letters
+            FROM numbered JOIN labels ON labels.id = query WHERE label >= 0""",
+        "connected_components": f"""WITH RECURSIVE {VECTORS_SQL},
+            near AS (SELECT a.id AS a, b.id AS b FROM points a JOIN points b ON a.id <> b.id AND list_cosine_distance(a.vector, b.vector) <= {EPS}),
+            reach AS (SELECT a AS id, a AS node FROM near UNION SELECT id, b FROM reach JOIN near ON node = a)
+            SELECT id, min(node) AS component FROM reach GROUP BY id""",
     }
+    return sql | {name: sql[same] for name, same in SAME_ROWS.items()}
