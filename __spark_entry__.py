@@ -219,7 +219,7 @@ def q_knn(metric: str, rank_by: str | None = None):
 
 def q_knn_join(metric: str, rank_by: str | None = None, **options):
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        hits = search.knn_join(knn_queries(spark, sf), segments(spark, sf), 10, metric, rank_by, **options)
+        hits = search.knn_join(knn_queries(spark, sf), segments(spark, sf), metric=metric, rank_by=rank_by, **options)
         return hits.withColumn("rank", F.col("rank").cast("bigint"))
 
     return run
@@ -238,14 +238,16 @@ def q_search_grouped(spark: SparkSession, sf: str) -> DataFrame:
 
 def ivf_cells(spark: SparkSession, sf: str):
     source = segments(spark, sf)
-    model = ivf.ivf_train(source, lists=16)
-    return ivf.ivf_assign(source, model), model
+    model = ivf.ivf_train(source)
+    folder = new_folder(spark, "cells")
+    writers.write_cells(ivf.ivf_assign(source, model), folder)
+    return spark.read.parquet(folder), model
 
 
 def q_ivf(probes: int):
     def run(spark: SparkSession, sf: str) -> DataFrame:
         cells, model = ivf_cells(spark, sf)
-        hits = ivf.ivf_search(knn_queries(spark, sf), cells, model, 10, probes)
+        hits = ivf.ivf_search(knn_queries(spark, sf), cells, model, probes=probes)
         return hits.withColumn("rank", F.col("rank").cast("bigint"))
 
     return run
@@ -617,7 +619,7 @@ def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "knn_join_l2": q_knn_join("l2"),
         "knn_join_blocked": q_knn_join("cosine", ship_limit=0, block_rows=256),
         "search_grouped": q_search_grouped,
-        "ivf_search_all_cells": q_ivf(16),
+        "ivf_search_all_cells": q_ivf(ivf.DEFAULT_LISTS),
         "ivf_search": q_ivf(4),
         "embedding_distances": q_embedding_distances,
         "eps_pairs": q_eps_pairs,
@@ -885,7 +887,7 @@ def knn_one_sql(metric: str, rank_by: str) -> str:
 
 
 def knn_join_sql(metric: str) -> str:
-    return f"WITH {knn_sql(metric, metric, 10)} SELECT query_id, segment_id, abs(distance) AS distance, rank FROM hits"
+    return f"WITH {knn_sql(metric, metric, 250)} SELECT query_id, segment_id, abs(distance) AS distance, rank FROM hits"
 
 
 def labels_sql(min_samples: int) -> str:

@@ -142,3 +142,23 @@ def test_unnest(spark):
     assert [r["e"] for r in V.unnest_vector(nested, "e").orderBy("i").collect()] == [[1.0, 2.0], [], None]
     flat = spark.createDataFrame([([1.0],)], "e array<double>")
     assert V.unnest_vector(flat, "e").schema["e"].dataType.simpleString() == "array<float>"
+
+
+def test_ivf_reads_only_visited_cells(spark, tmp_path):
+    from mediatrends.operators import ivf
+    from mediatrends.sources import writers
+
+    draw = np.random.default_rng(3)
+    rows = [(f"s{i}", "v", 0.0, 1.0, "t", draw.normal(size=8).tolist()) for i in range(200)]
+    segments = spark.createDataFrame(rows, "id string, video_id string, segment_start_time double, segment_end_time double, segment_text string, segment_embedding array<double>")
+    model = ivf.ivf_train(segments, lists=8)
+    writers.write_cells(ivf.ivf_assign(segments, model), str(tmp_path / "cells"))
+    stored = spark.read.parquet(str(tmp_path / "cells"))
+    queries = spark.createDataFrame([("q", rows[0][5])], "query_id string, embedding array<double>")
+    hits = ivf.ivf_search(queries, stored, model, k=5, probes=1)
+    assert hits.filter("rank = 1").first()["segment_id"] == "s0"
+    plan = hits._jdf.queryExecution().toString()
+    pruned = [p.split("]")[0] for p in plan.split("PartitionFilters: [")[1:]]
+    assert any("cell#" in p and " IN (" in p for p in pruned), pruned
+    exact = ivf.ivf_search(queries, stored, model, k=5, probes=8)
+    assert {r["segment_id"] for r in hits.collect()} <= {r[0] for r in rows} and exact.count() == 5
