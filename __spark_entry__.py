@@ -24,8 +24,9 @@ from mediatrends.sources import readers, writers  # noqa: E402
 from mediatrends.streaming import jobs as streams  # noqa: E402
 
 EPS = 0.65
-GRID_EPS = [0.55, 0.6, 0.65]
-GRID_MIN_SAMPLES = [2, 5]
+# as many settings as the tuning grid has, at radii where these vectors form clusters
+GRID_EPS = [round(1.08 + 0.015 * i, 3) for i in range(len(grid.GRID_EPS))]
+GRID_MIN_SAMPLES = grid.GRID_MIN_SAMPLES
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -382,7 +383,7 @@ def q_index(name: str):
 
 def small_grid(spark: SparkSession, sf: str, validity: bool = True) -> DataFrame:
     points = table(spark, sf, "embeddings")
-    return grid.dbscan_grid(points, GRID_EPS, GRID_MIN_SAMPLES, "cosine", id_col="vec_id", validity=validity)
+    return grid.dbscan_grid(points, GRID_EPS, GRID_MIN_SAMPLES, "l2", id_col="vec_id", validity=validity)
 
 
 def q_dbscan_grid(spark: SparkSession, sf: str) -> DataFrame:
@@ -764,13 +765,19 @@ ACTIVITY_SQL = f"""
     )"""
 
 
-def dbscan_sql(name: str, points: str, eps: float, min_samples: int, distance: str = "list_cosine_distance") -> str:
-    """CTEs that end in ``name`` (id, label, is_core); points have id, place, vector, weight."""
+def dbscan_sql(
+    name: str, points: str, eps: float, min_samples: int, distance: str = "list_cosine_distance", known: str | None = None
+) -> str:
+    """CTEs that end in ``name`` (id, label, is_core); points have id, place, vector, weight.
+
+    ``known`` names a table of all distances (a, b, gap) between points of weight 1.
+    """
+    near = f"""SELECT a.id AS a, b.id AS b, b.weight AS weight FROM {points} a JOIN {points} b
+        ON a.id = b.id OR {distance}(a.vector, b.vector) <= {eps}"""
+    if known:
+        near = f"SELECT a, b, 1 AS weight FROM {known} WHERE gap <= {eps}"
     return f"""
-    {name}_near AS (
-        SELECT a.id AS a, b.id AS b, b.weight AS weight FROM {points} a JOIN {points} b
-        ON a.id = b.id OR {distance}(a.vector, b.vector) <= {eps}
-    ),
+    {name}_near AS ({near}),
     {name}_core AS (SELECT a AS id FROM {name}_near GROUP BY a HAVING sum(weight) >= {min_samples}),
     {name}_reach AS (
         SELECT id AS root, id AS node FROM {name}_core
@@ -897,12 +904,13 @@ def labels_sql(min_samples: int) -> str:
 SIZES_SQL = "sizes AS (SELECT label, count(*) AS size FROM labels WHERE label >= 0 GROUP BY label)"
 
 
-def index_sql(source: str, key: str) -> str:
-    """CTEs with the three validity indices per ``key`` of ``source`` (key, id, vector, label)."""
+def index_sql(source: str, key: str, known: str | None = None) -> str:
+    """CTEs with the three validity indices per ``key`` of ``source`` (key, id, vector, label); ``known`` as above."""
+    gap, more = ("gap", f"JOIN {known} g ON g.a = a.id AND g.b = b.id") if known else ("list_distance(a.vector, b.vector)", "")
     return f"""
     gaps AS (
-        SELECT a.{key} AS key, a.id, a.label AS own, b.label AS other, sum(list_distance(a.vector, b.vector)) AS total, count(*) AS size
-        FROM {source} a JOIN {source} b ON a.{key} = b.{key} GROUP BY ALL
+        SELECT a.{key} AS key, a.id, a.label AS own, b.label AS other, sum({gap}) AS total, count(*) AS size
+        FROM {source} a JOIN {source} b ON a.{key} = b.{key} {more} GROUP BY ALL
     ),
     inside AS (
         SELECT key, id, max(CASE WHEN own = other THEN total / nullif(size - 1, 0) END) AS a,
@@ -944,11 +952,14 @@ def embedding_index_sql(table_name: str, column: str) -> str:
 
 def grid_sql() -> str:
     settings = [(e, m) for m in GRID_MIN_SAMPLES for e in GRID_EPS]
-    runs = ", ".join(dbscan_sql(f"run{i}", "points", e, m) for i, (e, m) in enumerate(settings))
+    runs = ", ".join(dbscan_sql(f"run{i}", "points", e, m, known="distances") for i, (e, m) in enumerate(settings))
     union = " UNION ALL ".join(
         f"SELECT {i} AS config, {e}::DOUBLE AS eps, {m}::BIGINT AS min_samples, id, label FROM run{i}" for i, (e, m) in enumerate(settings)
     )
-    return f"""WITH RECURSIVE {VECTORS_SQL}, {runs},
+    return f"""WITH RECURSIVE {VECTORS_SQL},
+    distances AS MATERIALIZED (
+        SELECT a.id AS a, b.id AS b, CASE WHEN a.id = b.id THEN 0 ELSE list_distance(a.vector, b.vector) END AS gap FROM points a, points b
+    ), {runs},
     runs AS ({union}),
     counts AS (
         SELECT config, eps, min_samples, count(DISTINCT CASE WHEN label >= 0 THEN label END) AS num_clusters,
@@ -959,7 +970,7 @@ def grid_sql() -> str:
         SELECT config, id, vector, label FROM runs JOIN points USING (id) JOIN counts USING (config)
         WHERE label >= 0 AND num_clusters >= 2
     ),
-    {index_sql('labelled', 'config')},
+    {index_sql('labelled', 'config', 'distances')},
     grid AS (
         SELECT eps, min_samples, num_clusters, noise_count, noise_pct, round(silhouette, 6) AS silhouette, round(davies_bouldin, 6) AS davies_bouldin
         FROM counts LEFT JOIN silhouettes s ON s.key = config LEFT JOIN bouldins b ON b.key = config
