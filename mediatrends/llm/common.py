@@ -51,6 +51,11 @@ def type_of(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
 
+def row_key(id_: Column, text_key: Column) -> Column:
+    """One number, never null, for an id that may be null and the hash of a text."""
+    return F.xxhash64(id_, text_key)
+
+
 def join_unique(left: DataFrame, right: DataFrame, key: str, weight: Column, how: str = "inner", hot_keys: int = 1000) -> DataFrame:
     """Join ``left`` with ``right``, which has one row per ``key``, when keys of ``left`` may be hot.
 
@@ -66,4 +71,4 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, weight: Column, how
     return marked.filter("_hot").drop("_hot").join(F.broadcast(few.drop("_hot")), key).unionByName(rest)
 
 
-__all__ = ["WORD", "job", "join_unique", "materialize", "settings", "text_rows", "type_of"]
+__all__ = ["WORD", "job", "join_unique", "materialize", "row_key", "settings", "text_rows", "type_of"]

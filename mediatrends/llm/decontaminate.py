@@ -218,7 +218,9 @@ def contaminated(
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that contain no benchmark item; rows without an id are judged together."""
-    with job(docs.sparkSession) as scope:
-        found = contaminated(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("_id")).distinct()
-        return scope.keep(materialize(docs.join(found, F.col(id_col).eqNullSafe(F.col("_id")), "left_anti"), "decontaminated"))
+    """The rows of ``docs`` that contain no benchmark item; rows without an id are judged together.
+
+    The items are found, the rows not yet computed.
+    """
+    found = contaminated(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("_id")).distinct()
+    return docs.join(found, F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")

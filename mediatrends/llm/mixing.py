@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mediatrends.llm.common import WORD, job, join_unique, materialize
+from mediatrends.llm.common import WORD, job, join_unique, materialize, row_key
 from mediatrends.session import with_row_number, with_row_order
 
 CYCLE = 3  # weights 1, 2, 3, 1, 2, 3, ... by the order of the sources
@@ -87,16 +87,20 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of ``docs`` that the mix takes, with ``mix_size``, ``mix_target``, ``mix_copies`` and ``mix_taken``.
 
-    Rows equal in id and text are one row, whose copies are those of all.
+    Rows equal in id and text are one row, whose copies are those of all. The mix is found, the rows not yet computed.
     """
     with job(docs.sparkSession) as scope:
         taken = _mixed(docs, id_col, text_col, source_col).filter("copies > 0").groupBy(F.col("id").alias("_id"), F.col("text_key").alias("_key"))
         taken = taken.agg(
             F.first("size").alias("mix_size"), F.first("target").alias("mix_target"), F.sum("copies").alias("mix_copies"), F.sum("taken").alias("mix_taken")
         )
-        text_key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-        rows = docs.join(taken, F.col(id_col).eqNullSafe(F.col("_id")) & (text_key == F.col("_key")))
-        return scope.keep(materialize(rows.dropDuplicates(["_id", "_key"]).drop("_id", "_key"), "mixed"))
+        taken = scope.keep(materialize(taken.withColumn("_row", row_key(F.col("_id"), F.col("_key"))), "taken")).withColumnRenamed("_row", "_taken_row")
+    rows = docs.withColumn("_text_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    rows = rows.withColumn("_row", row_key(F.col(id_col), F.col("_text_key")))
+    same = (rows["_row"] == taken["_taken_row"]) & rows[id_col].eqNullSafe(taken["_id"]) & (rows["_text_key"] == taken["_key"])
+    joined = rows.join(taken, same)
+    added = ["mix_size", "mix_target", "mix_copies", "mix_taken"]
+    return joined.dropDuplicates(["_row", id_col, "_text_key"]).select(*docs.columns, *added)
 
 
 def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:

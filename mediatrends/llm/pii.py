@@ -214,24 +214,26 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def mask_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with every span of personal data replaced by its kind in brackets; other columns are unchanged.
 
-    Of spans that overlap, the first is named and the whole covered stretch is replaced.
+    Of spans that overlap, the first is named and the whole covered stretch is replaced. The spans are found, the
+    texts not yet computed.
     """
     with job(docs.sparkSession) as scope:
         found = _spans(docs, id_col, text_col).withColumn("all", F.concat("base", "added")).filter(F.size("all") > 0)
         ordered = F.array_sort("all", lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(b["stop"] - a["stop"]))
         found = found.select(F.col("id").alias("_id"), F.col("text_key").alias("_key"), ordered.alias("_all")).dropDuplicates(["_id", "_key"])
-        text = F.col(text_col)
-
-        def add(done: Column, span: Column) -> Column:
-            fresh = span["start"] >= done["at"]
-            before = F.substr(text, done["at"] + 1, span["start"] - done["at"])
-            return F.struct(
-                F.greatest(done["at"], span["stop"]).alias("at"),
-                F.when(fresh, F.concat(done["out"], before, F.lit("["), F.upper(span["kind"]), F.lit("]"))).otherwise(done["out"]).alias("out"),
-            )
-
-        start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-        masked = F.aggregate("_all", start, add, lambda done: F.concat(done["out"], F.substr(text, done["at"] + 1, F.length(text))))
-        same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_key"))
-        rows = docs.join(found, same, "left").withColumn(text_col, F.when(F.col("_all").isNull(), text).otherwise(masked))
-        return scope.keep(materialize(rows.select(*docs.columns), "masked"))
+        found = scope.keep(materialize(found, "masks"))
+    text = F.col(text_col)
+
+    def add(done: Column, span: Column) -> Column:
+        fresh = span["start"] >= done["at"]
+        before = F.substr(text, done["at"] + 1, span["start"] - done["at"])
+        return F.struct(
+            F.greatest(done["at"], span["stop"]).alias("at"),
+            F.when(fresh, F.concat(done["out"], before, F.lit("["), F.upper(span["kind"]), F.lit("]"))).otherwise(done["out"]).alias("out"),
+        )
+
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    masked = F.aggregate("_all", start, add, lambda done: F.concat(done["out"], F.substr(text, done["at"] + 1, F.length(text))))
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_key"))
+    rows = docs.join(found, same, "left").withColumn(text_col, F.when(F.col("_all").isNull(), text).otherwise(masked))
+    return rows.select(*docs.columns)

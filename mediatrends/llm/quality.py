@@ -158,12 +158,11 @@ def quality_rules(
 def filter_quality(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source"
 ) -> DataFrame:
-    """The rows of ``docs`` that ``quality_rules`` keeps. Texts are counted twice instead of being shuffled."""
+    """The rows of ``docs`` that ``quality_rules`` keeps, not yet computed. Texts are counted twice instead of being shuffled."""
     with job(docs.sparkSession) as scope:
         columns = (docs, id_col, text_col, lang_col, source_col)
-        found = materialize(limits(materialize(sketches(_counted(*columns)), "sketches")), "limits")
-        kept = _judged(_counted(*columns, whole=True), found).filter("kept").select("row.*")
-        return scope.keep(materialize(kept, "quality_kept"))
+        found = scope.keep(materialize(limits(materialize(sketches(_counted(*columns)), "sketches")), "limits"))
+        return _judged(_counted(*columns, whole=True), found).filter("kept").select("row.*")
 
 
 def _judged(counted: DataFrame, found: DataFrame) -> DataFrame:

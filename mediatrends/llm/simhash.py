@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediatrends.llm.common import job, join_unique, materialize, text_rows, type_of
+from mediatrends.llm.common import job, join_unique, materialize, row_key, text_rows, type_of
 from mediatrends.operators.components import connected_components
 
 SHINGLE = 3
@@ -217,11 +217,13 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of near-duplicates of ``docs``: the one with the smallest id. Columns are unchanged.
 
-    Rows without an id come last; rows equal in id and text count as one.
+    Rows without an id come last; rows equal in id and text count as one. The groups are computed, the rows not yet.
     """
     with job(docs.sparkSession) as scope:
-        rows = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
-        kept = _named(rows)[1].select(F.col("first.id").alias("_id"), F.col("first.text_key").alias("_key"))
-        text_key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-        chosen = docs.join(kept, F.col(id_col).eqNullSafe(F.col("_id")) & (text_key == F.col("_key")), "left_semi")
-        return scope.keep(materialize(chosen.dropDuplicates([id_col, text_col]), "deduplicated"))
+        named = scope.keep(_named(materialize(fingerprints(docs, id_col, text_col), "fingerprints"))[1])
+    kept = named.select(row_key(F.col("first.id"), F.col("first.text_key")).alias("_row"), F.col("first.id").alias("_id"), F.col("first.text_key").alias("_key"))
+    rows = docs.withColumn("_text_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    rows = rows.withColumn("_row", row_key(F.col(id_col), F.col("_text_key")))
+    same = (rows["_row"] == kept["_row"]) & rows[id_col].eqNullSafe(kept["_id"]) & (rows["_text_key"] == kept["_key"])
+    # rows stay where the join has put them
+    return rows.join(kept, same, "left_semi").dropDuplicates(["_row", id_col, "_text_key"]).select(*docs.columns)
