@@ -18,7 +18,8 @@ from mediatrends.llm.common import job, materialize, text_rows, type_of
 
 WINDOW = 8  # template words in a window; a shorter item is one window
 LITERALS = 5  # a window has at least this many words that are no placeholders, or as many as the item has words
-SHARE = 0.3  # of an item's windows that must meet, with consistent slots
+SHARE = 0.3  # of an item's windows that must meet, with consistent slots,
+ENOUGH = 6  # or as many windows: 13 words in a row
 
 # The windows of a benchmark are sent to all tasks up to this many (8 bytes each); beyond it the windows
 # of the documents are shuffled instead.
@@ -208,7 +209,8 @@ def contaminated(
         )
         one_to_one = [F.size(F.array_distinct(F.transform("pairs", lambda p: p[i]))) == F.size("pairs") for i in ("item", "own")]
         changed = F.size(F.filter("pairs", lambda p: p["item"] != p["own"])).alias("n_changed")
-        good = aligned.filter(F.col("n_matched") >= F.lit(SHARE) * F.col("n_windows")).filter(one_to_one[0] & one_to_one[1])
+        needed = F.least(F.lit(SHARE) * F.col("n_windows"), F.lit(float(ENOUGH)))
+        good = aligned.filter(F.col("n_matched") >= needed).filter(one_to_one[0] & one_to_one[1])
         best = F.struct((-F.col("n_matched")).alias("order"), "position", "n_matched", changed)
         chosen = good.groupBy("id", "item", "n_windows").agg(F.min(best).alias("best"))
         result = chosen.select(

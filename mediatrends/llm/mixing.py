@@ -115,9 +115,9 @@ def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> Data
     within = Window.partitionBy("place", "slice").orderBy("turn", "id", "size", "text_key").rowsBetween(Window.unboundedPreceding, 0)
     sent = rows.join(starts, ["place", "slice"]).withColumn("sent", F.col("start") + F.sum("size").over(within))
     sent = materialize(sent.drop("slice", "start"), "sent")
-    # a copy queues if its source is still below its target when the copy begins
+    # a copy queues if its source is nearer to its target with it than without it
     upto = [F.col("sent") + k * F.col("source_size") for k in range(MOST_COPIES)]
-    queues = [(u - F.col("size")) < F.col("target") for u in upto]
+    queues = [2 * u - F.col("size") < 2 * F.col("target") for u in upto]
     finish = [u / F.col("target") for u in upto]
     own = ["place", "turn", "id", "size", "text_key"]
     order = ["finish", *own, "copy"]
@@ -153,7 +153,7 @@ sent AS (
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
 queue AS (
   SELECT *, (sent + copy * source_size) / target AS finish FROM sent, (VALUES (0), (1), (2)) AS c(copy)
-  WHERE sent + copy * source_size - size < target),
+  WHERE 2 * (sent + copy * source_size) - size < 2 * target),
 ordered AS (
   SELECT *, sum(size) OVER (ORDER BY finish, place, turn, doc_id, size, copy ROWS UNBOUNDED PRECEDING) AS upto FROM queue)
 SELECT s.doc_id, s.source, s.size, s.source_size, s.target, count(o.copy)::INTEGER AS copies, (count(o.copy) * s.size)::BIGINT AS taken

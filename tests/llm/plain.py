@@ -130,7 +130,7 @@ def mix(rows):
         for copy in range(3):
             for i in sorted(by_source[s], key=lambda i: (hashlib.md5(str(i).encode()).hexdigest(), i)):
                 sent += size[i]
-                if sent - size[i] < target[s]:
+                if 2 * sent - size[i] < 2 * target[s]:
                     queue.append((sent / target[s], place, hashlib.md5(str(i).encode()).hexdigest(), i, copy))
     copies, used = Counter(), 0
     for _, _, _, i, _ in sorted(queue):
