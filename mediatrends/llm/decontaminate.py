@@ -58,6 +58,11 @@ class _Words(dict):
         if row == len(self.kinds):
             self.hashes = np.concatenate([self.hashes, np.zeros(row, np.uint64)])
             self.kinds = np.concatenate([self.kinds, np.zeros(row, np.int8)])
+        if raw.isalpha() and raw.islower():  # ASCII only: the most frequent case
+            self.hashes[row] = xxhash.xxh3_64_intdigest(raw)
+            self.kinds[row] = _UNIT if raw in _UNIT_SET else _PLAIN
+            self[raw] = row
+            return row
         if raw.isascii():
             core = raw.strip(_EDGE_BYTES)
             low = core.lower()
