@@ -193,7 +193,8 @@ def full_history_clusters(
 ) -> HistoryClusters:
     """Cluster every search ever made; rows are numbered newest first.
 
-    With ``out_path``, writes ``clusters``, ``queries`` and ``embeddings`` as JSON lines.
+    With ``out_path``, writes ``clusters``, ``queries`` and ``embeddings`` as JSON lines; the last has a
+    line per row, so that the tuning report can place every row.
     """
     rows = normalized(read_history(history, max_rows=max_rows))
     with scratch_scope(history.sparkSession) as scope:

@@ -154,7 +154,8 @@ def test_full_history(spark, tmp_path):
     assert {(r["cluster_id"], r["row_id"]) for r in found.samples.collect()} == {(0, 0), (0, 2), (1, 1), (1, 4)}
     read = readers.read_cluster_json(spark, f"{out}/clusters", n_rows=5)
     assert {tuple(r) for r in read.collect()} == {(0, 0), (0, 2), (1, 1), (1, 4)}
-    assert spark.read.json(f"{out}/embeddings").count() == 3 and spark.read.json(f"{out}/queries").count() == 6
+    vectors = spark.read.json(f"{out}/embeddings")
+    assert vectors.count() == 6 and vectors.select("query").distinct().count() == 3 and spark.read.json(f"{out}/queries").count() == 6
 
 
 def test_windows(spark):
