@@ -237,18 +237,20 @@ def q_search_grouped(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def ivf_cells(spark: SparkSession, sf: str):
+def ivf_cells(spark: SparkSession, sf: str, lists: int | None):
     source = segments(spark, sf)
-    model = ivf.ivf_train(source)
+    model = ivf.ivf_train(source, lists or ivf.lists_for(source.count()))
     folder = new_folder(spark, "cells")
     writers.write_cells(ivf.ivf_assign(source, model), folder)
     return spark.read.parquet(folder), model
 
 
-def q_ivf(probes: int):
+def q_ivf(lists: int | None = None, probes: int | None = None):
+    """Search by cells; lists are sized by rows and probes chosen by recall unless they are given."""
+
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        cells, model = ivf_cells(spark, sf)
-        hits = ivf.ivf_search(knn_queries(spark, sf), cells, model, probes=probes)
+        cells, model = ivf_cells(spark, sf, lists)
+        hits = ivf.ivf_search(knn_queries(spark, sf), cells, model, probes=probes or ivf.choose_probes(cells, model))
         return hits.withColumn("rank", F.col("rank").cast("bigint"))
 
     return run
@@ -620,8 +622,8 @@ def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "knn_join_l2": q_knn_join("l2"),
         "knn_join_blocked": q_knn_join("cosine", ship_limit=0, block_rows=256),
         "search_grouped": q_search_grouped,
-        "ivf_search_all_cells": q_ivf(ivf.DEFAULT_LISTS),
-        "ivf_search": q_ivf(4),
+        "ivf_search_all_cells": q_ivf(ivf.DEFAULT_LISTS, ivf.DEFAULT_LISTS),
+        "ivf_search": q_ivf(),
         "embedding_distances": q_embedding_distances,
         "eps_pairs": q_eps_pairs,
         "dbscan_components": q_dbscan("cosine", EPS, 2),

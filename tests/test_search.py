@@ -162,3 +162,28 @@ def test_ivf_reads_only_visited_cells(spark, tmp_path):
     assert any("cell#" in p and " IN (" in p for p in pruned), pruned
     exact = ivf.ivf_search(queries, stored, model, k=5, probes=8)
     assert {r["segment_id"] for r in hits.collect()} <= {r[0] for r in rows} and exact.count() == 5
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_registered_ivf_search_has_its_recall(spark, sf):
+    import __spark_entry__ as entry
+    from tests.conftest import SF
+
+    folder = SF.replace("sf0.001", sf)
+    pairs = lambda name: {(r["query_id"], r["segment_id"]) for r in entry.queries()[name](spark, folder).collect()}
+    exact, found = pairs("knn_join"), pairs("ivf_search")
+    recall = len(found & exact) / len(exact)
+    print(f"{sf}: recall {recall:.4f} of {len(exact)} hits")
+    assert recall >= 0.9
+
+
+def test_probes_follow_the_data(spark):
+    # three tight groups: the hits of a query lie in its own cell; k beyond a group needs more
+    draw = np.random.default_rng(5)
+    rows = [(i, (np.eye(8)[i % 3] + 0.01 * draw.normal(size=8)).tolist()) for i in range(90)] + [(90, [0.0] * 8)]
+    segments = spark.createDataFrame(rows, "id int, segment_embedding array<double>")
+    model = ivf.ivf_train(segments, lists=3)
+    cells = ivf.ivf_assign(segments, model).cache()
+    assert ivf.choose_probes(cells, model, k=10) == 1
+    assert ivf.choose_probes(cells, model, k=91) == 3
+    assert [ivf.lists_for(n) for n in (0, 500, 2000, 10**9)] == [2, 22, 45, 4096]
