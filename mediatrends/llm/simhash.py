@@ -221,6 +221,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     with job(docs.sparkSession) as scope:
         named = scope.keep(_named(materialize(fingerprints(docs, id_col, text_col), "fingerprints"))[1])
+    return keep_rows(docs, named, id_col, text_col)
+
+
+def keep_rows(docs: DataFrame, named: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that are ``first`` in ``named``, each once."""
     kept = named.select(row_key(F.col("first.id"), F.col("first.text_key")).alias("_row"), F.col("first.id").alias("_id"), F.col("first.text_key").alias("_key"))
     rows = docs.withColumn("_text_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     rows = rows.withColumn("_row", row_key(F.col(id_col), F.col("_text_key")))
