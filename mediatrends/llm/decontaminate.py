@@ -3,7 +3,8 @@
 Windows of template words are hashed and joined with those of the benchmark. Windows that meet on the
 same alignment of a document and an item are then checked together: each slot value of the item must
 stand for one value in the document and the other way round, so a question with other numbers or names
-is caught and a chance meeting of placeholders is not.
+is caught and a chance meeting of placeholders is not. Windows of the words as they are, in lower case,
+meet where a template would have too few literal words.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 
 from mediatrends.llm.common import job, materialize, text_rows, type_of
 
-WINDOW = 8  # template words in a window; a shorter item is one window
-LITERALS = 5  # a window has at least this many words that are no placeholders, or as many as the item has words
+WINDOW = 8  # template words in a window; a shorter item is one window, and documents have windows of its width too
+LITERALS = 5  # a window of a template has at least this many words that are no placeholders, or as many as the item has words
 SHARE = 0.3  # of an item's windows that must meet, with consistent slots,
 ENOUGH = 6  # or as many windows: 13 words in a row
 
@@ -93,8 +94,8 @@ class Canonical:
     def __init__(self) -> None:
         self.words = _Words()
 
-    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Template hash of each word, whether it is literal, and the words as written."""
+    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+        """Template hash of each word, whether it is literal, the words as written, and the hash of each in lower case."""
         if len(self.words) > _Words.MOST:
             self.words = _Words()  # forget, so that memory stays bounded
         # the end of a line ends a sentence
@@ -123,20 +124,37 @@ class Canonical:
         name = (kinds & _CAPITAL > 0) & ~begins & (base != _NUMBER)
         unit = (base == _UNIT) & after_number
         literal = ~((base == _NUMBER) | name | unit)
-        hashes = np.where(base == _NUMBER, NUMBER, np.where(unit, UNIT, np.where(name, NAME, hashes)))
-        return hashes, literal, raw
-
-
-def windows(hashes: np.ndarray, literal: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Hash of the window at each position, whether it has enough literal words, and the words in a window."""
-    width = min(WINDOW, len(hashes))
-    n = len(hashes) - width + 1 if width else 0
-    mixed = np.full(n, width, dtype=np.uint64)
-    for k in range(width):
-        mixed = (mixed ^ hashes[k : k + n]) * _PRIME
-        mixed ^= mixed >> np.uint64(29)
-    enough = np.convolve(literal, np.ones(width, np.int64), "valid")[:n] >= min(LITERALS, width) if n else np.zeros(0, bool)
-    return mixed, enough, width
+        plain = hashes
+        hashes = np.where(base == _NUMBER, NUMBER, np.where(unit, UNIT, np.where(name, NAME, plain)))
+        return hashes, literal, raw, plain
+
+
+def _mixed(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Hash of the ``width`` words from each position on, by windows of twice the words in each step."""
+    n = len(hashes) - width + 1
+    out, done, block, held = np.full(n, width, np.uint64), 0, 1, hashes
+    while done < width:
+        if width & block:
+            out = (out ^ held[done : done + n]) * _PRIME
+            out ^= out >> np.uint64(29)
+            done += block
+        if done < width:
+            pairs = held[:-block] * _PRIME
+            pairs ^= pairs >> np.uint64(29)
+            held, block = (pairs ^ held[block:]) * _PRIME, 2 * block
+    return out
+
+
+def windows(hashes: np.ndarray, plain: np.ndarray, literal: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """By position, of windows of ``width`` words: the template hash, whether it has enough literal words, whether it
+    has slots, and the hash of the words as they are, in lower case. The two hashes are equal where there is no slot."""
+    mixed = _mixed(hashes, width)
+    if literal.all():
+        every = np.ones(len(mixed), bool)
+        return mixed, every, ~every, mixed
+    sums = np.concatenate([[0], np.cumsum(literal)])
+    count = sums[width:] - sums[:-width]
+    return mixed, count >= min(LITERALS, width), count < width, _mixed(plain, width)
 
 
 def _slots(position: int, width: int, literal: np.ndarray, raw: list[bytes]) -> list[str]:
@@ -146,41 +164,89 @@ def _slots(position: int, width: int, literal: np.ndarray, raw: list[bytes]) ->
 _FOUND = "window bigint, position int, slots array<string>"
 
 
-def _windows_of(rows: DataFrame, id_type: str, wanted: np.ndarray | None, with_total: bool = False) -> DataFrame:
-    """Windows of the texts; with ``wanted`` (sorted) only those whose hash is in it."""
+def _windows_of(rows: DataFrame, id_type: str, wanted: np.ndarray | None = None, widths: list[int] | None = None) -> DataFrame:
+    """Windows of the texts; with ``wanted`` (sorted) only those whose hash is in it.
+
+    Without ``widths`` the texts are items, of one width each; their windows tell whether the template has enough literal
+    words (``judged``), how many have, and the number of all. Documents have windows of all ``widths``.
+    """
+    items = widths is None
+
+    def among(hashes: np.ndarray) -> np.ndarray:
+        if wanted is None:
+            return np.ones(len(hashes), bool)
+        return wanted[np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)] == hashes
 
     def run(batches):
         canonical = Canonical()
         for batch in batches:
-            ids, found, positions, slots, totals = [], [], [], [], []
+            ids, found, positions, slots, more = [], [], [], [], []
             for i, text in enumerate(batch["text"].to_pylist()):
-                hashes, literal, raw = canonical(text)
-                mixed, good, width = windows(hashes, literal)
-                if not len(mixed):
-                    continue
-                total = int(good.sum())
-                if wanted is not None:
-                    place = np.minimum(np.searchsorted(wanted, mixed), len(wanted) - 1)
-                    good &= wanted[place] == mixed
-                at = np.flatnonzero(good)
-                ids += [i] * len(at)
-                positions += at.tolist()
-                found.append(mixed[at])
-                slots += [_slots(p, width, literal, raw) for p in at.tolist()]
-                totals += [total] * len(at)
+                hashes, literal, raw, plain = canonical(text)
+                for width in [min(WINDOW, len(hashes))] if items else widths:
+                    if not 0 < width <= len(hashes):
+                        continue
+                    mixed, good, slotted, exact = windows(hashes, plain, literal, width)
+                    at = np.flatnonzero(good & among(mixed))
+                    words = np.flatnonzero(slotted & ~good)
+                    words = words[among(exact[words])]
+                    if not len(at) and not len(words):
+                        continue
+                    ids += [i] * (len(at) + len(words))
+                    positions += [*at.tolist(), *words.tolist()]
+                    found += [mixed[at], exact[words]]
+                    slots += [_slots(p, width, literal, raw) if slotted[p] else [] for p in at.tolist()] + [[]] * len(words)
+                    if items:
+                        more += [(bool(good[p]), int(good.sum()), len(mixed), width) for p in (*at.tolist(), *words.tolist())]
             arrays = [
-                batch["id"].take(pa.array(ids, pa.int64())),
+                *(batch[c].take(pa.array(ids, pa.int64())) for c in ("id", "text_key")),
                 pa.array(np.concatenate(found).view(np.int64) if found else [], pa.int64()),
                 pa.array(positions, pa.int32()),
                 pa.array(slots, pa.list_(pa.string())),
             ]
-            names = ["id", "window", "position", "slots"]
-            if with_total:
-                arrays.append(pa.array(totals, pa.int32()))
-                names.append("n_windows")
+            names = ["id", "text_key", "window", "position", "slots"]
+            if items:
+                kinds = (pa.bool_(), pa.int32(), pa.int32(), pa.int32())
+                arrays += [pa.array([m[k] for m in more], kind) for k, kind in enumerate(kinds)]
+                names += ["judged", "n_judged", "n_windows", "width"]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return rows.mapInArrow(run, f"id {id_type}, {_FOUND}" + ", n_windows int" * with_total)
+    rows = rows.withColumn("text_key", F.xxhash64("text"))
+    return rows.mapInArrow(run, f"id {id_type}, text_key bigint, {_FOUND}" + ", judged boolean, n_judged int, n_windows int, width int" * items)
+
+
+def _matches(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str) -> DataFrame:
+    """Pairs of a document, which is an ``id`` and a ``text_key``, and an ``item``, with the ``best`` alignment of the two."""
+    id_type, item_type = type_of(docs, id_col), type_of(benchmark, item_col)
+    items = materialize(_windows_of(text_rows(benchmark, item_col, item_text), item_type), "item_windows")
+    widths = sorted(r["width"] for r in items.select("width").distinct().collect())  # at most WINDOW
+    hashes = items.select("window").distinct()
+    n = hashes.count()
+    wanted = None
+    if 0 < n <= SHIP_WINDOWS:
+        wanted = np.sort(np.array([r[0] for r in hashes.collect()], dtype=np.int64).view(np.uint64))
+    found = materialize(_windows_of(text_rows(docs, id_col, text_col), id_type, wanted, widths), "document_windows")
+    known = items.select(
+        F.col("id").alias("item"), F.col("text_key").alias("item_key"), "judged", "n_judged", "n_windows", "window", F.col("position").alias("at"), F.col("slots").alias("values")
+    )
+    met = found.join(known, "window").withColumn("shift", F.col("position") - F.col("at"))
+    # by alignment: which windows of the item meet, and which values meet in its slots
+    pairs = F.transform(F.arrays_zip("values", "slots"), lambda p: F.struct(p["values"].alias("item"), p["slots"].alias("own")))
+    keys = ["id", "text_key", "item", "item_key", "n_judged", "n_windows", "shift"]
+    window = F.struct("at", "position", "judged", pairs.alias("pairs"))
+    aligned = met.groupBy(*keys).agg(F.collect_set(window).alias("met"))  # at most two for each window of one item
+    aligned = aligned.withColumn("pairs", F.array_distinct(F.flatten("met.pairs")))
+    clash = F.filter("pairs", lambda p: F.exists("pairs", lambda q: (q["item"] == p["item"]) != (q["own"] == p["own"])))
+    aligned = aligned.filter(F.size(clash) == 0)
+    aligned = aligned.withColumn("n_matched", F.size(F.array_distinct("met.at")))
+    n_judged = F.size(F.array_distinct(F.transform(F.filter("met", lambda m: m["judged"]), lambda m: m["at"])))
+    enough = lambda total: F.least(F.lit(SHARE) * total, F.lit(float(ENOUGH)))
+    good = aligned.filter(
+        ((n_judged > 0) & (n_judged >= enough(F.col("n_judged")))) | ((F.col("n_matched") > 0) & (F.col("n_matched") >= enough(F.col("n_windows"))))
+    )
+    changed = F.size(F.filter(F.array_distinct(F.flatten("met.pairs")), lambda p: p["item"] != p["own"])).alias("n_changed")
+    best = F.struct((-F.col("n_matched")).alias("order"), F.array_min("met.position").alias("position"), "n_matched", changed, "n_windows")
+    return good.groupBy("id", "text_key", "item").agg(F.min(best).alias("best"))
 
 
 def contaminated(
@@ -190,36 +256,13 @@ def contaminated(
 
     ``id_col``, ``item_col``, ``n_matched`` and ``n_windows`` (windows of the item that meet, and all of them), ``position``
     (first matching word of the document) and ``n_changed`` (slots whose value differs). Clean documents are not listed.
-    Null and empty texts match nothing; items that repeat are matched each; a repeated document is listed once for
-    each id. A text of any length is compared whole.
+    Null and empty texts match nothing; items that repeat are matched each; a document is listed once for each id, by the
+    text that matches best. A text of any length is compared whole.
     """
     with job(docs.sparkSession) as scope:
-        id_type, item_type = type_of(docs, id_col), type_of(benchmark, item_col)
-        items = materialize(_windows_of(text_rows(benchmark, item_col, item_text), item_type, None, with_total=True), "item_windows")
-        hashes = items.select("window").distinct()
-        n = hashes.count()
-        wanted = None
-        if 0 < n <= SHIP_WINDOWS:
-            wanted = np.sort(np.array([r[0] for r in hashes.collect()], dtype=np.int64).view(np.uint64))
-        found = materialize(_windows_of(text_rows(docs, id_col, text_col), id_type, wanted), "document_windows")
-        known = items.select(F.col("id").alias("item"), "n_windows", "window", F.col("position").alias("at"), F.col("slots").alias("values"))
-        met = found.join(known, "window").withColumn("shift", F.col("position") - F.col("at"))
-        # by alignment: which windows of the item meet, and which values meet in its slots
-        pair = F.when(F.size("values") > 0, F.arrays_zip(F.col("values").alias("item"), F.col("slots").alias("own")))
-        keys = ["id", "item", "n_windows", "shift"]
-        aligned = met.groupBy(*keys).agg(
-            F.count_distinct("at").alias("n_matched"),
-            F.min("position").alias("position"),
-            F.array_distinct(F.flatten(F.collect_set(pair))).alias("pairs"),  # at most the slots of one item
-        )
-        one_to_one = [F.size(F.array_distinct(F.transform("pairs", lambda p: p[i]))) == F.size("pairs") for i in ("item", "own")]
-        changed = F.size(F.filter("pairs", lambda p: p["item"] != p["own"])).alias("n_changed")
-        needed = F.least(F.lit(SHARE) * F.col("n_windows"), F.lit(float(ENOUGH)))
-        good = aligned.filter(F.col("n_matched") >= needed).filter(one_to_one[0] & one_to_one[1])
-        best = F.struct((-F.col("n_matched")).alias("order"), "position", "n_matched", changed)
-        chosen = good.groupBy("id", "item", "n_windows").agg(F.min(best).alias("best"))
+        chosen = _matches(docs, benchmark, id_col, text_col, item_col, item_text).groupBy("id", "item").agg(F.min("best").alias("best"))
         result = chosen.select(
-            F.col("id").alias(id_col), F.col("item").alias(item_col), "best.n_matched", "n_windows", "best.position", "best.n_changed"
+            F.col("id").alias(id_col), F.col("item").alias(item_col), "best.n_matched", "best.n_windows", "best.position", "best.n_changed"
         )
         return scope.keep(materialize(result, "contaminated"))
 
