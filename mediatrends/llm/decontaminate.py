@@ -4,7 +4,7 @@ Windows of template words are hashed and joined with those of the benchmark. Win
 same alignment of a document and an item are then checked together: each slot value of the item must
 stand for one value in the document and the other way round, so a question with other numbers or names
 is caught and a chance meeting of placeholders is not. Windows of the words as they are, in lower case,
-meet where a template would have too few literal words.
+meet too, so a copy is found in any case and however many numbers and names it has.
 """
 
 from __future__ import annotations
@@ -188,7 +188,7 @@ def _windows_of(rows: DataFrame, id_type: str, wanted: np.ndarray | None = None,
                         continue
                     mixed, good, slotted, exact = windows(hashes, plain, literal, width)
                     at = np.flatnonzero(good & among(mixed))
-                    words = np.flatnonzero(slotted & ~good)
+                    words = np.flatnonzero(slotted)
                     words = words[among(exact[words])]
                     if not len(at) and not len(words):
                         continue
@@ -236,8 +236,10 @@ def _matches(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str,
     window = F.struct("at", "position", "judged", pairs.alias("pairs"))
     aligned = met.groupBy(*keys).agg(F.collect_set(window).alias("met"))  # at most two for each window of one item
     aligned = aligned.withColumn("pairs", F.array_distinct(F.flatten("met.pairs")))
+    # a value of one side that stands for two of the other spoils the windows that hold it, not the others
     clash = F.filter("pairs", lambda p: F.exists("pairs", lambda q: (q["item"] == p["item"]) != (q["own"] == p["own"])))
-    aligned = aligned.filter(F.size(clash) == 0)
+    aligned = aligned.withColumn("clash", clash)
+    aligned = aligned.withColumn("met", F.filter("met", lambda m: ~F.arrays_overlap(m["pairs"], F.col("clash"))))
     aligned = aligned.withColumn("n_matched", F.size(F.array_distinct("met.at")))
     n_judged = F.size(F.array_distinct(F.transform(F.filter("met", lambda m: m["judged"]), lambda m: m["at"])))
     enough = lambda total: F.least(F.lit(SHARE) * total, F.lit(float(ENOUGH)))

@@ -1,4 +1,4 @@
-from tests.llm.test_decontaminate import pairs
+from tests.llm.test_decontaminate import ITEM, pairs
 
 
 def test_short_items_are_found_in_longer_documents(spark):
@@ -11,3 +11,13 @@ def test_dense_items_are_found_verbatim(spark):
     item = "Add 3 5 8 13 21 34 55 89 144 and 233"
     got = pairs(spark, [f"one more line here. {item} is the task", item.replace("13", "14").replace("55", "56")], [item])
     assert set(got) == {(0, 0)} and got[(0, 0)].n_matched == got[(0, 0)].n_windows
+
+
+def test_copies_in_any_case(spark):
+    got = pairs(spark, [f"x y {t} z" for t in (ITEM.lower(), ITEM.upper(), ITEM.title(), ITEM)])
+    assert set(got) == {(i, 0) for i in range(4)}
+    assert {r.n_changed for r in got.values()} == {0}
+
+
+def test_a_clash_spoils_only_its_windows(spark):
+    assert set(pairs(spark, [ITEM.replace("12", "7", 1)])) == {(0, 0)}
