@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediatrends.llm.common import job, materialize, text_rows, type_of
+from mediatrends.llm.common import job, materialize, row_key, text_rows, type_of
 
 WINDOW = 8  # template words in a window; a shorter item is one window, and documents have windows of its width too
 LITERALS = 5  # a window of a template has at least this many words that are no placeholders, or as many as the item has words
@@ -270,9 +270,15 @@ def contaminated(
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that contain no benchmark item; rows without an id are judged together.
+    """The rows of ``docs`` that contain no benchmark item. Rows are judged by id and text, also those without an id.
 
     The items are found, the rows not yet computed.
     """
-    found = contaminated(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("_id")).distinct()
-    return docs.join(found, F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")
+    with job(docs.sparkSession) as scope:
+        matches = _matches(docs, benchmark, id_col, text_col, "item_id", "text")
+        found = scope.keep(materialize(matches.select(F.col("id").alias("_id"), F.col("text_key").alias("_key")).distinct(), "contaminated"))
+    found = found.withColumn("_row", row_key(F.col("_id"), F.col("_key")))
+    rows = docs.withColumn("_text_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    rows = rows.withColumn("_own", row_key(F.col(id_col), F.col("_text_key")))
+    same = (rows["_own"] == found["_row"]) & rows[id_col].eqNullSafe(found["_id"]) & (rows["_text_key"] == found["_key"])
+    return rows.join(found, same, "left_anti").select(*docs.columns)

@@ -1,4 +1,5 @@
-from tests.llm.test_decontaminate import ITEM, pairs
+from mediatrends.llm.decontaminate import decontaminate
+from tests.llm.test_decontaminate import ITEM, ITEMS, SCHEMA, pairs
 
 
 def test_short_items_are_found_in_longer_documents(spark):
@@ -21,3 +22,9 @@ def test_copies_in_any_case(spark):
 
 def test_a_clash_spoils_only_its_windows(spark):
     assert set(pairs(spark, [ITEM.replace("12", "7", 1)])) == {(0, 0)}
+
+
+def test_rows_are_judged_by_id_and_text(spark):
+    docs = spark.createDataFrame([(None, ITEM), (None, "clean text"), (None, None), (5, ITEM), (5, "another clean text"), (6, ITEM + " x")], SCHEMA)
+    left = decontaminate(docs, spark.createDataFrame([(0, ITEM)], ITEMS)).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in left) == [(0, ""), (0, "clean text"), (5, "another clean text")]
