@@ -14,6 +14,7 @@ from mediatrends.llm.simhash import simhash_components
 from mediatrends.llm.suffix_dedup import remove_repeats
 from mediatrends.llm.toxicity import toxicity
 from mediatrends.llm.url_filter import filter_urls
+from mediatrends.llm.whitening import whiten
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -61,6 +62,10 @@ def op9_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+def op12_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whiten(table(spark, sf, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
@@ -73,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat_format": op8_chat_format,
         "op9_toxicity": op9_toxicity,
         "op10_decontamination": op10_decontamination,
+        "op12_whitening": op12_whitening,
     }
 
 
