@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mediatrends.llm import chat_format, licenses, mixing
+from mediatrends.llm import chat_format, licenses, mixing, ranked_search
 from mediatrends.llm.decontaminate import contaminated
 from mediatrends.llm.pii import find_pii
 from mediatrends.llm.quality import quality_rules
+from mediatrends.llm.secrets import secret_digests
 from mediatrends.llm.simhash import simhash_components
 from mediatrends.llm.suffix_dedup import remove_repeats
 from mediatrends.llm.toxicity import toxicity
@@ -62,10 +63,18 @@ def op9_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+def op11_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    return secret_digests(table(spark, sf, "documents"))
+
+
 def op12_whitening(spark: SparkSession, sf: str) -> DataFrame:
     return whiten(table(spark, sf, "embeddings"))
 
 
+def op13_ranked_search(spark: SparkSession, sf: str) -> DataFrame:
+    return ranked_search.ranked_search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
@@ -78,9 +87,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat_format": op8_chat_format,
         "op9_toxicity": op9_toxicity,
         "op10_decontamination": op10_decontamination,
+        "op11_secrets": op11_secrets,
         "op12_whitening": op12_whitening,
+        "op13_ranked_search": op13_ranked_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.SQL, "op6_licenses": licenses.SQL, "op8_chat_format": chat_format.SQL}
+    return {"op3_mixing": mixing.SQL, "op6_licenses": licenses.SQL, "op8_chat_format": chat_format.SQL, "op13_ranked_search": ranked_search.SQL}
