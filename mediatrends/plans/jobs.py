@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
@@ -110,6 +111,19 @@ class TrendResult:
     total_queries_processed: int
     status: str = "success"
     message: str | None = None
+    table: DataFrame | None = None  # the written table that the trends are read from
+
+
+def label_texts(embedded: DataFrame, eps: float = DEFAULT_EPS, min_samples: int = DEFAULT_MIN_SAMPLES, metric: str = "cosine") -> DataFrame:
+    """``query``, ``embedding`` and ``cluster_id`` of texts with ``n``, ``first_row`` and ``embedding``.
+
+    Clusters texts weighted by their rows, which gives the labels of clustering all rows.
+    """
+    with scratch_scope(embedded.sparkSession) as scope:
+        labels = dbscan(
+            embedded, eps, min_samples, metric, id_col="query", weight_col="n", order_by=[F.col("first_row")]
+        ).select(F.col("id").alias("query"), F.col("label").alias("cluster_id"))
+        return scope.keep(materialize(embedded.select("query", "embedding").join(labels, "query"), "labels"))
 
 
 def label_queries(
@@ -120,17 +134,32 @@ def label_queries(
     metric: str = "cosine",
     **embed_options,
 ) -> DataFrame:
-    """``query``, ``embedding`` and ``cluster_id`` of each distinct text with an embedding.
-
-    Clusters texts weighted by their rows, which gives the labels of clustering all rows.
-    """
+    """``label_texts`` of the texts of a history; those without an embedding are left out."""
     with scratch_scope(activity.sparkSession) as scope:
         texts = activity.select("query", "n", "first_row")
         embedded = materialize(embed_distinct(texts, "query", embed_fn, how="inner", **embed_options), "texts")
-        labels = dbscan(
-            embedded, eps, min_samples, metric, id_col="query", weight_col="n", order_by=[F.col("first_row")]
-        ).select(F.col("id").alias("query"), F.col("label").alias("cluster_id"))
-        return scope.keep(materialize(embedded.select("query", "embedding").join(labels, "query"), "labels"))
+        return scope.keep(label_texts(embedded, eps, min_samples, metric))
+
+
+def rank_activity(
+    activity: DataFrame,
+    as_of: datetime,
+    label: Callable[[DataFrame], DataFrame],
+    phrase_fn: PhraseFn | None = None,
+    min_cluster_size: int = MIN_CLUSTER_SIZE,
+    top_n: int = TOP_N_TRENDS,
+) -> TrendResult:
+    """The trends of a history that is summed per text; ``label`` gives the clusters of the texts."""
+    with scratch_scope(activity.sparkSession) as scope:
+        total = activity.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+        if total < min_cluster_size:
+            return TrendResult(None, 0, total, message=TOO_FEW_ROWS)
+        labels = label(activity)
+        if labels.filter(F.col("cluster_id") != NOISE).isEmpty():
+            return TrendResult(None, 0, total, message=NO_CLUSTERS)
+        ranked = score_clusters(activity, labels, as_of, min_cluster_size, top_n=top_n)
+        trends = scope.keep(materialize(phrase_for_cluster(ranked, phrase_fn), "trends"))
+    return TrendResult(trends.orderBy(F.desc("trend_score"), "cluster_id"), trends.count(), total, table=trends)
 
 
 def trend_job(
@@ -155,17 +184,12 @@ def trend_job(
     with scratch_scope(history.sparkSession) as scope:
         rows = normalized(read_history(history, as_of, interval_minutes, max_rows))
         activity = materialize(query_activity(rows, as_of), "activity")
-        total = activity.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-        if total < min_cluster_size:
-            return TrendResult(None, 0, total, message=TOO_FEW_ROWS)
-        labels = label_queries(activity, embed_fn, eps, min_samples, **embed_options)
-        if labels.filter(F.col("cluster_id") != NOISE).isEmpty():
-            return TrendResult(None, 0, total, message=NO_CLUSTERS)
-        ranked = score_clusters(activity, labels, as_of, min_cluster_size, top_n=top_n)
-        trends = scope.keep(materialize(phrase_for_cluster(ranked, phrase_fn), "trends"))
-    if trends_path is not None:
-        writers.persist_trends(trends, trends_path, batch_timestamp or as_of)
-    return TrendResult(trends.orderBy(F.desc("trend_score"), "cluster_id"), trends.count(), total)
+        result = rank_activity(activity, as_of, lambda texts: label_queries(texts, embed_fn, eps, min_samples, **embed_options), phrase_fn, min_cluster_size, top_n)
+        if result.trends is not None:
+            scope.keep(result.table)
+    if trends_path is not None and result.trends is not None:
+        writers.persist_trends(result.table, trends_path, batch_timestamp or as_of)
+    return result
 
 
 @dataclass

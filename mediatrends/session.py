@@ -101,7 +101,7 @@ def scratch_scope(spark: SparkSession) -> Iterator[Scratch]:
             _scopes.open[-1].paths += scope.kept
         for path in scope.paths:
             if path not in scope.kept:
-                _delete(spark, path)
+                delete_path(spark, path)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -120,14 +120,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of any store that Spark knows; one that is not there is no error."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def discard(table: DataFrame) -> None:
     """Delete a scratch table that no later step reads."""
-    _delete(table.sparkSession, table.scratch_path)
+    delete_path(table.sparkSession, table.scratch_path)
 
 
 def with_row_order(df: DataFrame, order_by: list[Column], name: str = "row_order") -> DataFrame:

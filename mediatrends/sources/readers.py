@@ -2,167 +2,59 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
 from pathlib import PurePosixPath
 from urllib.parse import unquote
 
-import pyarrow as pa
-import pyarrow.parquet as pq
-from py4j.protocol import Py4JJavaError
-from pyarrow import fs
-from pyspark.errors import AnalysisException, PySparkException
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, MapType, StructType
 
 from mediatrends import schemas
 from mediatrends.functions.text import file_name
-from mediatrends.functions.vectors import check_dim, unnest_vector
+from mediatrends.sources.files import SEGMENT_FILES, VIDEO_FILES, Kind, list_files, qualified, read_files, store_of, with_content
 
 # Fixed value: file names that start with this word and "_" hold segments, all others videos.
 SEGMENT_PREFIX = "segment"
 
 
-def list_files(spark: SparkSession, paths: str | list[str], suffix: str = "") -> DataFrame:
-    """``path`` and ``length`` of files below ``paths``; contents are not read."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if suffix:
-        reader = reader.option("pathGlobFilter", f"*{suffix}")
-    return reader.load(paths).select("path", "length")
-
-
 def list_media(spark: SparkSession, folder: str) -> DataFrame:
     """``path`` and ``size`` of the media files in a folder, those of zero bytes included."""
-    filled = list_files(spark, folder).withColumnRenamed("length", "size")
-    # a scan skips files of zero bytes; the file index, which Spark holds anyway, lists them
+    found = list_files(spark, folder).withColumnRenamed("length", "size")
+    if store_of(qualified(spark, folder)) is not None:
+        return found
+    # Spark lists such a store; its scan skips files of zero bytes, which only its file index names
     indexed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).inputFiles()
-    every = spark.createDataFrame([(unquote(p),) for p in indexed], "path string")
-    plain = F.regexp_replace("path", "^file:/+", "file:/")
-    empty = every.withColumn("_key", plain).join(filled.select(plain.alias("_key")), "_key", "left_anti")
-    return filled.unionByName(empty.select("path", F.lit(0).cast("bigint").alias("size")))
-
-
-Group = tuple[StructType, list[str]]
-
-def _groups(spark: SparkSession, files: list[str]) -> list[Group]:
-    """Files grouped so that each group's schemas merge; a group that does not is halved."""
-    if not files:
-        return []
-    try:
-        return [(spark.read.option("mergeSchema", "true").parquet(*files).schema, files)]
-    except (PySparkException, Py4JJavaError) as error:
-        if len(files) == 1:
-            if "UNABLE_TO_INFER_SCHEMA" in str(error):
-                return []
-            raise
-        middle = len(files) // 2
-        return _groups(spark, files[:middle]) + _groups(spark, files[middle:])
+    every = spark.createDataFrame([(unquote(p),) for p in indexed], "path string").select(F.regexp_replace("path", "^file:/+", "file:/").alias("path"))
+    empty = every.join(found.select("path"), "path", "left_anti")
+    return found.unionByName(empty.select("path", F.lit(0).cast("bigint").alias("size")))
 
 
-def _footers(files: DataFrame) -> DataFrame:
-    """``path`` and ``kind`` of each file: its schema as text, empty without columns, NULL if Arrow has no access to the store.
-
-    Footers are read in tasks.
-    """
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kinds = []
-            for path in batch["path"].to_pylist():
-                try:
-                    store, inner = fs.FileSystem.from_uri(path)
-                except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
-                    kinds.append(None)
-                    continue
-                schema = pq.read_schema(inner, filesystem=store)
-                kinds.append("\n".join(f"{f.name} {f.type}" for f in schema))
-            yield pa.RecordBatch.from_arrays([batch["path"], pa.array(kinds, pa.string())], names=["path", "kind"])
-
-    tasks = files.sparkSession.sparkContext.defaultParallelism
-    return files.select("path").repartition(tasks).mapInArrow(read, "path string, kind string")
-
-
-def _read_drifting(
-    spark: SparkSession, files: DataFrame, shape: Callable[[DataFrame], DataFrame], schema: StructType
-) -> DataFrame:
-    """Read files (``path``) whose column types differ, one scan per set of types; files without columns hold nothing.
-
-    A scan is made from the paths of its files, which Spark's file index keeps on the driver.
-    """
-    by_kind: dict[str | None, list[str]] = {}
-    for path, kind in _footers(files).orderBy("path").collect():
-        if kind != "":
-            by_kind.setdefault(kind, []).append(path)
-    merged: dict[str, Group] = {}
-    for kind, members in by_kind.items():
-        groups = _groups(spark, members) if kind is None else [(spark.read.parquet(members[0]).schema, members)]
-        for found, own in groups:
-            merged.setdefault(found.simpleString(), (found, []))[1].extend(own)
-    result = spark.createDataFrame([], schema)
-    for found, members in merged.values():
-        result = result.unionByName(shape(spark.read.schema(found).parquet(*members)))
-    return result
-
-
-def _file_list(spark: SparkSession, paths: str | list[str], keep: Column | None = None) -> DataFrame:
+def _read(spark: SparkSession, paths: str | list[str], kind: Kind, dim: int | None, keep: Column | None) -> DataFrame:
     files = list_files(spark, paths, ".parquet")
-    return files if keep is None else files.filter(keep)
-
+    files = files if keep is None else files.filter(keep)
+    return read_files(with_content(spark, files, paths, ".parquet"), kind, dim)
 
-def _optional(df: DataFrame, name: str, kind: str) -> Column:
-    if name not in df.columns:
-        return F.lit(None).cast(kind)
-    return F.col(name).cast(kind)
 
-
-def _vector(df: DataFrame, name: str, dim: int | None) -> DataFrame:
-    # a column that is NULL in all rows of a file is stored as a number
-    if name not in df.columns or not isinstance(df.schema[name].dataType, ArrayType):
-        df = df.withColumn(name, F.lit(None).cast("array<float>"))
-    df = unnest_vector(df, name)
-    return df if dim is None else df.withColumn(name, check_dim(F.col(name), dim))
-
-
-def _is_segment_file(path: Column) -> Column:
+def is_segment_file(path: Column) -> Column:
     return F.substring_index(file_name(path), "_", 1) == SEGMENT_PREFIX
 
 
 def read_segments(spark: SparkSession, paths: str | list[str], dim: int | None = None, keep: Column | None = None) -> DataFrame:
     """Segment files as the segments table without ``id``.
 
-    Accepts flat and nested embeddings, times stored as text, and files without columns.
+    Accepts flat and nested embeddings, times stored as text, and files without columns; files are opened in tasks.
     """
-    schema = StructType(schemas.SEGMENTS.fields[1:])
-
-    def shape(df: DataFrame) -> DataFrame:
-        df = _vector(df, "segment_embedding", dim)
-        return df.select(*[_optional(df, f.name, f.dataType.simpleString()).alias(f.name) for f in schema])
-
-    return _read_drifting(spark, _file_list(spark, paths, keep), shape, schema)
-
-
-def metadata_json(df: DataFrame, name: str = "video_metadata") -> Column:
-    """Metadata as JSON text; missing metadata is the JSON text ``null``."""
-    if name not in df.columns:
-        return F.lit("null")
-    nested = isinstance(df.schema[name].dataType, (ArrayType, MapType, StructType))
-    return F.coalesce(F.to_json(name) if nested else F.col(name).cast("string"), F.lit("null"))
+    return _read(spark, paths, SEGMENT_FILES, dim, keep)
 
 
 def read_videos(spark: SparkSession, paths: str | list[str], dim: int | None = None, keep: Column | None = None) -> DataFrame:
-    """Video files as the videos table; metadata of any shape becomes JSON text."""
-
-    def shape(df: DataFrame) -> DataFrame:
-        df = _vector(df, "text_embedding", dim).withColumn("video_metadata", metadata_json(df))
-        df = df.withColumn("id", F.col("video_id").cast("string"))
-        return df.select(*[_optional(df, f.name, f.dataType.simpleString()).alias(f.name) for f in schemas.VIDEOS])
-
-    return _read_drifting(spark, _file_list(spark, paths, keep), shape, schemas.relaxed(schemas.VIDEOS))
+    """Video files as the videos table; metadata of any shape becomes JSON text. A video without an id is an error."""
+    return _read(spark, paths, VIDEO_FILES, dim, keep)
 
 
 def route_parquet(spark: SparkSession, paths: str | list[str], dim: int | None = None) -> tuple[DataFrame, DataFrame]:
     """``(videos, segments)`` from a mix of files, told apart by file name."""
-    is_segment = _is_segment_file(F.col("path"))
+    is_segment = is_segment_file(F.col("path"))
     return read_videos(spark, paths, dim, ~is_segment), read_segments(spark, paths, dim, is_segment)
 
 
