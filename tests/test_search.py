@@ -144,7 +144,7 @@ def test_unnest(spark):
     assert V.unnest_vector(flat, "e").schema["e"].dataType.simpleString() == "array<float>"
 
 
-def test_ivf_reads_only_visited_cells(spark, tmp_path):
+def test_ivf_reads_only_visited_cells(spark, tmp_path, monkeypatch):
     from mediatrends.operators import ivf
     from mediatrends.sources import writers
 
@@ -155,11 +155,12 @@ def test_ivf_reads_only_visited_cells(spark, tmp_path):
     writers.write_cells(ivf.ivf_assign(segments, model), str(tmp_path / "cells"))
     stored = spark.read.parquet(str(tmp_path / "cells"))
     queries = spark.createDataFrame([("q", rows[0][5])], "query_id string, embedding array<double>")
+    plans, grid = [], ivf._grid_hits
+    monkeypatch.setattr(ivf, "_grid_hits", lambda left, right, *more: plans.append(right._jdf.queryExecution().toString()) or grid(left, right, *more))
     hits = ivf.ivf_search(queries, stored, model, k=5, probes=1)
     assert hits.filter("rank = 1").first()["segment_id"] == "s0"
-    plan = hits._jdf.queryExecution().toString()
-    pruned = [p.split("]")[0] for p in plan.split("PartitionFilters: [")[1:]]
-    assert any("cell#" in p and " IN (" in p for p in pruned), pruned
+    pruned = [p.split("]")[0] for plan in plans for p in plan.split("PartitionFilters: [")[1:]]
+    assert plans and len(pruned) >= len(plans) and all("cell#" in p for p in pruned), pruned
     exact = ivf.ivf_search(queries, stored, model, k=5, probes=8)
     assert {r["segment_id"] for r in hits.collect()} <= {r[0] for r in rows} and exact.count() == 5
 
@@ -187,3 +188,30 @@ def test_probes_follow_the_data(spark):
     assert ivf.choose_probes(cells, model, k=10) == 1
     assert ivf.choose_probes(cells, model, k=91) == 3
     assert [ivf.lists_for(n) for n in (0, 500, 2000, 10**9)] == [2, 22, 45, 4096]
+
+
+@pytest.mark.parametrize("clustered", [True, False])
+def test_bounds_travel_from_round_to_round(spark, monkeypatch, clustered):
+    draw = np.random.default_rng(7)
+    centers = draw.normal(size=(20, 8)) * (4 if clustered else 0)
+    rows = [(i, (centers[i % 20] + draw.normal(size=8)).tolist()) for i in range(4000)]
+    segments = spark.createDataFrame(rows, "id int, segment_embedding array<double>")
+    model = ivf.ivf_train(segments, lists=40)
+    cells = ivf.ivf_assign(segments, model).cache()
+    queries = spark.createDataFrame([(i, rows[i * 40][1]) for i in range(100)], "query_id int, embedding array<double>")
+    merged, plain = [], ivf._round_hits
+
+    def counted(hits, best):
+        every = plain(hits, best).cache()
+        merged.append((every.count(), best is None))
+        return every
+
+    monkeypatch.setattr(ivf, "_round_hits", counted)
+    k = 20
+    found = ivf.ivf_search(queries, cells, model, k, probes=40).collect()
+    exact = search.knn_join(queries, segments, k).collect()
+    assert {(r["query_id"], r["rank"], r["segment_id"]) for r in found} == {(r["query_id"], r["rank"], r["segment_id"]) for r in exact}
+    assert len(merged) > 2 and [first for _, first in merged] == [True] + [False] * (len(merged) - 1)
+    # without bounds all 40 cells would give their best k hits, 800 for each query
+    assert max(n for n, _ in merged) <= (4 if clustered else 6) * k * 100
+    assert sum(n for n, _ in merged) <= 12 * k * 100
