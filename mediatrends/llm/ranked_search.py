@@ -244,23 +244,36 @@ def _bounded(queries: Queries, least: list[int] | None):
     return run
 
 
-def _scored(docs: DataFrame, pairs: DataFrame, queries: Queries, id_col: str, text_col: str) -> DataFrame:
-    """``item``, ``id`` and the exact ``score`` above zero of the documents of ``pairs``, from their whole texts."""
+def _scored(docs: DataFrame, pairs: DataFrame, queries: Queries, least: list[int], id_col: str, text_col: str) -> DataFrame:
+    """``item``, ``id`` and the exact ``score`` above zero of the documents of ``pairs``, from their whole texts.
+
+    Scores below the item's entry in ``least``, which ``TOP`` documents reach, are left out, and so is what the task has
+    ``TOP`` better documents for.
+    """
+    id_type = _arrow_type(docs, id_col)
+    sorts = pa.types.is_integer(id_type) or pa.types.is_string(id_type)  # in Python as in Spark
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, list] = {}
+
+        def first(rows: list) -> list:
+            return sorted(rows, key=lambda r: (-r[0], r[1] is None, r[1]))[:TOP] if sorts else rows
+
         for batch in batches:
-            items, places, scores = [], [], []
-            for place, (text, asked) in enumerate(zip(batch["text"].to_pylist(), batch["items"].to_pylist())):
+            for own, text, asked in zip(batch["id"].to_pylist(), batch["text"].to_pylist(), batch["items"].to_pylist()):
                 words = terms(text)
                 counts = Counter(words)
                 for item in asked:
                     score = queries.score(item, counts, len(words))
-                    if score > 0:
-                        items.append(item)
-                        places.append(place)
-                        scores.append(score)
-            taken = batch["id"].take(pa.array(places, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(items, pa.int32()), taken, pa.array(scores, pa.int64())], names=["item", "id", "score"])
+                    if score > 0 and score >= least[item]:
+                        rows = best.setdefault(item, [])
+                        rows.append((score, own))
+                        if len(rows) >= 4 * TOP:
+                            best[item] = first(rows)
+        for item, rows in best.items():
+            rows = first(rows)
+            arrays = [pa.array(np.full(len(rows), item, np.int32)), pa.array([r[1] for r in rows], id_type), pa.array([r[0] for r in rows], pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["item", "id", "score"])
 
     asked = pairs.groupBy("id", "text_key").agg(F.collect_set("item").alias("items"))  # at most the items of a pass
     asked = asked.select(row_key(F.col("id"), F.col("text_key")).alias("key"), F.col("id").alias("asked_id"), F.col("text_key").alias("asked_key"), "items")
@@ -321,12 +334,12 @@ def ranked_search(
             bounded = blocks.select("ids", "text_keys", "sizes", "most", "width", "slices")
             # the documents with the greatest bounds tell a score that TOP documents reach
             likely = materialize(_first(bounded.mapInArrow(_bounded(queries, None), pair), F.desc("bound"), "id", "text_key"), "likely")
-            reached = _first(_scored(docs, likely, queries, id_col, text_col), F.desc("score")).groupBy("item").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n"))
             least = [0] * len(rows)
+            reached = _first(_scored(docs, likely, queries, least, id_col, text_col), F.desc("score")).groupBy("item").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n"))
             for r in reached.filter(F.col("n") == TOP).collect():  # at most ITEMS rows
                 least[r["item"]] = r["least"]
             open_ = materialize(bounded.mapInArrow(_bounded(queries, least), pair), "candidates")
-            ranked = _first(_scored(docs, open_, queries, id_col, text_col), F.desc("score"), F.asc_nulls_last("id"))
+            ranked = _first(_scored(docs, open_, queries, least, id_col, text_col), F.desc("score"), F.asc_nulls_last("id"))
             ranked = ranked.join(F.broadcast(names), "item").select(item_col, "rank", F.col("id").alias(id_col), "score")
             part = materialize(ranked, "ranked")
             result = part if result is None else result.unionByName(part)
