@@ -51,6 +51,17 @@ def type_of(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The ``names``, each lengthened until no column of ``df`` is called so, in any case."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def row_key(id_: Column, text_key: Column) -> Column:
     """One number, never null, for an id that may be null and the hash of a text."""
     return F.xxhash64(id_, text_key)
@@ -71,4 +82,4 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, weight: Column, how
     return marked.filter("_hot").drop("_hot").join(F.broadcast(few.drop("_hot")), key).unionByName(rest)
 
 
-__all__ = ["WORD", "job", "join_unique", "materialize", "row_key", "settings", "text_rows", "type_of"]
+__all__ = ["WORD", "job", "join_unique", "materialize", "row_key", "settings", "text_rows", "type_of", "unused"]

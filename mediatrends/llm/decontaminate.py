@@ -15,9 +15,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediatrends.llm.common import job, materialize, row_key, text_rows, type_of
+from mediatrends.llm.common import job, materialize, row_key, text_rows, type_of, unused
 
-WINDOW = 8  # template words in a window; a shorter item is one window, and documents have windows of its width too
+WINDOW = 8  # template words in a window; a shorter item is one window
+PHRASE = 4  # an item of this many words up to a window meets whole sentences and lines only, a shorter one whole texts only
 LITERALS = 5  # a window of a template has at least this many words that are no placeholders, or as many as the item has words
 SHARE = 0.3  # of an item's windows that must meet, with consistent slots,
 ENOUGH = 6  # or as many windows: 13 words in a row
@@ -94,8 +95,9 @@ class Canonical:
     def __init__(self) -> None:
         self.words = _Words()
 
-    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
-        """Template hash of each word, whether it is literal, the words as written, and the hash of each in lower case."""
+    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+        """Template hash of each word, whether it is literal, the words as written, the hash of each in lower case, and
+        whether a sentence or line begins with it."""
         if len(self.words) > _Words.MOST:
             self.words = _Words()  # forget, so that memory stays bounded
         # the end of a line ends a sentence
@@ -126,7 +128,7 @@ class Canonical:
         literal = ~((base == _NUMBER) | name | unit)
         plain = hashes
         hashes = np.where(base == _NUMBER, NUMBER, np.where(unit, UNIT, np.where(name, NAME, plain)))
-        return hashes, literal, raw, plain
+        return hashes, literal, raw, plain, begins
 
 
 def _mixed(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -168,7 +170,9 @@ def _windows_of(rows: DataFrame, id_type: str, wanted: np.ndarray | None = None,
     """Windows of the texts; with ``wanted`` (sorted) only those whose hash is in it.
 
     Without ``widths`` the texts are items, of one width each; their windows tell whether the template has enough literal
-    words (``judged``), how many have, and the number of all. Documents have windows of all ``widths``.
+    words (``judged``), how many have, and the number of all. Documents have windows of all ``widths``; those narrower than
+    ``WINDOW`` must be a whole sentence or line, and those below ``PHRASE`` words the whole text, as a few common words
+    say nothing about where they come from.
     """
     items = widths is None
 
@@ -182,13 +186,17 @@ def _windows_of(rows: DataFrame, id_type: str, wanted: np.ndarray | None = None,
         for batch in batches:
             ids, found, positions, slots, more = [], [], [], [], []
             for i, text in enumerate(batch["text"].to_pylist()):
-                hashes, literal, raw, plain = canonical(text)
+                hashes, literal, raw, plain, begins = canonical(text)
                 for width in [min(WINDOW, len(hashes))] if items else widths:
-                    if not 0 < width <= len(hashes):
+                    if not 0 < width <= len(hashes) or (not items and width < PHRASE and width < len(hashes)):
                         continue
                     mixed, good, slotted, exact = windows(hashes, plain, literal, width)
-                    at = np.flatnonzero(good & among(mixed))
-                    words = np.flatnonzero(slotted)
+                    whole = np.ones(len(mixed), bool)
+                    if not items and width < WINDOW:
+                        # a sentence or line begins with the window, and the next one behind it
+                        whole = begins[: len(mixed)] & np.append(begins, True)[width:]
+                    at = np.flatnonzero(good & whole & among(mixed))
+                    words = np.flatnonzero(slotted & whole)
                     words = words[among(exact[words])]
                     if not len(at) and not len(words):
                         continue
@@ -259,7 +267,8 @@ def contaminated(
     ``id_col``, ``item_col``, ``n_matched`` and ``n_windows`` (windows of the item that meet, and all of them), ``position``
     (first matching word of the document) and ``n_changed`` (slots whose value differs). Clean documents are not listed.
     Null and empty texts match nothing; items that repeat are matched each; a document is listed once for each id, by the
-    text that matches best. A text of any length is compared whole.
+    text that matches best. A text of any length is compared whole. Items of fewer than ``WINDOW`` words are found where they
+    are a sentence or line of their own, and those of fewer than ``PHRASE`` words where they are the whole text.
     """
     with job(docs.sparkSession) as scope:
         chosen = _matches(docs, benchmark, id_col, text_col, item_col, item_text).groupBy("id", "item").agg(F.min("best").alias("best"))
@@ -276,9 +285,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     with job(docs.sparkSession) as scope:
         matches = _matches(docs, benchmark, id_col, text_col, "item_id", "text")
-        found = scope.keep(materialize(matches.select(F.col("id").alias("_id"), F.col("text_key").alias("_key")).distinct(), "contaminated"))
-    found = found.withColumn("_row", row_key(F.col("_id"), F.col("_key")))
-    rows = docs.withColumn("_text_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    rows = rows.withColumn("_own", row_key(F.col(id_col), F.col("_text_key")))
-    same = (rows["_own"] == found["_row"]) & rows[id_col].eqNullSafe(found["_id"]) & (rows["_text_key"] == found["_key"])
+        own_key, own_text, key, same_id, same_text = unused(docs, "row_key", "text_key", "found_key", "found_id", "found_text")
+        found = matches.select(F.col("id").alias(same_id), F.col("text_key").alias(same_text)).distinct()
+        found = scope.keep(materialize(found.withColumn(key, row_key(F.col(same_id), F.col(same_text))), "contaminated"))
+    rows = docs.withColumn(own_text, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    rows = rows.withColumn(own_key, row_key(F.col(id_col), F.col(own_text)))
+    same = (F.col(own_key) == F.col(key)) & F.col(id_col).eqNullSafe(F.col(same_id)) & (F.col(own_text) == F.col(same_text))
     return rows.join(found, same, "left_anti").select(*docs.columns)

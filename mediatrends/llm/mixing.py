@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mediatrends.llm.common import WORD, job, join_unique, materialize, row_key
+from mediatrends.llm.common import WORD, job, join_unique, materialize, row_key, unused
 from mediatrends.session import with_row_number, with_row_order
 
 CYCLE = 3  # weights 1, 2, 3, 1, 2, 3, ... by the order of the sources
@@ -89,18 +89,19 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Rows equal in id and text are one row, whose copies are those of all. The mix is found, the rows not yet computed.
     """
+    added = ["mix_size", "mix_target", "mix_copies", "mix_taken"]
+    own_key, own_text, key, same_id, same_text = unused(docs, "row_key", "text_key", "taken_key", "taken_id", "taken_text")
     with job(docs.sparkSession) as scope:
-        taken = _mixed(docs, id_col, text_col, source_col).filter("copies > 0").groupBy(F.col("id").alias("_id"), F.col("text_key").alias("_key"))
+        taken = _mixed(docs, id_col, text_col, source_col).filter("copies > 0").groupBy(F.col("id").alias(same_id), F.col("text_key").alias(same_text))
         taken = taken.agg(
             F.first("size").alias("mix_size"), F.first("target").alias("mix_target"), F.sum("copies").alias("mix_copies"), F.sum("taken").alias("mix_taken")
         )
-        taken = scope.keep(materialize(taken.withColumn("_row", row_key(F.col("_id"), F.col("_key"))), "taken")).withColumnRenamed("_row", "_taken_row")
-    rows = docs.withColumn("_text_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    rows = rows.withColumn("_row", row_key(F.col(id_col), F.col("_text_key")))
-    same = (rows["_row"] == taken["_taken_row"]) & rows[id_col].eqNullSafe(taken["_id"]) & (rows["_text_key"] == taken["_key"])
-    joined = rows.join(taken, same)
-    added = ["mix_size", "mix_target", "mix_copies", "mix_taken"]
-    return joined.dropDuplicates(["_row", id_col, "_text_key"]).select(*docs.columns, *added)
+        taken = scope.keep(materialize(taken.withColumn(key, row_key(F.col(same_id), F.col(same_text))), "taken"))
+    kept = docs.drop(*added)  # columns of these names are replaced
+    rows = kept.withColumn(own_text, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    rows = rows.withColumn(own_key, row_key(F.col(id_col), F.col(own_text)))
+    same = (F.col(own_key) == F.col(key)) & F.col(id_col).eqNullSafe(F.col(same_id)) & (F.col(own_text) == F.col(same_text))
+    return rows.join(taken, same).dropDuplicates([own_key, id_col, own_text]).select(*kept.columns, *added)
 
 
 def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mediatrends.llm.common import job, join_unique, materialize, type_of
+from mediatrends.llm.common import job, join_unique, materialize, type_of, unused
 
 # The patterns of the contract. A match can only begin where a run of its first characters begins, or where
 # the match before ended; saying so, and never giving back what a loop took, finds the same matches in time
@@ -220,7 +220,8 @@ def mask_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     with job(docs.sparkSession) as scope:
         found = _spans(docs, id_col, text_col).withColumn("all", F.concat("base", "added")).filter(F.size("all") > 0)
         ordered = F.array_sort("all", lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(b["stop"] - a["stop"]))
-        found = found.select(F.col("id").alias("_id"), F.col("text_key").alias("_key"), ordered.alias("_all")).dropDuplicates(["_id", "_key"])
+        own_id, own_key, own_spans = unused(docs, "masked_id", "masked_key", "masked_spans")
+        found = found.select(F.col("id").alias(own_id), F.col("text_key").alias(own_key), ordered.alias(own_spans)).dropDuplicates([own_id, own_key])
         found = scope.keep(materialize(found, "masks"))
     text = F.col(text_col)
 
@@ -233,7 +234,7 @@ def mask_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         )
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    masked = F.aggregate("_all", start, add, lambda done: F.concat(done["out"], F.substr(text, done["at"] + 1, F.length(text))))
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_key"))
-    rows = docs.join(found, same, "left").withColumn(text_col, F.when(F.col("_all").isNull(), text).otherwise(masked))
+    masked = F.aggregate(own_spans, start, add, lambda done: F.concat(done["out"], F.substr(text, done["at"] + 1, F.length(text))))
+    same = F.col(id_col).eqNullSafe(F.col(own_id)) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col(own_key))
+    rows = docs.join(found, same, "left").withColumn(text_col, F.when(F.col(own_spans).isNull(), text).otherwise(masked))
     return rows.select(*docs.columns)

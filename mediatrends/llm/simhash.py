@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediatrends.llm.common import job, join_unique, materialize, row_key, text_rows, type_of
+from mediatrends.llm.common import job, join_unique, materialize, row_key, text_rows, type_of, unused
 from mediatrends.operators.components import connected_components
 
 SHINGLE = 3
@@ -226,9 +226,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def keep_rows(docs: DataFrame, named: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of ``docs`` that are ``first`` in ``named``, each once."""
-    kept = named.select(row_key(F.col("first.id"), F.col("first.text_key")).alias("_row"), F.col("first.id").alias("_id"), F.col("first.text_key").alias("_key"))
-    rows = docs.withColumn("_text_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    rows = rows.withColumn("_row", row_key(F.col(id_col), F.col("_text_key")))
-    same = (rows["_row"] == kept["_row"]) & rows[id_col].eqNullSafe(kept["_id"]) & (rows["_text_key"] == kept["_key"])
+    own_key, own_text, first_key, first_id, first_text = unused(docs, "row_key", "text_key", "first_key", "first_id", "first_text")
+    kept = named.select(row_key(F.col("first.id"), F.col("first.text_key")).alias(first_key), F.col("first.id").alias(first_id), F.col("first.text_key").alias(first_text))
+    rows = docs.withColumn(own_text, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    rows = rows.withColumn(own_key, row_key(F.col(id_col), F.col(own_text)))
+    same = (F.col(own_key) == F.col(first_key)) & F.col(id_col).eqNullSafe(F.col(first_id)) & (F.col(own_text) == F.col(first_text))
     # rows stay where the join has put them
-    return rows.join(kept, same, "left_semi").dropDuplicates(["_row", id_col, "_text_key"]).select(*docs.columns)
+    return rows.join(kept, same, "left_semi").dropDuplicates([own_key, id_col, own_text]).select(*docs.columns)

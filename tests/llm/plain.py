@@ -139,3 +139,79 @@ def mix(rows):
             break
         copies[i] += 1
     return {i: (copies[i], target[s]) for i, _, s in rows}
+
+
+def shingle_set(text):
+    words = WORD.findall("".join(c.lower() if c.isascii() else c for c in text or ""))
+    return frozenset(tuple(words[i : i + 5]) for i in range(len(words) - 4)) or frozenset([tuple(words)])
+
+
+def first_similar(rows):
+    """Ids that stay when components of all pairs of five-word similarity 0.8 are reduced to their least id."""
+    rows = sorted(rows)
+    sets, root = [shingle_set(t) for _, t in rows], list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if root[i] != root[j] and 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    return {rows[r][0] for r in root}
+
+
+EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»„“”‘’…–—¿¡"
+
+
+def template(text, units):
+    """Words of a text: what stands for each in a template, the word in lower case, and whether a sentence begins there."""
+    out, begins, number = [], True, False
+    for line in (text or "").split("\n"):
+        for raw in WORD.findall(line):
+            word = raw.strip(EDGES)
+            low = word.lower()
+            if not low:
+                begins = begins or raw[-1] in ".!?"
+                continue
+            kind = low
+            if any(c in "0123456789" for c in low):
+                kind = "<number>"
+            elif low in units and number:
+                kind = "<unit>"
+            elif len(word) > 1 and word[0].isupper() and word[1:] == word[1:].lower() and not begins:
+                kind = "<name>"
+            out.append((kind, low, begins))
+            number = kind == "<number>"
+            begins = raw[-1] in ".!?:;" or (raw[-1] in "\"')]" and raw[-2:-1] != "" and raw[-2:-1] in ".!?")
+        begins = True
+    return out
+
+
+def leaks(doc, item, units, window=8, literals=5, phrase=4):
+    """Whether a document holds an item, by windows of template words with consistent slots."""
+    d, i = template(doc, units), template(item, units)
+    width = min(window, len(i))
+    if not width or len(d) < width or (width < phrase and len(d) > width):
+        return False
+    slots = lambda words: tuple(low for kind, low, _ in words if kind.startswith("<"))
+    met = defaultdict(set)  # by shift: place in the item, whether judged, pairs of slot values
+    places = range(len(i) - width + 1)
+    judged = {p for p in places if sum(not k.startswith("<") for k, _, _ in i[p : p + width]) >= min(literals, width)}
+    for p in places:
+        mine = i[p : p + width]
+        for q in range(len(d) - width + 1):
+            own = d[q : q + width]
+            whole = width == window or (own[0][2] and (q + width == len(d) or d[q + width][2]))
+            if not whole:
+                continue
+            if p in judged and [k for k, _, _ in mine] == [k for k, _, _ in own]:
+                met[q - p].add((p, True, tuple(zip(slots(mine), slots(own)))))
+            if slots(own) and [w for _, w, _ in mine] == [w for _, w, _ in own] and slots(mine):
+                met[q - p].add((p, p in judged, ()))
+    for found in met.values():
+        pairs = {pair for _, _, own in found for pair in own}
+        clash = {a for a in pairs for b in pairs if (a[0] == b[0]) != (a[1] == b[1])}
+        kept = [(p, j) for p, j, own in found if not clash & set(own)]
+        matched, sure = len({p for p, _ in kept}), len({p for p, j in kept if j})
+        if sure and sure >= min(0.3 * len(judged), 6):
+            return True
+        if matched and matched >= min(0.3 * len(places), 6):
+            return True
+    return False

@@ -1,4 +1,6 @@
-from mediatrends.llm.decontaminate import contaminated, decontaminate
+import random
+
+from mediatrends.llm.decontaminate import UNITS, contaminated, decontaminate
 from tests.conftest import SF
 from tests.llm import plain
 
@@ -30,10 +32,12 @@ def test_other_numbers_and_names_are_caught(spark):
 
 
 def test_slots_must_agree(spark):
-    # the item says the same number twice; here the two differ
-    assert pairs(spark, [ITEM.replace("12", "7", 1)]) == {}
-    # the item's names differ; here all are one
-    assert pairs(spark, [ITEM.replace("Anna", "Zoe").replace("Boris", "Zoe").replace("Clara", "Zoe")]) == {}
+    # the item says the same number twice; here the two differ, so the windows of the second are spoilt
+    got = pairs(spark, [ITEM, ITEM.replace("12", "7", 1)])
+    assert set(got) == {(0, 0), (1, 0)} and got[(1, 0)].n_matched < got[(0, 0)].n_matched == got[(0, 0)].n_windows
+    # the item's names differ; here all are one, and so are most numbers
+    other = ITEM.replace("Anna", "Zoe").replace("Boris", "Zoe").replace("Clara", "Zoe")
+    assert pairs(spark, [other]) == {} == {k: 1 for k in [(0, 0)] if plain.leaks(other, ITEM, set(UNITS))}
 
 
 def test_parts_marks_and_layout(spark):
@@ -66,3 +70,39 @@ def test_odd_tables(spark):
 def test_windows_of_a_large_benchmark_are_shuffled(spark, monkeypatch):
     monkeypatch.setattr("mediatrends.llm.decontaminate.SHIP_WINDOWS", 0)
     assert set(pairs(spark, [ITEM, "other words only"])) == {(0, 0)}
+
+
+def test_equals_plain_templates(spark):
+    draw = random.Random(11)
+    common = ["the", "of", "farm", "sells", "apples", "road", "green", "why", "is", "to", "5", "kg", "Anna", "Boris", "12", "days,", "pays.", "ends;", "|"]
+
+    def text(n):
+        return " ".join(draw.choice(common) for _ in range(n)).replace("| ", "\n" if draw.random() < 0.5 else "| ")
+
+    def changed(words):
+        swap = {"5": draw.choice(["5", "7"]), "12": draw.choice(["12", "5"]), "Anna": draw.choice(["Anna", "Emil"]), "Boris": draw.choice(["Boris", "Anna"])}
+        return " ".join(swap.get(w, w) if draw.random() < 0.9 else w for w in words)
+
+    items = [text(draw.choice([1, 2, 3, 4, 5, 7, 8, 9, 12, 20, 30])) for _ in range(24)]
+    docs = [text(draw.randrange(1, 40)) for _ in range(30)]
+    for _ in range(90):
+        words = changed(draw.choice(items).split(" ")).split(" ")
+        cut = draw.randrange(0, max(1, len(words) // 2)) if draw.random() < 0.5 else 0
+        docs.append(draw.choice(["", text(3) + " ", text(4) + ". ", text(2) + "\n"]) + " ".join(words[cut:]) + draw.choice(["", " " + text(3), ". " + text(3), "\n" + text(3)]))
+    docs += [i.upper() for i in items]
+    units = set(UNITS)
+    want = {(d, i) for d, a in enumerate(docs) for i, b in enumerate(items) if plain.leaks(a, b, units)}
+    assert set(pairs(spark, docs, items)) == want and len(want) > 60
+
+
+def test_common_words_do_not_empty_a_corpus(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for item in ("yes", "the", "the cat", "4", "of the"):
+        assert decontaminate(docs, spark.createDataFrame([(0, item)], ITEMS)).count() == docs.count()
+
+
+def test_clashing_columns_come_back_unchanged(spark):
+    names = ["row_key", "text_key", "FOUND_KEY", "found_id", "found_text", "item_id"]
+    rows = [(0, ITEM, *range(6)), (1, "clean words", *range(6))]
+    docs = spark.createDataFrame(rows, SCHEMA + "".join(f", {n} int" for n in names))
+    assert list(map(tuple, decontaminate(docs, spark.createDataFrame([(0, ITEM)], ITEMS)).collect())) == [rows[1]]

@@ -2,10 +2,13 @@ from mediatrends.llm.decontaminate import decontaminate
 from tests.llm.test_decontaminate import ITEM, ITEMS, SCHEMA, pairs
 
 
-def test_short_items_are_found_in_longer_documents(spark):
-    items = ["Why is grass green", "What is 12 + 15 * 3 - 7?", "x"]
-    docs = ["so why is GRASS green today, and for how long will it be", "what is grass", "They asked: what is 12 + 15 * 3 - 7? Nobody knew that."]
-    assert set(pairs(spark, docs, items)) == {(0, 0), (2, 1)}
+def test_short_items_are_found_as_sentences_lines_or_texts(spark):
+    items = ["Why is grass green", "What is 12 + 15 * 3 - 7?", "x", "the cat"]
+    docs = [
+        "He asked: why is GRASS green? Nobody knew, or would say so.", "so why is GRASS green today, and for how long will it be", "what is grass",
+        "They asked: what is 12 + 15 * 3 - 7? Nobody knew that.", "one line\nWhy is grass green\nanother line", "x\ny", " X ", "The cat. It sat.", "the cat",
+    ]
+    assert set(pairs(spark, docs, items)) == {(0, 0), (3, 1), (4, 0), (6, 2), (8, 3)}
 
 
 def test_dense_items_are_found_verbatim(spark):

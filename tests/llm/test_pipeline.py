@@ -1,4 +1,5 @@
 import corpus_pipeline
+from mediatrends.llm.decontaminate import UNITS
 from mediatrends.llm.quality import quality_rules
 from tests.conftest import SF
 from tests.llm import plain
@@ -16,11 +17,9 @@ def test_equals_plain_version(spark):
     kept = {r.doc_id for r in quality_rules(docs).filter("kept").collect()}
     rows = sorted((r for r in docs.collect() if r.doc_id in kept), key=lambda r: r.doc_id)
     assert not any(plain.counts(r.text)[-1] for r in rows)
-    first, groups = {}, plain.groups([plain.fingerprint(r.text) for r in rows])
-    for r, g in zip(rows, groups):
-        first.setdefault(g, r)
-    items = [plain.normal(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    rows = [r for r in first.values() if not any(i in plain.normal(r.text) for i in items)]
+    first = plain.first_similar([(r.doc_id, r.text) for r in rows])
+    items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    rows = [r for r in rows if r.doc_id in first and not any(plain.leaks(r.text, i, set(UNITS)) for i in items)]
     masked = {r.doc_id: plain.mask(r.text) for r in rows}
     copies = plain.mix([(r.doc_id, masked[r.doc_id], r.source) for r in rows])
     want = {i: (masked[i], c, t) for i, (c, t) in copies.items() if c}
