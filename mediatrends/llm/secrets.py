@@ -10,7 +10,6 @@ searched.
 
 from __future__ import annotations
 
-import heapq
 import math
 import re
 from collections import Counter
@@ -31,35 +30,36 @@ KINDS = {
     "hex": re.compile(r"[0-9a-f]{32,}"),  # runs are maximal, so shorter ones may be passed over at once
 }
 LEAST = {"assign": 8, "access": 16, "hex": 32}
+NAMED = {"assign": ("password", "passwd", "secret", "token", "api"), "access": ("akia",)}
 FOUND = "secret"  # kind of the spans that the field adds
 
-TOKEN = re.compile(r"[\w+/.-]+|[^\w\s+/.-]+")
+TOKEN = re.compile(r"[\w+/-]+(?:\.[\w+/-]+)*|[^\w\s+/-]+")
 PIECE = 1 << 20  # characters cut into tokens at a time
 
 BEGIN, INSIDE, OUTSIDE = 0, 1, 2
-BUCKETS = 1 << 16
 ROLES = ("own", "one before", "two before", "three before", "one after")
 _SHIFTS = (0, 1, 2, 3, -1)
 # Features of a token's own, of a neighbour, and of a token with its neighbours; of the file.
 OWN, NEAR = 12, 2
 WORD_FEATURES, FILE_FEATURES = OWN + NEAR * (len(ROLES) - 1), 3
 
-# The sample to learn from: windows of tokens with and without a secret, at most so many of each.
-WINDOW, REACH = 32, 12
-SAMPLE = 3000
-A_DOCUMENT = 2  # windows with a secret from one text
+# The sample to learn from: a window of tokens each of at most so many texts with a secret, and of as many without.
+WINDOW, REACH = 24, 10
+SAMPLE = 1500
 EPOCHS, STEP, SHRINK = 40, 0.3, 1e-5
 RARE = 8
 # A window without a match teaches nothing if it seems to hold a secret with this chance: no pattern knows all secrets.
 DOUBT = 0.2
 SPAN = "struct<kind:string,start:int,stop:int>"
-CACHED, CACHED_CHARS = 300_000, 1 << 26
+CACHED, CACHED_CHARS = 600_000, 1 << 26
 
 
 def base_spans(text: str) -> list[tuple[str, int, int, int]]:
     """Kind, start and stop of the matches of the fixed patterns, and where their secret part begins; by start, then kind."""
-    found = []
+    found, low = [], text.lower()
     for place, (kind, pattern) in enumerate(KINDS.items()):
+        if kind in NAMED and not any(name in low for name in NAMED[kind]):
+            continue  # the pattern needs one of these, and looking for them is cheap
         for m in pattern.finditer(text):
             secret = m.start(2) if kind == "assign" else m.start()
             if m.end() - secret >= LEAST[kind]:
@@ -71,18 +71,35 @@ def _bucket(number: int) -> int:
     return min(int(math.log2(number + 1) * 2), 15)
 
 
+_SIZES = [f"size {_bucket(n)}" for n in range(256)]
+
+
+def _size(token: str) -> str:
+    return _SIZES[min(len(token), 255)]
+
+
 def shape(token: str) -> str:
     """Classes of the characters, runs as one: upper A, lower a, digit 9, other letters x, marks as they are."""
     kinds = ["A" if c.isupper() else "a" if c.islower() else "9" if c.isdigit() else "x" if c.isalpha() else c for c in token]
     return "".join(k for k, before in zip(kinds, ["", *kinds]) if k != before)
 
 
+def _written(token: str, low: str) -> str | None:
+    """How a token of letters is written, if it is written like a word."""
+    if low == token:
+        return "plain"
+    if token[1:] == low[1:]:
+        return "capital"
+    return "upper" if token.isupper() else None
+
+
 def _features(token: str) -> tuple[list[str], list[str]]:
     """Features of a token for itself, and for its neighbours."""
-    low = token.lower()
-    size = f"size {_bucket(len(token))}"
-    if token.isalpha() and low == token:
-        return ["plain", size, f"plain {size}"], [f"word {low}" if len(low) <= 24 else "long word", "plain"]
+    low, size = token.lower(), _size(token)
+    word = f"word {low}" if len(low) <= 24 else "long word"
+    written = _written(token, low) if token.isalpha() else None
+    if written:
+        return [written, size, f"{written} {size}"], [word, written]
     form = shape(token)
     digits = sum(map(str.isdigit, token))
     letters = sum(map(str.isalpha, token))
@@ -93,14 +110,18 @@ def _features(token: str) -> tuple[list[str], list[str]]:
     own = [
         size, f"form {form[:8]}", f"turns {_bucket(len(form))}", f"turns {_bucket(len(form))} {size}", f"digits {10 * digits // len(token)}",
         f"entropy {int(2 * entropy)}", f"entropy {int(2 * entropy)} {size}", f"mixed {mixed} {size}", f"hex {hexed} {size}", f"case {low == token} {token.upper() == token} {mixed}",
-        f"start {token[:4]}" if len(token) > 4 else f"word {low}", f"marks {''.join(sorted(set(form) - set('Aa9x')))[:6]}",
+        f"start {token[:4]}" if len(token) > 4 else word, f"marks {''.join(sorted(set(form) - set('Aa9x')))[:6]}",
     ]
-    return own, [f"word {low}" if len(low) <= 24 else "long word", f"form {form[:8]}"]
+    return own, [word, f"form {form[:8]}"]
+
+
+def _id(feature: str, role: int) -> int:
+    """The number of a feature in a role; 0 is left for padding."""
+    return (xxhash.xxh32_intdigest(feature) + role * 0x9E3779B1) & 0xFFFFFFFF or 1
 
 
 def _ids(features: list[str], role: int) -> list[int]:
-    # bucket 0 is left for padding
-    return [xxhash.xxh32_intdigest(f, role) % (BUCKETS - 1) + 1 for f in features]
+    return [_id(f, role) for f in features]
 
 
 def word_ids(token: str) -> list[list[int]]:
@@ -147,7 +168,7 @@ def token_tags(places: np.ndarray, spans: list[tuple[str, int, int, int]]) -> np
 def _window(text: str, places: np.ndarray, tags: np.ndarray, start: int) -> tuple[bytes, bytes]:
     """Feature numbers (``WINDOW`` x ``WORD_FEATURES`` + file features, padded with zero) and tags of a window."""
     stop = min(start + WINDOW, len(places))
-    ids = np.zeros((WINDOW, WORD_FEATURES + FILE_FEATURES), np.int32)
+    ids = np.zeros((WINDOW, WORD_FEATURES + FILE_FEATURES), np.uint32)
     held = [word_ids(text[a:b]) for a, b in places[max(0, start - 3) : stop + 1].tolist()]
     own = start - max(0, start - 3)
     for i in range(stop - start):
@@ -160,47 +181,53 @@ def _window(text: str, places: np.ndarray, tags: np.ndarray, start: int) -> tupl
     return ids.tobytes(), np.pad(tags[start:stop], (0, WINDOW - stop + start), constant_values=-1).tobytes()
 
 
-def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows with and without a secret of the texts with the least hashes of the task: a sample that reruns repeat."""
-    chosen: dict[bool, list] = {True: [], False: []}
-    known: dict[bool, set] = {True: set(), False: set()}
+def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hash of each text, and whether a fixed pattern matches."""
     for batch in batches:
-        for text in batch["text"].to_pylist():
-            spans = base_spans(text)
-            rank = xxhash.xxh3_64_intdigest(text.encode()) >> 1
-            wanted = []
-            for secret in (True, False):
-                full = len(chosen[secret]) >= SAMPLE
-                if (spans or not secret) and not (full and -chosen[secret][0][0] <= rank) and rank not in known[secret]:
-                    wanted.append(secret)  # copies of a text count once
-            if not wanted:
-                continue
-            places = token_places(text)
-            if not len(places):
-                continue
-            tags = token_tags(places, spans)
-            begins = np.flatnonzero(tags == BEGIN)
-            for secret in wanted:
-                starts = begins[:: max(1, len(begins) // A_DOCUMENT)][:A_DOCUMENT] - REACH if secret else np.array([rank % len(places)]) - REACH
-                windows = [_window(text, places, tags, max(0, int(s))) for s in starts]
-                heapq.heappush(chosen[secret], (-rank, windows))
-                known[secret].add(rank)
-                if len(chosen[secret]) > SAMPLE:
-                    known[secret].discard(-heapq.heappop(chosen[secret])[0])
-    rows = [(secret, -rank, n, *w) for secret, held in chosen.items() for rank, windows in held for n, w in enumerate(windows)]
-    columns = zip(*rows) if rows else [[]] * 5
-    kinds = (pa.bool_(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["secret", "rank", "n", "ids", "tags"])
+        secret = pa.array([bool(base_spans(t)) for t in batch["text"].to_pylist()], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch["rank"], secret], names=["rank", "secret"])
+
+
+def _windows(least: dict[bool, int]):
+    """A window each of the texts whose hash is at most that in ``least``, by whether a fixed pattern matches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for rank, text in zip(batch["rank"].to_pylist(), batch["text"].to_pylist()):
+                spans = base_spans(text)
+                places = token_places(text) if rank <= least[bool(spans)] else []
+                if not len(places):
+                    continue
+                tags = token_tags(places, spans)
+                begins = np.flatnonzero(tags == BEGIN)
+                if spans and not len(begins):
+                    continue
+                at = begins[rank % len(begins)] if spans else rank % len(places)
+                rows.append((bool(spans), rank, *_window(text, places, tags, max(0, int(at) - REACH))))
+            columns = zip(*rows) if rows else [[]] * 4
+            kinds = (pa.bool_(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["secret", "rank", "ids", "tags"])
+
+    return run
 
 
 class Field:
-    """Weights of features by tag, of transitions, and of the tags at the edges of a text."""
+    """Weights of features by tag, of transitions, and of the tags at the edges of a text.
+
+    ``ids`` are the numbers of the known features, sorted; the first is 0, which stands for no feature.
+    """
 
     def __init__(self) -> None:
-        self.weights = np.zeros((BUCKETS, 3))
+        self.ids, self.weights = np.zeros(1, np.uint32), np.zeros((1, 3))
         self.steps = np.zeros((3, 3))
         self.first, self.last = np.zeros(3), np.zeros(3)
 
+    def rows(self, ids: np.ndarray) -> np.ndarray:
+        """The rows of ``weights`` of features; unknown ones have the row of none."""
+        at = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)
+        return np.where(self.ids[at] == ids, at, 0)
+
     def _passes(self, scores: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Forward and backward scores of windows by token and tag, and the sum over all paths."""
         width = scores.shape[1]
@@ -229,29 +256,33 @@ class Field:
         used, place, often = np.unique(ids, return_inverse=True, return_counts=True)
         # a feature of few tokens would only learn them by heart
         ids = np.where(often[place.reshape(ids.shape)] >= RARE, ids, 0)
-        used, place = np.unique(ids, return_inverse=True)
-        place = place.reshape(ids.shape)
+        used, place = np.unique(np.append(ids, np.uint32(0)), return_inverse=True)
+        place = place[:-1].reshape(ids.shape)
         own = np.zeros((len(used), 3))
         state = [np.full_like(own, 1e-6), np.full((3, 3), 1e-6), np.full(3, 1e-6), np.full(3, 1e-6)]
+        columns = [np.ascontiguousarray(place[:, :, k]) for k in range(ids.shape[2])]
         for _ in range(EPOCHS):
-            scores = own[place].sum(axis=2)
+            scores = _summed(own, columns)
             forward, backward, total = self._passes(scores, inside)
             chance = np.exp(forward + backward - total[:, None, None]) * inside[:, :, None]
-            pairs = forward[:, :-1, :, None] + self.steps + (scores[:, 1:] + backward[:, 1:])[:, :, None, :] - total[:, None, None, None]
-            pairs = np.exp(np.minimum(pairs, 0)) * follows[:, :, None, None]
+            pairs = np.zeros((3, 3))
+            for t in range(1, width):
+                step = forward[:, t - 1, :, None] + self.steps + (scores[:, t] + backward[:, t])[:, None, :] - total[:, None, None]
+                pairs += np.exp(np.minimum(step[follows[:, t - 1]], 0)).sum(axis=0)
             off = truth - chance
-            gradient = np.stack([np.bincount(place.ravel(), np.broadcast_to(off[:, :, None, k], ids.shape).ravel(), len(used)) for k in range(3)], axis=1) / n
-            gradients = [gradient - SHRINK * own, (seen_steps - pairs.sum(axis=(0, 1))) / n, (seen_first - chance[:, 0].sum(axis=0)) / n, (seen_last - chance[rows, ends].sum(axis=0)) / n]
+            gradient = sum(np.stack([np.bincount(c.ravel(), off[:, :, k].ravel(), len(used)) for k in range(3)], axis=1) for c in columns) / n
+            gradients = [gradient - SHRINK * own, (seen_steps - pairs) / n, (seen_first - chance[:, 0].sum(axis=0)) / n, (seen_last - chance[rows, ends].sum(axis=0)) / n]
             for value, g, s in zip((own, self.steps, self.first, self.last), gradients, state):
                 s += g * g
                 value += STEP * g / np.sqrt(s)
-            own[used == 0] = 0  # padding
-        self.weights[used] = own
+            own[0] = 0  # padding
+        self.ids, self.weights = used, own
         return self
 
     def doubtful(self, ids: np.ndarray, tags: np.ndarray) -> np.ndarray:
         """Whether a window has a token tagged outside that the field takes for a secret with some chance."""
-        forward, backward, total = self._passes(self.weights[ids].sum(axis=2), tags >= 0)
+        columns = [self.rows(ids[:, :, k]) for k in range(ids.shape[2])]
+        forward, backward, total = self._passes(_summed(self.weights, columns), tags >= 0)
         outside = np.exp(forward[:, :, OUTSIDE] + backward[:, :, OUTSIDE] - total[:, None])
         return ((tags == OUTSIDE) & (1 - outside > DOUBT)).any(axis=1)
 
@@ -293,26 +324,54 @@ class Field:
         return tags
 
 
+def _summed(weights: np.ndarray, columns: list[np.ndarray]) -> np.ndarray:
+    """The scores of the tags by token, from the numbers of its features, a column at a time."""
+    scores = weights[columns[0]]
+    for column in columns[1:]:
+        scores += weights[column]
+    return scores
+
+
 def _log_sum(values: np.ndarray, axis: int) -> np.ndarray:
     top = values.max(axis=axis, keepdims=True)
     return np.log(np.exp(values - top).sum(axis=axis)) + top.squeeze(axis)
 
 
 class _Scores(dict):
-    """Row of each token in the table ``rows`` of its scores by role and tag, filled as tokens are met."""
+    """Row of each token in the table ``rows`` of its scores by role and tag, filled as tokens are met.
+
+    Tokens that are written like words and that the field does not know share the row of their writing and size.
+    """
 
-    def __init__(self, weights: np.ndarray) -> None:
+    def __init__(self, field: Field) -> None:
         super().__init__()
-        self.weights, self.chars = weights, 0
-        self.rows = np.zeros((1 << 16, len(ROLES), 3))
+        self.weights, self.chars, self.used = field.weights, 0, 0
+        self.known = {int(i): row for row, i in enumerate(field.ids.tolist())}
+        self.rows = np.zeros((1 << 12, len(ROLES), 3))
+        self.shared: dict[tuple[str, str], int] = {}
 
-    def __missing__(self, token: str) -> int:
-        row = len(self)
-        if row == len(self.rows):
+    def _new(self, token: str) -> int:
+        if self.used == len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        ids = word_ids(token)
-        starts = np.cumsum([0, *map(len, ids)])[:-1]
-        self.rows[row] = np.add.reduceat(self.weights[[i for role in ids for i in role]], starts)
+        for role, ids in enumerate(word_ids(token)):
+            self.rows[self.used, role] = self.weights[[self.known.get(i, 0) for i in ids]].sum(axis=0)
+        self.used += 1
+        return self.used - 1
+
+    def __missing__(self, token: str) -> int:
+        row = None
+        if token.isalpha():
+            low = token.lower()
+            written = _written(token, low)
+            if written and len(low) <= 24:
+                word = xxhash.xxh32_intdigest(f"word {low}")
+                if not any(((word + role * 0x9E3779B1) & 0xFFFFFFFF) in self.known for role in range(1, len(ROLES))):
+                    key = (written, _size(token))
+                    row = self.shared.get(key)
+                    if row is None:
+                        row = self.shared[key] = self._new(token)
+        if row is None:
+            row = self._new(token)
         self.chars += len(token)
         self[token] = row
         return row
@@ -323,19 +382,19 @@ class Tagger:
 
     def __init__(self, field: Field) -> None:
         self.field = field
-        self.words = _Scores(field.weights)
+        self.words = _Scores(field)
 
     def scores(self, text: str) -> np.ndarray:
         """By token of the whole text: the score of each tag."""
         if len(self.words) > CACHED or self.words.chars > CACHED_CHARS:
-            self.words = _Scores(self.field.weights)  # forget, so that memory stays bounded
+            self.words = _Scores(self.field)  # forget, so that memory stays bounded
         found = []
         for _, piece in _pieces(text):
             tokens = TOKEN.findall(piece)
             found.append(np.fromiter(map(self.words.__getitem__, tokens), np.int32, len(tokens)))
         rows = np.concatenate(found) if found else np.zeros(0, np.int32)
         table = self.words.rows
-        scores = table[rows, 0] + self.field.weights[file_ids(text)].sum(axis=0)
+        scores = table[rows, 0] + self.field.weights[self.field.rows(np.array(file_ids(text), np.uint32))].sum(axis=0)
         for role, shift in list(enumerate(_SHIFTS))[1:]:
             if shift > 0:
                 scores[shift:] += table[rows[:-shift], role]
@@ -358,24 +417,46 @@ class Tagger:
         return list(zip(places[begins, 0].tolist(), places[ends, 1].tolist()))
 
 
-def learned_field(docs: DataFrame, text_col: str = "text") -> Field | None:
-    """The field learned from at most ``SAMPLE`` texts with a match of the fixed patterns and as many places without.
-
-    The texts with the least hashes are taken, copies once. Without a match anywhere there is nothing to learn: None.
-    """
-    windows = text_rows(docs, text_col, text_col).select("text").mapInArrow(_sampled, "secret boolean, rank bigint, n int, ids binary, tags binary")
-    held = materialize(windows.dropDuplicates(["secret", "rank", "n"]), "windows")
-    if held.filter("secret").isEmpty():
-        return None
-    # each a sample of bounded size: SAMPLE texts, A_DOCUMENT windows each
-    some = [held.filter(F.col("secret") == secret).orderBy("rank", "n").limit(SAMPLE * (A_DOCUMENT if secret else 1)).collect() for secret in (True, False)]
-    rows = some[0] + some[1]
-    ids = np.stack([np.frombuffer(r["ids"], np.int32).reshape(WINDOW, -1) for r in rows])
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The field of all windows, in one task: their number and size are bounded."""
+    rows = [r for batch in batches for r in batch.to_pylist()]
+    if not rows:
+        return
+    ids = np.stack([np.frombuffer(r["ids"], np.uint32).reshape(WINDOW, -1) for r in rows])
     tags = np.stack([np.frombuffer(r["tags"], np.int8) for r in rows])
     alone = ids.copy()
     alone[:, :, OWN:WORD_FEATURES] = 0  # the same windows without the neighbours
     sure = ~Field().fit(alone, tags).doubtful(alone, tags) | np.array([r["secret"] for r in rows])
-    return Field().fit(np.concatenate([ids[sure], alone[sure]]), np.concatenate([tags[sure], tags[sure]]))
+    field = Field().fit(np.concatenate([ids[sure], alone[sure]]), np.concatenate([tags[sure], tags[sure]]))
+    held = [field.ids, field.weights, field.steps, field.first, field.last]
+    yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in held], pa.binary())], names=["held"])
+
+
+def learned_field(docs: DataFrame, text_col: str = "text") -> Field | None:
+    """The field learned from a window each of ``SAMPLE`` texts with a match of the fixed patterns, and of as many without.
+
+    The texts with the least hashes are taken, so that reruns agree; copies are taken once. Without a match anywhere there is
+    nothing to learn: None.
+    """
+    texts = text_rows(docs, text_col, text_col).select("text", F.xxhash64("text").bitwiseAND((1 << 62) - 1).alias("rank"))
+    judged = materialize(texts.mapInArrow(_judged, "rank bigint, secret boolean").distinct(), "judged")
+    least = {}
+    for secret in (True, False):
+        chosen = judged.filter(F.col("secret") == secret).orderBy("rank").limit(SAMPLE)
+        least[secret] = chosen.agg(F.max("rank")).first()[0]
+    if least[True] is None:
+        return None
+    least = {k: -1 if v is None else v for k, v in least.items()}
+    near = texts.filter(F.col("rank") <= max(least.values()))
+    windows = near.mapInArrow(_windows(least), "secret boolean, rank bigint, ids binary, tags binary").dropDuplicates(["rank"])
+    fitted = windows.repartition(1).sortWithinPartitions("rank").mapInArrow(_fitted, "held binary").collect()
+    if not fitted:
+        return None
+    field = Field()
+    kinds = [np.uint32, *[np.float64] * 4]
+    arrays = [np.frombuffer(bytes(r["held"]), kind) for r, kind in zip(fitted, kinds)]
+    field.ids, field.weights, field.steps, field.first, field.last = arrays[0], arrays[1].reshape(-1, 3), arrays[2].reshape(3, 3), *arrays[3:]
+    return field
 
 
 def _merged(base: list[tuple[str, int, int, int]], added: list[tuple[int, int]]) -> list[tuple[str, int, int]]:

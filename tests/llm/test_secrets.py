@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from mediatrends.llm import secrets
-from mediatrends.llm.secrets import BEGIN, INSIDE, OUTSIDE, Field, Tagger, base_spans, secret_digests, secret_spans, token_places, token_tags
+from mediatrends.llm.secrets import BEGIN, INSIDE, OUTSIDE, Field, Tagger, base_spans, secret_digests, secret_spans, token_places, token_tags, word_ids
 from tests.conftest import SF
 
 SCHEMA = "doc_id long, text string"
@@ -68,17 +68,17 @@ def test_learning_raises_the_likelihood_of_the_tags():
     draw = np.random.default_rng(3)
     tags = draw.choice([BEGIN, INSIDE, OUTSIDE, OUTSIDE, OUTSIDE], size=(40, secrets.WINDOW)).astype(np.int8)
     tags[:20, 20:] = -1
-    ids = np.where(tags[..., None] >= 0, tags[..., None] * 7 + 1, 0) + np.zeros((1, 1, 4), np.int32)
-    field = Field().fit(ids.astype(np.int32), tags)
+    ids = np.where(tags[..., None] >= 0, tags[..., None] * 7 + 1, 0) + np.zeros((1, 1, 4), np.uint32)
+    field = Field().fit(ids.astype(np.uint32), tags)
     for window, truth in zip(ids, tags):
         n = int((truth >= 0).sum())
-        assert (field.decode(field.weights[window[:n]].sum(axis=1)) == truth[:n]).all()
+        assert (field.decode(field.weights[field.rows(window[:n])].sum(axis=1)) == truth[:n]).all()
 
 
 def test_tokens_and_tags():
     text = 'x = 1; token = "ab-cd+efgh==" é.'
-    assert [text[a:b] for a, b in token_places(text)] == ["x", "=", "1", ";", "token", "=", '"', "ab-cd+efgh", '=="', "é."]
-    assert token_tags(token_places(text), base_spans(text)).tolist() == [2, 2, 2, 2, 2, 2, 2, 0, 1, 2]
+    assert [text[a:b] for a, b in token_places(text)] == ["x", "=", "1", ";", "token", "=", '"', "ab-cd+efgh", '=="', "é", "."]
+    assert token_tags(token_places(text), base_spans(text)).tolist() == [2, 2, 2, 2, 2, 2, 2, 0, 1, 2, 2]
 
 
 def test_pieces_make_no_difference(monkeypatch):
@@ -87,7 +87,8 @@ def test_pieces_make_no_difference(monkeypatch):
     monkeypatch.setattr(secrets, "PIECE", 50)
     assert (token_places(text) == whole).all()
     field = Field()
-    field.weights = np.random.default_rng(1).normal(size=field.weights.shape)
+    field.ids = np.unique([0, *(i for a, b in whole.tolist() for role in word_ids(text[a:b]) for i in role)]).astype(np.uint32)
+    field.weights = np.random.default_rng(1).normal(size=(len(field.ids), 3))
     cut = Tagger(field).spans(text)
     monkeypatch.setattr(secrets, "PIECE", 1 << 20)
     assert cut == Tagger(field).spans(text) and cut
@@ -161,3 +162,21 @@ def test_very_long_texts(spark, size):
     rows.append((1001, "x" * (2 * size)))
     got = {r.doc_id: r for r in secret_digests(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert (got[1000].n_assign, got[1000].n_hex, got[1001].n_added) == (1, 1, 0)
+
+
+def test_unknown_words_share_their_scores():
+    text = "plain words and Capital ones, UPPER too, token = x1y2 aTokenWith3Things token"
+    field, draw = Field(), np.random.default_rng(4)
+    tokens = [text[a:b] for a, b in token_places(text).tolist()]
+    known = [i for t in ("token", "=", "ones") for role in word_ids(t) for i in role] + [i for t in tokens for i in word_ids(t)[0]]
+    field.ids = np.unique([0, *known]).astype(np.uint32)
+    field.weights = np.vstack([np.zeros(3), draw.normal(size=(len(field.ids) - 1, 3))])
+    tagger = Tagger(field)
+    scores = tagger.scores(text)
+    for at in range(len(tokens)):
+        want = field.weights[field.rows(np.array(secrets.file_ids(text), np.uint32))].sum(axis=0)
+        for role, shift in enumerate((0, 1, 2, 3, -1)):
+            if 0 <= at - shift < len(tokens):
+                want = want + field.weights[field.rows(np.array(word_ids(tokens[at - shift])[role], np.uint32))].sum(axis=0)
+        assert np.allclose(scores[at], want)
+    assert tagger.words.used < len(set(tokens))
