@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -27,6 +27,13 @@ MIN_BLOCK_ROWS = 1024
 # Below this many blocks the search for prunable block pairs costs more than it saves.
 PRUNE_FROM_BLOCKS = 16
 DISTANCE_STEP = 512
+PAIR_STEP = 1 << 14
+# The bound reads coordinates until the rest of the vectors has this part of what would make all pairs seem close.
+REST = 0.6
+# With more than one in so many pairs left, whole distances are cheaper than single ones.
+DENSE = 8
+# Covers the rounding of the sums that the bounds compare.
+SLACK = 1e-9
 
 LEFT, RIGHT, BOTH = 0, 1, 2
 
@@ -49,14 +56,72 @@ class Side:
         return values.astype(str) if values.dtype == object else values
 
 
-def distance_steps(a: Side, b: Side, metric: str) -> Iterator[tuple[slice, np.ndarray]]:
-    """Distances of successive rows of ``a`` to all of ``b``; a row is at 0 from itself."""
+class _Prefix:
+    """A bound on distances from the first few coordinates of the vectors of two blocks.
+
+    Coordinates come by falling energy. The product of the rest of two vectors is at most the product of its lengths
+    (Cauchy-Schwarz), so a pair whose first coordinates are too unlike is further apart than ``reach`` whatever the rest
+    holds, and the rest is only read for the other pairs.
+    """
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, metric: str, reach: float):
+        self.metric, self.reach = metric, reach
+        self.a, self.b = (unit_rows(a), unit_rows(b)) if metric == "cosine" else (a, b)
+        energy = (self.a**2).mean(0) + (self.b**2).mean(0)
+        order = np.argsort(-energy, kind="stable")
+        left = 1 - np.cumsum(energy[order]) / max(energy.sum(), 1e-300)
+        # what the rest of a pair of typical length may add to a product before all pairs seem close
+        room = 1 - reach if metric == "cosine" else 1 - reach**2 / max(energy.sum(), 1e-300)
+        self.width = int(np.searchsorted(-left, -REST * room)) + 1 if room > 0 else len(order)
+        first, rest = order[: self.width], order[self.width :]
+        self.first_a, self.first_b = self.a[:, first], self.b[:, first]
+        self.rest_a, self.rest_b = (np.sqrt((v[:, rest] ** 2).sum(1)) for v in (self.a, self.b))
+        self.whole = not len(rest)
+
+    def candidates(self, rows: slice) -> np.ndarray:
+        """The pairs of some rows of ``a`` with all of ``b`` that may be within reach."""
+        product = self.first_a[rows] @ self.first_b.T
+        if self.metric == "cosine":
+            product += self.rest_a[rows, None] * self.rest_b[None, :]
+            return product >= 1 - self.reach - SLACK
+        squares = (self.first_a[rows] ** 2).sum(1)[:, None] + (self.first_b**2).sum(1)[None, :] - 2 * product
+        squares += (self.rest_a[rows, None] - self.rest_b[None, :]) ** 2
+        return squares <= self.reach**2 + SLACK * (1 + squares)
+
+    def distances(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Distances of single pairs."""
+        out = np.empty(len(i))
+        for start in range(0, len(i), PAIR_STEP):
+            at = slice(start, start + PAIR_STEP)
+            x, y = self.a[i[at]], self.b[j[at]]
+            out[at] = np.clip(1.0 - (x * y).sum(1), 0.0, 2.0) if self.metric == "cosine" else np.sqrt(((x - y) ** 2).sum(1))
+        return out
+
+
+def close_steps(a: Side, b: Side, metric: str, reach: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of a row of ``a`` and one of ``b`` within ``reach``, with their distance; a row is at 0 from itself."""
+    if not len(a) or not len(b):
+        return
+    if a.vectors.shape[1] != b.vectors.shape[1]:
+        raise ValueError("vectors differ in width")
+    bound = _Prefix(a.vectors, b.vectors, metric, reach)
     for start in range(0, len(a), DISTANCE_STEP):
         rows = slice(start, min(start + DISTANCE_STEP, len(a)))
-        distances = pairwise(a.vectors[rows], b.vectors, metric)
+        found = None if bound.whole else bound.candidates(rows)
+        if found is None or found.sum() > found.size // DENSE:
+            distances = pairwise(a.vectors[rows], b.vectors, metric)
+            i, j = np.nonzero(distances <= reach)
+            d = distances[i, j]
+        else:
+            i, j = np.nonzero(found)
+            d = bound.distances(i + start, j)
+            near = d <= reach
+            i, j, d = i[near], j[near], d[near]
+        i = i + start
         if a is b:
-            distances[np.arange(rows.stop - start), np.arange(start, rows.stop)] = 0.0
-        yield rows, distances
+            apart, own = i != j, np.arange(rows.start, rows.stop)
+            i, j, d = np.r_[i[apart], own], np.r_[j[apart], own], np.r_[d[apart], np.zeros(len(own))]
+        yield i, j, d
 
 
 Kernel = Callable[[Side, Side], Iterable[dict]]
@@ -64,16 +129,15 @@ Kernel = Callable[[Side, Side], Iterable[dict]]
 
 @dataclass
 class BlockPairs:
-    """Points with a ``block`` number, and the block pairs that may hold close points."""
+    """Points with a ``block``: its number, or with ``n_tiles`` the list of tiles (pairs of blocks) that a point goes to."""
 
     points: DataFrame
     n_blocks: int
-    pairs: DataFrame | None = None
-    n_pairs: int = 0
+    n_tiles: int | None = None
 
     def _tiles(self, df: DataFrame) -> DataFrame:
-        if self.pairs is not None:
-            return df.join(self.pairs, "block")
+        if self.n_tiles is not None:
+            return df.withColumn("at", F.explode("block")).select("*", "at.*").drop("at")
         other = F.explode(F.sequence(F.lit(0), F.lit(self.n_blocks - 1)))
         low, high = F.least("block", "other"), F.greatest("block", "other")
         tile = low.cast("bigint") * F.lit(self.n_blocks) + high
@@ -82,7 +146,7 @@ class BlockPairs:
 
     def run(self, df: DataFrame, kernel: Kernel, schema: str) -> DataFrame:
         """Apply ``kernel`` to every admitted pair of blocks of ``df`` (a subset of the points)."""
-        n_tiles = self.n_pairs if self.pairs is not None else self.n_blocks * (self.n_blocks + 1) // 2
+        n_tiles = self.n_blocks * (self.n_blocks + 1) // 2 if self.n_tiles is None else self.n_tiles
         tasks = max(1, min(n_tiles, max(8 * df.sparkSession.sparkContext.defaultParallelism, n_tiles // 8)))
 
         arrow_schema = to_arrow_schema(StructType.fromDDL(schema))
@@ -90,10 +154,12 @@ class BlockPairs:
         def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table = pa.Table.from_batches(list(batches))
             side = table.column("side").to_numpy()
-            left = Side(table.filter(pa.array(side != RIGHT)))
-            right = left if (side == BOTH).any() else Side(table.filter(pa.array(side == RIGHT)))
-            if len(left) and len(right):
-                for columns in kernel(left, right):
+            left, right = Side(table.filter(pa.array(side != RIGHT))), Side(table.filter(pa.array(side == RIGHT)))
+            if not len(left):
+                return
+            pairs = [(left, left)] * bool((side == BOTH).any()) + [(left, right)] * bool(len(right))
+            for a, b in pairs:
+                for columns in kernel(a, b):
                     yield pa.RecordBatch.from_pydict(columns, arrow_schema)
 
         tiled = self._tiles(df).drop("block")
@@ -105,16 +171,43 @@ def _hash_blocks(points: DataFrame, n_blocks: int) -> DataFrame:
     return points.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(n_blocks)).cast("int"))
 
 
+def _tiles_of(parts: np.ndarray, halo_parts: np.ndarray):
+    """Arrow UDF for the tiles of a point from its cell, its halo cells and a number that spreads it over parts.
+
+    Of a cell with ``p`` parts and a halo of ``h`` parts, each part meets each halo part in a tile, and itself in the
+    first of them; each two parts meet in a tile of their own.
+    """
+    first_halo = np.maximum(halo_parts, 1)
+    sizes = parts * first_halo + parts * parts
+    base = np.cumsum(sizes) - sizes
+
+    @F.arrow_udf("array<struct<tile: bigint, side: int>>")
+    def tiles(cells: pa.Array, halos: pa.Array, spread: pa.Array) -> pa.Array:
+        out = []
+        for cell, halo, key in zip(cells.to_pylist(), halos.to_pylist(), spread.to_pylist()):
+            p, h, at = int(parts[cell]), int(first_halo[cell]), int(base[cell])
+            own = key % p
+            mine = [{"tile": at + own * h + i, "side": LEFT if i else BOTH} for i in range(h)]
+            mine += [{"tile": at + p * h + min(own, j) * p + max(own, j), "side": LEFT if own < j else RIGHT} for j in range(p) if j != own]
+            for c in halo:
+                step, place = int(first_halo[c]), key % int(halo_parts[c])
+                mine += [{"tile": int(base[c]) + i * step + place, "side": RIGHT} for i in range(int(parts[c]))]
+            out.append(mine)
+        return pa.array(out, pa.list_(pa.struct([("tile", pa.int64()), ("side", pa.int32())])))
+
+    n_tiles = int((parts * first_halo + parts * (parts - 1) // 2).sum())
+    return tiles, n_tiles
+
+
 def _local_blocks(points: DataFrame, n_pivots: int, reach: float, metric: str, block_rows: int) -> BlockPairs:
-    """Blocks of nearby points, without the block pairs that are further apart than ``reach``.
+    """Blocks of nearby points, each with the points around it that may be within ``reach`` of one of its own.
 
-    Points go to the nearest of ``n_pivots`` pivots and crowded cells are cut by hash into more
-    blocks. By the triangle inequality two cells hold no pair within reach if their pivots
-    are further apart than both radii plus the reach. On the cosine metric this is applied to
-    chords of unit vectors, where distance d is a chord of sqrt(2 d). Only pivots and
-    cells pass through the driver; pairs of blocks are made from pairs of cells in tasks.
+    Points go to the cell of the nearest of ``n_pivots`` pivots. By the triangle inequality a cell holds no point within
+    reach of one that is further from its pivot than its radius plus the reach; all other points of later cells are its
+    halo. So a point is sent to its own cell and to earlier cells around it, not to every block, and each pair meets once.
+    Crowded cells and halos are cut by hash. On the cosine metric all this is applied to chords of unit vectors, where
+    distance d is a chord of sqrt(2 d). Only pivots and numbers of cells pass through the driver.
     """
-    spark = points.sparkSession
     chosen = points.orderBy(F.xxhash64("row"), "row").limit(n_pivots).select("vector").toArrow()
     shape = unit_rows if metric == "cosine" else np.asarray
     pivots = shape(matrix(chosen.column("vector")))
@@ -127,35 +220,30 @@ def _local_blocks(points: DataFrame, n_pivots: int, reach: float, metric: str, b
         return pa.StructArray.from_arrays([pa.array(cell, pa.int32()), pa.array(gap)], ["cell", "gap"])
 
     located = materialize(points.withColumn("_at", locate("vector")).select("*", "_at.*").drop("_at"), "cells")
-    cells = located.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("gap").alias("radius")).orderBy("cell").collect()
-    parts = np.array([math.ceil(c["n"] / block_rows) for c in cells])
-    first = np.cumsum(parts) - parts
-    layout = spark.createDataFrame([(c["cell"], int(f), int(p)) for c, f, p in zip(cells, first, parts)], "cell int, _first int, _parts int")
-    block = F.col("_first") + F.pmod(F.xxhash64("row"), F.col("_parts")).cast("int")
-    # fewer cells than pivots, whose number is bounded
-    placed = located.join(F.broadcast(layout), "cell").withColumn("block", block).drop("cell", "gap", "_first", "_parts")
-    radius, centers = np.array([c["radius"] for c in cells]), pivots[[c["cell"] for c in cells]]
+    cells = located.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("gap").alias("radius")).collect()  # at most the pivots
+    size, radius = np.zeros(len(pivots), np.int64), np.full(len(pivots), -np.inf)
+    for c in cells:
+        size[c["cell"]], radius[c["cell"]] = c["n"], c["radius"]
     chord = math.sqrt(2 * reach) if metric == "cosine" else reach
-    # the slack covers rounding of the distances above
-    near = pairwise(centers, centers, "l2") - radius[:, None] - radius[None, :] <= chord + 1e-6
-    low, high = np.nonzero(np.triu(near))
-    same = low == high
-    n_pairs = int(np.where(same, parts[low] * (parts[low] + 1) // 2, parts[low] * parts[high]).sum())
-    ends = {"low_first": first[low], "low_parts": parts[low], "high_first": first[high], "high_parts": parts[high]}
-    near_cells = spark.createDataFrame(pa.table({k: v.astype(np.int32) for k, v in ends.items()}))
-
-    def blocks_of(end: str) -> Column:
-        return F.explode(F.sequence(F.col(f"{end}_first"), F.col(f"{end}_first") + F.col(f"{end}_parts") - 1))
-
-    tiles = near_cells.withColumn("low", blocks_of("low")).withColumn("high", blocks_of("high")).filter("low <= high")
-    tile = F.col("low").cast("bigint") * F.lit(int(parts.sum())) + F.col("high")
-    apart = F.col("low") != F.col("high")
-    ends_of = F.array(
-        F.struct(F.col("low").alias("block"), F.when(apart, LEFT).otherwise(BOTH).alias("side")),
-        F.when(apart, F.struct(F.col("high").alias("block"), F.lit(RIGHT).alias("side"))),
-    )
-    pairs = tiles.select(tile.alias("tile"), F.explode(F.array_compact(ends_of)).alias("end")).select("end.block", "tile", "end.side")
-    return BlockPairs(placed, int(parts.sum()), materialize(pairs, "block_pairs"), n_pairs)
+
+    @F.arrow_udf("array<int>")
+    def around(vectors: pa.Array, own: pa.Array) -> pa.Array:
+        distances = pairwise(shape(matrix(vectors)), pivots, "l2")
+        # the slack covers rounding of the distances
+        near = (distances <= radius[None, :] + chord + 1e-6) & (np.arange(len(pivots))[None, :] < own.to_numpy(zero_copy_only=False)[:, None])
+        row, cell = np.nonzero(near)
+        ends = np.cumsum(np.bincount(row, minlength=len(near)))
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(cell, pa.int32()))
+
+    placed = materialize(located.withColumn("halo", around("vector", "cell")).drop("gap"), "halos")
+    halo_size = np.zeros(len(pivots), np.int64)
+    for c in placed.select(F.explode("halo").alias("cell")).groupBy("cell").count().collect():  # at most the pivots
+        halo_size[c["cell"]] = c["count"]
+    parts, halo_parts = -(-size // block_rows), -(-halo_size // block_rows)
+    tiles, n_tiles = _tiles_of(parts, halo_parts)
+    spread = F.xxhash64("row").bitwiseAND((1 << 62) - 1)
+    blocks = placed.withColumn("block", tiles("cell", "halo", spread)).drop("cell", "halo")
+    return BlockPairs(materialize(blocks, "block_pairs"), int(parts.sum()), n_tiles)
 
 
 def block_pairs(
@@ -203,9 +291,8 @@ def eps_pairs(
 
     def close(a: Side, b: Side) -> Iterator[dict]:
         left, right = a["row"], b["row"]
-        for rows, distances in distance_steps(a, b, metric):
-            i, j = np.nonzero(distances <= eps)
-            src, dst, distance = left[rows][i], right[j], distances[i, j]
+        for i, j, distance in close_steps(a, b, metric, eps):
+            src, dst = left[i], right[j]
             wanted = src < dst if a is b else np.ones(len(src), bool)
             src, dst, distance = src[wanted], dst[wanted], distance[wanted]
             first = src < dst

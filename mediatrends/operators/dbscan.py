@@ -3,7 +3,8 @@
 No step lists all close pairs. Per pair of blocks the passes return (1) neighbour counts,
 (2) a spanning forest of the core points and (3) the least cluster next to each border
 point, so the data between passes grows with rows times blocks even if a third of the
-points are within reach of each other.
+points are within reach of each other. Points that fit in a single block take all three
+passes in one task.
 """
 
 from __future__ import annotations
@@ -11,12 +12,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from mediatrends.functions.vectors import check_metric
-from mediatrends.operators.blocks import BLOCK_ROWS, BlockPairs, Side, block_pairs, distance_steps
+from mediatrends.operators.blocks import BLOCK_ROWS, BlockPairs, Side, block_pairs, close_steps
 from mediatrends.operators.components import connected_components
 from mediatrends.session import materialize, scratch_scope, with_row_number, with_row_order
 
@@ -36,89 +38,83 @@ def _neighbour_counts(metric: str, eps_list: list[float]):
         weight_a, weight_b = a["weight"], b["weight"]
         count_a = np.zeros((len(eps_list), len(a)))
         count_b = np.zeros((len(eps_list), len(b)))
-        for rows, distances in distance_steps(a, b, metric):
-            for level, eps in enumerate(eps_list):
-                close = (distances <= eps).astype(np.float64)
-                count_a[level, rows] = close @ weight_b
-                if a is not b:
-                    count_b[level] += weight_a[rows] @ close
-        yield {"row": a["row"], **dict(zip(names, count_a))}
+        for i, j, distance in close_steps(a, b, metric, eps_list[-1]):
+            level = np.searchsorted(eps_list, distance, side="left")
+            # the neighbours that each radius adds to those of the radius before
+            count_a += np.bincount(level * len(a) + i, weight_b[j], len(eps_list) * len(a)).reshape(count_a.shape)
+            if a is not b:
+                count_b += np.bincount(level * len(b) + j, weight_a[i], len(eps_list) * len(b)).reshape(count_b.shape)
+        yield {"row": a["row"], **dict(zip(names, np.cumsum(count_a, axis=0)))}
         if a is not b:
-            yield {"row": b["row"], **dict(zip(names, count_b))}
+            yield {"row": b["row"], **dict(zip(names, np.cumsum(count_b, axis=0)))}
 
     return kernel, "row long, " + ", ".join(f"{name} double" for name in names)
 
 
-def _least_tree(levels: np.ndarray, square: bool, limit: int) -> list[tuple[int, int, int]]:
-    """Edges of a minimum spanning forest (Prim) over levels below ``limit``.
+def _join_roots(root: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
+    """Join the components of each pair: roots hook to the least root they meet, until none is left (Boruvka)."""
+    while True:
+        ru, rv = root[u], root[v]
+        apart = ru != rv
+        if not apart.any():
+            return
+        u, v, ru, rv = u[apart], v[apart], ru[apart], rv[apart]
+        np.minimum.at(root, np.maximum(ru, rv), np.minimum(ru, rv))
+        while True:
+            jumped = root[root]
+            if np.array_equal(jumped, root):
+                break
+            root[:] = jumped
 
-    ``levels`` holds row against column; in a square one rows and columns are the same
-    nodes, else columns are numbered after the rows.
-    """
-    rows, columns = levels.shape
-    nodes = rows if square else rows + columns
-    across = levels if square else np.ascontiguousarray(levels.T)
-    best = np.full(nodes, limit, np.int32)  # -1 once a node is in the forest, so that nothing improves it
-    pick = best.copy()  # above every level once a node is in the forest
-    parent = np.full(nodes, -1)
-    edges = []
-    for _ in range(nodes):
-        node = int(pick.argmin())
-        if pick[node] < limit:
-            edges.append((int(parent[node]), node, int(pick[node])))
-        best[node], pick[node] = -1, limit + 1
-        if square or node < rows:
-            reach, offset = levels[node], 0 if square else rows
-        else:
-            reach, offset = across[node - rows], 0
-        part = slice(offset, offset + len(reach))
-        closer = reach < best[part]
-        best[part][closer] = reach[closer]
-        pick[part][closer] = reach[closer]
-        parent[part][closer] = node
-    return edges
-
-
-def _stars(edges: list[tuple[int, int, int]], limit: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each level, the least node of the component of every node in the forest."""
-    root = list(range(max((max(u, v) for u, v, _ in edges), default=-1) + 1))
-    for level in range(limit):
-        for u, v, at in edges:
-            if at == level:
-                while root[u] != u:
-                    root[u] = u = root[root[u]]
-                while root[v] != v:
-                    root[v] = v = root[root[v]]
-                root[max(u, v)] = min(u, v)
-        flat = np.array(root, dtype=np.int64)
-        while (flat != flat[flat]).any():
-            flat = flat[flat]
-        root = flat.tolist()
-        yield level, flat
 
+class _Forests:
+    """The components of some nodes at each of ``limit`` levels, as the least node of each."""
+
+    def __init__(self, nodes: int, limit: int) -> None:
+        self.roots = np.tile(np.arange(nodes), (limit, 1))
+
+    def add(self, u: np.ndarray, v: np.ndarray, level: np.ndarray) -> None:
+        """Join pairs from their level on; pairs that are joined there already cost one look."""
+        new = self.roots[level, u] != self.roots[level, v]
+        u, v, level = u[new], v[new], level[new]
+        for at in range(int(level.min(initial=len(self.roots))), len(self.roots)):
+            upto = level <= at
+            _join_roots(self.roots[at], u[upto], v[upto])
 
-def _core_forest(metric: str, eps_list: list[float], settings: int):
-    """Components of the core points per density setting and radius, as star edges.
 
-    A pair joins at the first radius that covers its distance and makes both ends core. A
-    least spanning forest over these levels keeps what is connected at every radius.
+def _joined(a: Side, b: Side, metric: str, eps_list: list[float], place: np.ndarray, cores: list[tuple]) -> list[_Forests]:
+    """The components of the core points of two blocks, a forest for each density setting.
+
+    A pair joins at the first radius that covers its distance and makes both ends core; ``cores`` tells that level of
+    the rows of both blocks, and ``place`` numbers them.
     """
     limit = len(eps_list)
+    forests = [_Forests(len(place), limit) for _ in cores]
+    for i, j, distance in close_steps(a, b, metric, eps_list[-1]):
+        if a is b:
+            i, j, distance = i[i < j], j[i < j], distance[i < j]
+        base = np.searchsorted(eps_list, distance, side="left")
+        u, v = place[i], place[j if a is b else j + len(a)]
+        for (core_a, core_b), forest in zip(cores, forests):
+            level = np.maximum(base, np.maximum(core_a[i], core_b[j]))
+            both = level < limit
+            forest.add(u[both], v[both], level[both])
+    return forests
+
+
+def _core_forest(metric: str, eps_list: list[float], settings: int):
+    """Components of the core points per density setting and radius, as star edges."""
+    limit = len(eps_list)
 
     def kernel(a: Side, b: Side) -> Iterator[dict]:
-        base = np.empty((len(a), len(b)), np.int32)
-        for rows, distances in distance_steps(a, b, metric):
-            base[rows] = np.searchsorted(eps_list, distances, side="left")
         nodes = a["row"] if a is b else np.concatenate([a["row"], b["row"]])
         by_row = np.argsort(nodes)
         place = np.empty(len(nodes), np.int64)
         place[by_row] = np.arange(len(nodes))
         nodes = nodes[by_row]
-        for setting in range(settings):
-            core_a, core_b = a[f"core{setting}"].astype(np.int32), b[f"core{setting}"].astype(np.int32)
-            levels = np.maximum(np.maximum(base, core_a[:, None]), core_b[None, :])
-            edges = [(int(place[u]), int(place[v]), at) for u, v, at in _least_tree(levels, a is b, limit)]
-            for level, root in _stars(edges, limit):
+        cores = [(a[f"core{s}"], b[f"core{s}"]) for s in range(settings)]
+        for setting, forest in enumerate(_joined(a, b, metric, eps_list, place, cores)):
+            for level, root in enumerate(forest.roots):
                 linked = np.flatnonzero(root != np.arange(len(root)))
                 if len(linked):
                     config = np.full(len(linked), setting * limit + level, np.int32)
@@ -127,6 +123,40 @@ def _core_forest(metric: str, eps_list: list[float], settings: int):
     return kernel, "config int, src long, dst long"
 
 
+def _whole_block(metric: str, eps_list: list[float], min_samples_list: list[int]):
+    """The clusters of points that are a single block: counts, components and borders in one task."""
+    limit = len(eps_list)
+    count, _ = _neighbour_counts(metric, eps_list)
+
+    def kernel(a: Side, b: Side) -> Iterator[dict]:
+        (counted,) = count(a, a)
+        counts = np.array([counted[f"n{i}"] for i in range(limit)])
+        rows = a["row"]
+        place = np.argsort(np.argsort(rows))
+        ordered = np.sort(rows)
+        # the first radius at which a point is core
+        cores = [np.where((counts >= m).any(axis=0), (counts >= m).argmax(axis=0), limit) for m in min_samples_list]
+        forests = _joined(a, a, metric, eps_list, place, [(c, c) for c in cores])
+        configs, roots = [], []
+        for setting, (core, forest, m) in enumerate(zip(cores, forests, min_samples_list)):
+            for level, root in enumerate(forest.roots):
+                is_core, config = core <= level, setting * limit + level
+                own = ordered[root[place]]
+                if is_core.any():
+                    yield {"config": np.full(is_core.sum(), config, np.int32), "row": rows[is_core], "root": own[is_core], "is_core": np.ones(is_core.sum(), bool)}
+                if m > 2 and is_core.any() and not is_core.all():
+                    configs.append(config)
+                    roots.append(np.where(is_core, own, NO_CLUSTER))
+        if configs:
+            listed = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * len(configs), pa.int32()), pa.array(np.stack(roots, axis=1).ravel()))
+            border, _ = _border_roots(metric, eps_list, configs)
+            side = Side(a.table.append_column("roots", listed))
+            for found in border(side, side):
+                yield {**found, "is_core": np.zeros(len(found["row"]), bool)}
+
+    return kernel, "config int, row long, root long, is_core boolean"
+
+
 def _border_roots(metric: str, eps_list: list[float], configs: list[int]):
     """Least root of the core points within reach of each point that is not core."""
 
@@ -138,10 +168,10 @@ def _border_roots(metric: str, eps_list: list[float], configs: list[int]):
                 continue
             own, roots, row = own[border], roots[core], side["row"][border]
             least = np.full(own.shape, NO_CLUSTER)
-            for rows, distances in distance_steps(side.part(border), other.part(core), metric):
+            for i, j, distance in close_steps(side.part(border), other.part(core), metric, eps_list[-1]):
                 for place, config in enumerate(configs):
-                    close = distances <= eps_list[config % len(eps_list)]
-                    least[rows, place] = np.where(close, roots[None, :, place], NO_CLUSTER).min(axis=1)
+                    close = distance <= eps_list[config % len(eps_list)]
+                    np.minimum.at(least[:, place], i[close], roots[j[close], place])
             found, place = np.nonzero((own == NO_CLUSTER) & (least != NO_CLUSTER))
             if len(found):
                 yield {"config": np.array(configs, np.int32)[place], "row": row[found], "root": least[found, place]}
@@ -163,6 +193,9 @@ def density_clusters(
     """
     levels, settings = len(eps_list), len(min_samples_list)
     points = blocks.points
+    if blocks.n_blocks == 1:
+        kernel, schema = _whole_block(metric, eps_list, min_samples_list)
+        return blocks.run(points.select("block", "row", "vector", "weight"), kernel, schema)
     kernel, schema = _neighbour_counts(metric, eps_list)
     counts = blocks.run(points.select("block", "row", "vector", "weight"), kernel, schema)
     counts = counts.groupBy("row").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(levels)])
@@ -177,10 +210,7 @@ def density_clusters(
     kernel, schema = _core_forest(metric, eps_list, settings)
     core_points = points.select("block", "row", "vector").join(cores, "row")
     edges = blocks.run(core_points, kernel, schema)
-    if blocks.n_blocks > 1:
-        components = connected_components(edges, ["config"]).select("config", F.col("id").alias("row"), "component")
-    else:  # the stars of a single block are the components
-        components = edges.select("config", F.col("src").alias("row"), F.col("dst").alias("component"))
+    components = connected_components(edges, ["config"]).select("config", F.col("id").alias("row"), "component")
 
     core_of = [
         F.struct(F.lit(j * levels + level).alias("config"), (F.col(f"core{j}") <= level).alias("dense"))

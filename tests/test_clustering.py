@@ -72,10 +72,11 @@ def test_pruning_leaves_out_far_blocks(spark):
     rows = frame(spark, cloud).select(F.col("id").alias("row"), F.col("embedding").alias("vector"))
     blocks = block_pairs(rows, "l2", 0.5, block_rows=20, n_blocks=8, prune=True)
     assert blocks.n_blocks > 8
-    assert blocks.points.groupBy("block").count().agg(F.max("count")).first()[0] < 60
+    sides = blocks._tiles(blocks.points).groupBy("tile", F.col("side") == 1).count()
+    assert sides.agg(F.max("count")).first()[0] < 60
     tiles = blocks._tiles(blocks.points).groupBy("tile").agg(F.min("row").alias("low"), F.max("row").alias("high"))
     assert tiles.filter("low < 100 AND high >= 100").isEmpty()
-    assert 0 < blocks.n_pairs < blocks.n_blocks * (blocks.n_blocks + 1) / 2
+    assert 0 < blocks.n_tiles < blocks.n_blocks * (blocks.n_blocks + 1) / 2
 
 
 def test_eps_pairs_with_text_ids(spark):
@@ -185,10 +186,97 @@ def test_histogram_like_numpy(spark):
 
 
 @pytest.mark.parametrize("n", [254, 255, 300])
-def test_least_tree_with_many_radii(n):
-    from mediatrends.operators.dbscan import _least_tree, _stars
+def test_forests_with_many_radii(n):
+    from mediatrends.operators.dbscan import _Forests
+
+    forest = _Forests(3, n)
+    forest.add(np.array([0, 1]), np.array([1, 0]), np.array([n - 1, n - 1]))
+    assert [root.tolist() for root in forest.roots] == [[0, 1, 2]] * (n - 1) + [[0, 0, 2]]
+
+
+def test_forests_equal_components_at_every_level():
+    from mediatrends.operators.dbscan import _Forests
+
+    draw = np.random.default_rng(1)
+    for _ in range(20):
+        n, m, limit = 60, 150, 5
+        u, v, level = draw.integers(n, size=m), draw.integers(n, size=m), draw.integers(limit, size=m)
+        forest = _Forests(n, limit)
+        for part in np.array_split(np.arange(m), 4):
+            forest.add(u[part], v[part], level[part])
+        for at in range(limit):
+            root = list(range(n))
+            for a, b in zip(u[level <= at].tolist(), v[level <= at].tolist()):
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+            assert forest.roots[at].tolist() == root
+
+
+@pytest.mark.parametrize("metric, reach, least", [("cosine", 0.418182, 0.95), ("cosine", 0.05, 0.99), ("l2", 0.5, 0.99)])
+def test_first_coordinates_rule_out_most_distances(embeddings, metric, reach, least):
+    from mediatrends.operators import blocks
+
+    x = np.array([r["embedding"] for r in embeddings.collect()])
+    x = np.concatenate([x, x[:40] + rng.normal(scale=0.02, size=(40, x.shape[1]))])
+    bound = blocks._Prefix(x, x, metric, reach)
+    left = bound.candidates(slice(0, len(x)))
+    true = blocks.pairwise(x, x, metric) <= reach
+    assert 0 < bound.width < x.shape[1] and not (true & ~left).any() and true.sum() > len(x)
+    assert 1 - left.mean() >= least  # the share of distances that are never computed
+
+
+@pytest.mark.parametrize("metric, reach", [("cosine", 0.3), ("cosine", 1.2), ("l2", 0.4), ("l2", 3.0)])
+def test_close_steps_equal_all_distances(metric, reach):
+    import pyarrow as pa
+
+    from mediatrends.operators import blocks
+
+    def side(rows):
+        return blocks.Side(pa.table({"row": pa.array(np.arange(len(rows))), "vector": pa.array(rows.tolist(), pa.list_(pa.float64()))}))
+
+    a, b = side(POINTS[:150]), side(POINTS[150:])
+    for left, right in ((a, b), (b, a), (a, a)):
+        d = blocks.pairwise(left.vectors, right.vectors, metric)
+        if left is right:
+            np.fill_diagonal(d, 0.0)
+        got = [(i, j) for x, y, _ in blocks.close_steps(left, right, metric, reach) for i, j in zip(x.tolist(), y.tolist())]
+        assert sorted(got) == sorted(zip(*(v.tolist() for v in np.nonzero(d <= reach))))
+
+
+def test_points_go_to_neighbouring_cells_only(spark):
+    """A line of clouds: a point is copied to its own cell and to the cell before, however many cells there are."""
+    cloud = np.concatenate([np.array([10.0 * c, 0.0]) + rng.normal(scale=0.5, size=(30, 2)) for c in range(40)])
+    rows = frame(spark, cloud).select(F.col("id").alias("row"), F.col("embedding").alias("vector"))
+    blocks = block_pairs(rows, "l2", 1.0, block_rows=200, n_blocks=160, prune=True)
+    copies = blocks._tiles(blocks.points).groupBy("row").count().collect()
+    assert len(copies) == len(cloud)
+    # cells of one cloud are neighbours of each other; those of other clouds are none
+    pivots = blocks.n_blocks / 40
+    assert max(r["count"] for r in copies) <= 4 * pivots and sum(r["count"] for r in copies) <= 2.5 * pivots * len(cloud)
+    met = blocks._tiles(blocks.points).select("tile", F.floor(F.col("row") / 30).alias("cloud")).distinct().groupBy("tile").count()
+    assert met.agg(F.max("count")).first()[0] == 1
+
+
+@pytest.mark.parametrize("block_rows, copies", [(4096, 16), (40, 2)])
+def test_silhouette_sends_resident_blocks_once(spark, monkeypatch, block_rows, copies):
+    label, _ = brute.dbscan(POINTS, 0.35, 4, "l2")
+    n, sent = int((label >= 0).sum()), {}
+    plain = validity._exchange
+
+    def counted(resident, streamed, *more):
+        for name, df in (("resident", resident), ("streamed", streamed)):
+            sent[name] = df.agg(F.count(F.lit(1)), F.sum(F.size("vector") * 8), F.countDistinct("right_block"), F.countDistinct("left_block")).first()
+        return plain(resident, streamed, *more)
+
+    monkeypatch.setattr(validity, "_exchange", counted)
+    got = validity.silhouette(labelled(spark, POINTS, label), block_rows=block_rows).first()[0]
+    assert got == pytest.approx(brute.silhouette(POINTS, label), abs=1e-7)
+    blocks = sent["streamed"][2]
+    # resident blocks go to as many tasks as it takes to keep the cores busy, streamed rows pass each block once
+    assert sent["streamed"][:2] == (n * blocks, n * blocks * 48)
+    assert sent["resident"][3] <= max(1, min(copies, -(-n // validity.STEP))) and sent["resident"][:2] == (n * sent["resident"][3], n * sent["resident"][3] * 48)
+
 
-    levels = np.array([[0, n - 1, n], [n - 1, 0, n], [n, n, 0]], dtype=np.int32)
-    edges = _least_tree(levels, True, n)
-    assert [(min(u, v), max(u, v), at) for u, v, at in edges] == [(0, 1, n - 1)]
-    assert [root.tolist() for level, root in _stars(edges, n) if level == n - 1] == [[0, 0]]
+def test_blocks_are_sized_by_bytes(spark):
+    wide = spark.createDataFrame([(1, [0.0] * 1536)], "id long, vector array<double>")
+    assert validity._rows_of(wide) == (8 << 20) // (8 * 1536) and validity._rows_of(frame(spark, POINTS).withColumnRenamed("embedding", "vector")) == 4096
