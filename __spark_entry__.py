@@ -63,8 +63,8 @@ def popularity_tables(spark: SparkSession, sf: str, skewed: bool = False) -> dic
     }
 
 
-def search_history(spark: SparkSession, sf: str) -> DataFrame:
-    events, part = table(spark, sf, "events"), table(spark, sf, "part")
+def searches_of(events: DataFrame, part: DataFrame, n_parts: Column | int, created_at: Column) -> DataFrame:
+    """Searches for part names: blank, in capitals, with marks and odd spaces in turns."""
     name, turn = F.col("p_name"), F.col("event_id") % 8
     query = (
         F.when(turn == 0, F.lit(None).cast("string"))
@@ -75,11 +75,16 @@ def search_history(spark: SparkSession, sf: str) -> DataFrame:
         .when(turn == 5, F.replace(name, F.lit(" "), F.lit("\xa0")))
         .otherwise(name)
     )
-    return events.withColumn("p_partkey", (F.col("event_id") * 7) % row_count(part)).join(part, "p_partkey").select(
-        F.col("event_id").alias("id"), F.col("user_id").alias("chat_id"), query.alias("query"), F.col("ts").alias("created_at")
+    return events.withColumn("p_partkey", (F.col("event_id") * 7) % n_parts).join(part, "p_partkey").select(
+        F.col("event_id").alias("id"), F.col("user_id").alias("chat_id"), query.alias("query"), created_at.alias("created_at")
     )
 
 
+def search_history(spark: SparkSession, sf: str) -> DataFrame:
+    part = table(spark, sf, "part")
+    return searches_of(table(spark, sf, "events"), part, row_count(part), F.col("ts"))
+
+
 def normalized_history(spark: SparkSession, sf: str) -> DataFrame:
     return history.normalized(history.read_history(search_history(spark, sf)))
 
@@ -228,7 +233,7 @@ def q_knn_join(metric: str, rank_by: str | None = None, **options):
 
 def q_search_grouped(spark: SparkSession, sf: str) -> DataFrame:
     source = segments(spark, sf)
-    hits = search.knn_join(knn_queries(spark, sf), source, 10)
+    hits = search.knn_join(knn_queries(spark, sf), source)
     groups = search.group_segments(search.attach_segments(hits, source), ["query_id"])
     listed = F.transform("segments", lambda s: F.concat_ws(":", s["segment_text"], s["segment_start_time"].cast("bigint")))
     return groups.select(
@@ -433,7 +438,8 @@ def q_video_numbers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_segment_embedding_join(spark: SparkSession, sf: str) -> DataFrame:
-    joined = normalized_history(spark, sf).join(vectors.unnest_vector(query_vectors(spark, sf), "embedding"), "query")
+    nested = query_vectors(spark, sf).withColumn("embedding", F.array("embedding"))
+    joined = normalized_history(spark, sf).join(vectors.unnest_vector(nested, "embedding"), "query")
     return joined.filter(vectors.has_embedding("embedding")).select(
         "id", "query", F.size("embedding").cast("bigint").alias("width"), F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first_value")
     )
@@ -521,14 +527,157 @@ def q_transcript_tables(spark: SparkSession, sf: str) -> DataFrame:
     folder = new_folder(spark, "ingest")
     spoken = transcripts(spark, sf)
     media = spoken.select(F.concat(F.lit("/media/"), "video_id", F.lit(".mp4")).alias("path"), F.lit(1).alias("size"))
-    jobs.build_transcript_tables(media, spoken, providers.trigram_embedder(), "tenant", out_path=folder)
-    videos = readers.read_videos(spark, f"{folder}/video", 64)
-    parts = readers.read_segments(spark, f"{folder}/segment", 64)
+    jobs.build_transcript_tables(media, spoken, letter_counts, "tenant", metadata={"k": 1}, out_path=folder)
+    videos = readers.read_videos(spark, f"{folder}/video", len(LETTERS))
+    parts = readers.read_segments(spark, f"{folder}/segment", len(LETTERS))
     writers.append_videos(videos, f"{folder}/tables/videos")
     writers.append_segments(parts, f"{folder}/tables/segments", dedupe=True)
     stored = readers.read_table(spark, "video_segments", f"{folder}/tables/segments")
-    titled = readers.read_table(spark, "videos", f"{folder}/tables/videos").select(F.col("id").alias("video_id"), "title")
-    return stored.join(titled, "video_id").select("video_id", "segment_index", "segment_start_time", "segment_text")
+    letters = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x).cast("bigint")
+    titled = readers.read_table(spark, "videos", f"{folder}/tables/videos").select(
+        F.col("id").alias("video_id"), "title", "video_metadata", letters("text_embedding").alias("text_letters"), F.sha2("video_text", 256).alias("text_sha256")
+    )
+    columns = ["video_id", "segment_index", "segment_start_time", "segment_text", letters("segment_embedding").alias("letters")]
+    return stored.join(titled, "video_id").select(*columns, "title", "video_metadata", "text_letters", "text_sha256")
+
+
+def move_files(spark: SparkSession, source: str, target: str, name: Callable[[str, int], str]) -> None:
+    """Move the data files below a folder that Spark wrote; ``name`` gives the new name from the folder and a number."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    store = hadoop.Path(source).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    listed, number = store.listFiles(hadoop.Path(source), True), 0
+    while listed.hasNext():
+        path = listed.next().getPath()
+        if path.getName().startswith("part-"):
+            moved = hadoop.Path(f"{target}/{name(path.getParent().toString(), number)}")
+            store.mkdirs(moved.getParent())
+            store.rename(path, moved)
+            number += 1
+
+
+def dropped_files(spark: SparkSession, sf: str) -> str:
+    """A folder of video and segment files in several layouts, made from documents and embeddings."""
+    folder = new_folder(spark, "dropped")
+    found = table(spark, sf, "embeddings").select(
+        F.lit("t").alias("tenant_id"), F.col("label").cast("string").alias("video_id"), F.col("vec_id").alias("segment_index"),
+        (F.col("vec_id") * 5).cast("double").alias("segment_start_time"), F.concat(F.lit("segment "), "vec_id").alias("segment_text"),
+        F.col("embedding").alias("segment_embedding"),
+    )
+    part = lambda i: found.filter(F.col("segment_index") % 3 == i)
+    as_text = part(1).withColumn("segment_start_time", F.col("segment_start_time").cast("string")).withColumn("segment_embedding", F.col("segment_embedding").cast("array<double>"))
+    documents = table(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("video_id"), F.lit("t").alias("tenant_id"), F.col("source").alias("title"), F.col("text").alias("video_text"), "lang", "source", "n_chars", "doc_id"
+    )
+    structured = documents.filter("doc_id % 2 = 0").withColumn("video_metadata", F.struct("lang", "source"))
+    plain = documents.filter("doc_id % 2 = 1").withColumn("video_metadata", F.concat(F.lit("n_chars "), F.col("n_chars")))
+    layouts = {
+        "segment_nested": part(0).withColumn("segment_embedding", F.array("segment_embedding")), "segment_text": as_text, "segment_again": as_text,
+        "segment_bare": part(2).drop("tenant_id"), "video_structured": structured, "other": plain,
+    }
+    for name, df in layouts.items():
+        written = f"{folder}/written/{name}"
+        df.drop("lang", "source", "n_chars", "doc_id").write.parquet(written)
+        move_files(spark, written, f"{folder}/files", lambda _, i, name=name: f"{name}_{i}.parquet")
+    return folder
+
+
+def ingested(spark: SparkSession, videos: str, segments_path: str) -> DataFrame:
+    """Rows of both tables in one layout."""
+    none = lambda kind: F.lit(None).cast(kind)
+    films = readers.read_table(spark, "videos", videos).select(
+        F.lit("video").alias("kind"), F.col("id").alias("video_id"), none("bigint").alias("segment_index"), none("double").alias("start_time"),
+        none("double").alias("first_value"), "title", F.col("video_metadata").alias("metadata"), F.length("video_text").cast("bigint").alias("n_chars"),
+    )
+    first = F.round(F.get("segment_embedding", F.lit(0)).cast("double"), 6)
+    parts = readers.read_table(spark, "video_segments", segments_path).select(
+        F.lit("segment").alias("kind"), "video_id", "segment_index", F.col("segment_start_time").alias("start_time"), first.alias("first_value"),
+        none("string").alias("title"), none("string").alias("metadata"), none("bigint").alias("n_chars"),
+    )
+    return films.unionByName(parts)
+
+
+def q_ingest_parquet(spark: SparkSession, sf: str) -> DataFrame:
+    folder = dropped_files(spark, sf)
+    jobs.ingest_parquet(spark, f"{folder}/files", f"{folder}/videos", f"{folder}/segments", dim=64, dedupe=True)
+    return ingested(spark, f"{folder}/videos", f"{folder}/segments")
+
+
+def q_stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    folder = dropped_files(spark, sf)
+    paths = [f"{folder}/{n}" for n in ("videos", "segments", "quarantine", "checkpoint")]
+    streams.stream_mixed_ingest(streams.file_stream(spark, f"{folder}/files"), *paths, dim=64, dedupe=True).awaitTermination()
+    return ingested(spark, *paths[:2])
+
+
+def q_transcript_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """Media files listed from a folder: which get a title, and why the others are rejected."""
+    folder = new_folder(spark, "media")
+    documents = table(spark, sf, "documents").filter("lang IS NOT NULL AND source IS NOT NULL")
+    number = F.regexp_extract("source", "([0-9]+)$", 1).cast("int")
+    suffix = F.element_at(F.array(*[F.lit(s) for s in ("mp4", "mkv", "mp3", "txt")]), number % 4 + 1)
+    groups = documents.select("lang", "source", suffix.alias("suffix"), number.alias("number")).distinct()
+    name = F.concat_ws("-", "lang", "source")
+    groups.select(F.col("lang").alias("value"), "lang", name.alias("name"), "suffix").repartition("name").write.partitionBy("lang", "name", "suffix").text(f"{folder}/written")
+
+    def named(parent: str, _: int) -> str:
+        lang, stem, kind = (p.split("=", 1)[1] for p in parent.split("/")[-3:])
+        return f"{lang}/{stem}.{kind}"
+
+    move_files(spark, f"{folder}/written", f"{folder}/media", named)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    store = hadoop.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for row in documents.select("lang").distinct().collect():  # a few languages
+        store.create(hadoop.Path(f"{folder}/media/{row['lang']}/{row['lang']}-none.mov")).close()
+    spoken = groups.filter("number % 3 <> 0").select(name.alias("video_id"), F.array(F.struct(F.lit(0.0).alias("start"), F.lit(1.0).alias("end"), F.col("lang").alias("text"))).alias("segments"))
+    built = jobs.build_transcript_tables(readers.list_media(spark, f"{folder}/media"), spoken, letter_counts, "tenant")
+    told = F.replace("error", "path", "video_id")
+    rejected = built.rejected.select("video_id", F.lit(None).cast("string").alias("title"), told.alias("error"))
+    return built.videos.select(F.col("id").alias("video_id"), "title", F.lit(None).cast("string").alias("error")).unionByName(rejected)
+
+
+def q_transcripts_read_back(spark: SparkSession, sf: str) -> DataFrame:
+    folder = new_folder(spark, "transcripts")
+    transcripts(spark, sf).write.json(folder)
+    return jobs.transcript_segments(readers.read_transcripts(spark, folder))
+
+
+def q_search_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Searches that found something, as the history keeps them: how often each was made and how many videos it found."""
+    parts = jobs.transcript_segments(transcripts(spark, sf)).withColumn("id", F.concat_ws("-", "video_id", "segment_index"))
+    stored = providers.embed_distinct(parts, "segment_text", letter_counts, "segment_embedding", how="inner")
+    searches = search_history(spark, sf).select("query", F.col("chat_id").cast("string").alias("chat_id"), F.lit(None).cast("string").alias("temporary_id"))
+    path = f"{new_folder(spark, 'log')}/history"
+    jobs.search_job(searches, stored, letter_counts, k=20, metric="l2", history_path=path)
+    log = readers.read_table(spark, "search_history", path)
+    videos = F.sum(F.size("response")).cast("bigint").alias("n_videos")
+    return log.groupBy("query", "chat_id").agg(F.countDistinct("id").alias("rows"), videos)
+
+
+def q_tuning_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole report on given labels, as rows of ``part``, two keys and a value."""
+    points = table(spark, sf, "embeddings").select(F.col("vec_id").alias("row_id"), "embedding")
+    members = table(spark, sf, "embeddings").filter("vec_id % 50 <> 0").select(F.col("label").alias("cluster_id"), F.col("vec_id").alias("row_id"))
+    report = jobs.tuning_report(points, members, GRID_EPS, GRID_MIN_SAMPLES)
+    none = F.lit(None).cast("string")
+
+    def rows(part: str, df: DataFrame, a: Column, b: Column, value: Column) -> DataFrame:
+        return df.select(F.lit(part).alias("part"), a.cast("string").alias("a"), b.cast("string").alias("b"), F.round(value.cast("double"), 6).alias("value"))
+
+    parts = [rows(n, report[n], none, none, F.col(n)) for n in ("silhouette", "davies_bouldin", "calinski_harabasz")]
+    told = ["total_points", "num_clusters", "noise_points", "max_cluster_size"]
+    diagnostics = report["diagnostics"].select(*[F.col(c).cast("double") for c in told]).unpivot([], told, "a", "value")
+    parts.append(rows("diagnostics", diagnostics, F.col("a"), none, F.col("value")))
+    parts.append(rows("largest_clusters", report["largest_clusters"], F.col("label"), none, F.col("size")))
+    parts += [rows(f"best_{n}", report[f"best_{n}"], F.col("min_samples"), F.col("eps"), F.col(n)) for n in ("silhouette", "davies_bouldin")]
+    for name in ("silhouette", "davies_bouldin", "num_clusters", "noise_pct"):
+        pivot = report[f"pivot_{name}"].select("min_samples", *[F.col(f"`{e}`").cast("double").alias(f"e{i}") for i, e in enumerate(GRID_EPS)])
+        long_ = pivot.unpivot("min_samples", [f"e{i}" for i in range(len(GRID_EPS))], "place", "value")
+        eps = F.element_at(F.array(*[F.lit(str(e)) for e in GRID_EPS]), F.substr("place", F.lit(2)).cast("int") + 1)
+        parts.append(rows(f"pivot_{name}", long_, F.col("min_samples"), eps, F.col("value")))
+    result = parts[0]
+    for more in parts[1:]:
+        result = result.unionByName(more)
+    return result
 
 
 def q_published_stats(spark: SparkSession, sf: str) -> DataFrame:
@@ -557,11 +706,7 @@ def history_stream(spark: SparkSession, sf: str) -> DataFrame:
     schema = table(spark, sf, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     part = table(spark, sf, "part")
-    n_parts = part.count()
-    return events.withColumn("p_partkey", (F.col("event_id") * 7) % n_parts).join(part, "p_partkey").select(
-        F.col("event_id").alias("id"), F.col("user_id").alias("chat_id"), F.col("p_name").alias("query"),
-        scoring.timestamp(F.col("ts")).alias("created_at"),
-    )
+    return searches_of(events, part, part.count(), scoring.timestamp(F.col("ts")))
 
 
 def q_stream_query_volume(spark: SparkSession, sf: str) -> DataFrame:
@@ -669,6 +814,12 @@ def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "trend_job": q_trend_job,
         "full_history_clusters": q_full_history,
         "transcript_tables": q_transcript_tables,
+        "transcript_rejects": q_transcript_rejects,
+        "transcripts_read_back": q_transcripts_read_back,
+        "ingest_parquet": q_ingest_parquet,
+        "stream_ingest": q_stream_ingest,
+        "search_log": q_search_log,
+        "tuning_report": q_tuning_report,
         "published_stats": q_published_stats,
         "stream_stats": q_stream_stats,
         "stream_query_volume": q_stream_query_volume,
@@ -742,13 +893,8 @@ HISTORY_SQL = f"""
     ),
     moment AS (SELECT max(ts) + INTERVAL 1 MINUTE AS as_of FROM events)"""
 
-# the stream reads names as they are, as of its newest row
-PLAIN_HISTORY_SQL = f"""
-    searches AS (
-        SELECT event_id AS id, user_id AS chat_id, ts AS created_at, p_name AS original_query, {normal('p_name')} AS query
-        FROM events JOIN part ON p_partkey = (event_id * 7) % (SELECT count(*) FROM part)
-    ),
-    moment AS (SELECT max(ts) AS as_of FROM events)"""
+# the stream's trends are as of its newest row
+STREAM_HISTORY_SQL = HISTORY_SQL.replace("max(ts) + INTERVAL 1 MINUTE", "max(ts)")
 
 RECENCY = "exp(-(epoch_us(as_of) - epoch_us(created_at)) / 60e6 / 5)"
 
@@ -1017,8 +1163,6 @@ MEDIA_SQL = """
 def volume_sql(slide_minutes: int, source: str = "searches", until: str = "") -> str:
     """Windows of one hour that start every ``slide_minutes``."""
     return f"""WITH {HISTORY_SQL},
-    plain AS (SELECT event_id AS id, ts AS created_at, {normal('p_name')} AS query
-        FROM events JOIN part ON p_partkey = (event_id * 7) % (SELECT count(*) FROM part)),
     placed AS (
         SELECT query, created_at,
             time_bucket(INTERVAL {slide_minutes} MINUTE, created_at) - shift * INTERVAL {slide_minutes} MINUTE AS start
@@ -1039,6 +1183,8 @@ SAME_ROWS = {
     "dbscan_pruned_border": "dbscan_border",
     "silhouette_blocked": "silhouette",
     "davies_bouldin_blocked": "davies_bouldin",
+    "stream_ingest": "ingest_parquet",
+    "transcripts_read_back": "transcript_segments",
 }
 
 
@@ -1075,7 +1221,7 @@ def own_oracle_sql() -> dict[str, str]:
         "knn_join_l2": knn_join_sql("l2"),
         "knn_join_blocked": knn_join_sql("cosine"),
         "ivf_search_all_cells": knn_join_sql("cosine"),
-        "search_grouped": f"""WITH {knn_sql('cosine', 'cosine', 10)}
+        "search_grouped": f"""WITH {knn_sql('cosine', 'cosine', 250)}
             SELECT query_id, CAST(label AS BIGINT) AS video_id,
                 string_agg('segment ' || segment_id || ':' || segment_id * 5, ',' ORDER BY rank) AS segments, min(rank) AS best_rank
             FROM hits JOIN embeddings ON vec_id = segment_id GROUP BY query_id, label""",
@@ -1134,19 +1280,76 @@ def own_oracle_sql() -> dict[str, str]:
             CAST(turn AS DOUBLE) * 5 + 5 AS segment_end_time, {STRIPPED} AS segment_text FROM conversations""",
         "transcript_full_text": TEXT_SQL,
         "transcript_text_of_rows": TEXT_SQL,
-        "transcript_tables": f"""SELECT CAST(conv_id AS VARCHAR) AS video_id,
-            row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS segment_index, CAST(turn AS DOUBLE) * 5 AS segment_start_time,
-            {STRIPPED} AS segment_text FROM conversations""",
+        "transcript_tables": f"""WITH texts AS ({TEXT_SQL}),
+            spoken AS (
+                SELECT CAST(conv_id AS VARCHAR) AS video_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS segment_index,
+                    CAST(turn AS DOUBLE) * 5 AS segment_start_time, {STRIPPED} AS segment_text FROM conversations),
+            titled AS (SELECT *, 'video_' || row_number() OVER (ORDER BY '/media/' || video_id || '.mp4') AS title FROM texts)
+            SELECT video_id, segment_index, segment_start_time, segment_text, list_sum({letters_sql('segment_text')})::BIGINT AS letters, title,
+                '{{"k":1}}' AS video_metadata, CASE WHEN video_text <> '' THEN list_sum({letters_sql('video_text')})::BIGINT END AS text_letters,
+                sha256(video_text) AS text_sha256
+            FROM spoken JOIN titled USING (video_id) WHERE segment_text <> ''""",
+        "transcript_rejects": """WITH groups AS (
+                SELECT DISTINCT lang, lang || '-' || source AS video_id, regexp_extract(source, '([0-9]+)$', 1)::INTEGER AS number
+                FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL),
+            media AS (
+                SELECT lang, video_id, ['mp4', 'mkv', 'mp3', 'txt'][number % 4 + 1] AS suffix, number % 3 <> 0 AS spoken, 1 AS size FROM groups
+                UNION ALL SELECT DISTINCT lang, lang || '-none', 'mov', false, 0 FROM groups),
+            films AS (SELECT *, 'video_' || row_number() OVER (ORDER BY lang || '/' || video_id || '.' || suffix) AS title FROM media WHERE size > 0 AND suffix IN ('mp4', 'mkv'))
+            SELECT video_id, CASE WHEN spoken THEN title END AS title, CASE WHEN NOT spoken THEN 'Input file missing or empty: ' || video_id END AS error FROM films
+            UNION ALL SELECT video_id, NULL, CASE WHEN size = 0 THEN 'Input file missing or empty: ' || video_id
+                ELSE 'Unsuitable file type [' || CASE suffix WHEN 'mp3' THEN 'audio' ELSE 'None' END || ']' END
+            FROM media WHERE size = 0 OR suffix NOT IN ('mp4', 'mkv')""",
+        "ingest_parquet": """SELECT 'video' AS kind, doc_id::VARCHAR AS video_id, NULL::BIGINT AS segment_index, NULL::DOUBLE AS start_time,
+                NULL::DOUBLE AS first_value, source AS title,
+                CASE WHEN doc_id % 2 = 0 THEN '{"lang":"' || lang || '","source":"' || source || '"}' ELSE 'n_chars ' || n_chars END AS metadata,
+                length(text)::BIGINT AS n_chars FROM documents
+            UNION ALL SELECT 'segment', label::VARCHAR, vec_id, (vec_id * 5)::DOUBLE, round(embedding[1]::DOUBLE, 6), NULL, NULL, NULL FROM embeddings""",
+        "search_log": f"""WITH {HISTORY_SQL},
+            segments AS (
+                SELECT video_id, video_id || '-' || segment_index AS segment_id, {letters_sql('segment_text')} AS vector FROM (
+                    SELECT conv_id::VARCHAR AS video_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS segment_index, {STRIPPED} AS segment_text FROM conversations)
+                WHERE segment_text <> ''),
+            texts AS (SELECT DISTINCT original_query AS text FROM history WHERE original_query IS NOT NULL),
+            ranked AS (
+                SELECT text, video_id, row_number() OVER (PARTITION BY text ORDER BY distance, segment_id) AS rank FROM (
+                    SELECT text, segment_id, video_id, list_distance({letters_sql('text')}, vector) AS distance FROM texts, segments)),
+            found AS (SELECT text, count(DISTINCT video_id) AS n FROM ranked WHERE rank <= 20 GROUP BY text)
+            SELECT original_query AS query, chat_id::VARCHAR AS chat_id, count(*) AS rows, sum(n)::BIGINT AS n_videos
+            FROM history JOIN found ON text = original_query GROUP BY original_query, chat_id""",
+        "tuning_report": f"""WITH given AS (SELECT vec_id AS id, embedding::DOUBLE[] AS vector, CASE WHEN vec_id % 50 = 0 THEN -1 ELSE label END AS label FROM embeddings),
+            grids AS MATERIALIZED ({grid_sql()} SELECT * FROM grid),
+            judged AS MATERIALIZED (
+                WITH labelled AS (SELECT 0 AS one, id, vector, label FROM given WHERE label >= 0), {index_sql('labelled', 'one')}
+                SELECT silhouette, davies_bouldin, calinski_harabasz FROM silhouettes, bouldins, calinskis),
+            sizes AS (SELECT label, count(*) AS size FROM given WHERE label >= 0 GROUP BY label)
+            SELECT 'silhouette' AS part, NULL::VARCHAR AS a, NULL::VARCHAR AS b, round(silhouette, 6) AS value FROM judged
+            UNION ALL SELECT 'davies_bouldin', NULL, NULL, round(davies_bouldin, 6) FROM judged
+            UNION ALL SELECT 'calinski_harabasz', NULL, NULL, round(calinski_harabasz, 6) FROM judged
+            UNION ALL SELECT 'diagnostics', 'total_points', NULL, count(*)::DOUBLE FROM given
+            UNION ALL SELECT 'diagnostics', 'noise_points', NULL, count(*) FILTER (label < 0)::DOUBLE FROM given
+            UNION ALL SELECT 'diagnostics', 'num_clusters', NULL, count(*)::DOUBLE FROM sizes
+            UNION ALL SELECT 'diagnostics', 'max_cluster_size', NULL, max(size)::DOUBLE FROM sizes
+            UNION ALL SELECT 'largest_clusters', label::VARCHAR, NULL, size::DOUBLE FROM (SELECT * FROM sizes ORDER BY size DESC, label LIMIT 20)
+            UNION ALL SELECT 'best_silhouette', min_samples::VARCHAR, eps::VARCHAR, silhouette FROM
+                (SELECT * FROM grids WHERE silhouette IS NOT NULL ORDER BY silhouette DESC, eps, min_samples LIMIT 10)
+            UNION ALL SELECT 'best_davies_bouldin', min_samples::VARCHAR, eps::VARCHAR, davies_bouldin FROM
+                (SELECT * FROM grids WHERE davies_bouldin IS NOT NULL ORDER BY davies_bouldin, eps, min_samples LIMIT 10)
+            UNION ALL SELECT 'pivot_silhouette', min_samples::VARCHAR, eps::VARCHAR, silhouette FROM grids
+            UNION ALL SELECT 'pivot_davies_bouldin', min_samples::VARCHAR, eps::VARCHAR, davies_bouldin FROM grids
+            UNION ALL SELECT 'pivot_num_clusters', min_samples::VARCHAR, eps::VARCHAR, num_clusters::DOUBLE FROM grids
+            UNION ALL SELECT 'pivot_noise_pct', min_samples::VARCHAR, eps::VARCHAR, noise_pct FROM grids""",
         "media_types": f"WITH {MEDIA_SQL} SELECT * FROM checked",
         "video_numbers": f"""WITH {MEDIA_SQL} SELECT path, size, row_number() OVER (ORDER BY path, size) - 1 AS number
             FROM checked WHERE error IS NULL""",
-        "segment_embedding_join": f"""WITH {HISTORY_SQL}, {ACTIVITY_SQL}
+        "segment_embedding_join": f"""WITH {HISTORY_SQL.replace("searches AS (", "searches AS MATERIALIZED (")},
+            texts AS MATERIALIZED (SELECT query, row_number() OVER (ORDER BY query) - 1 AS vec_id FROM (SELECT DISTINCT query FROM searches))
             SELECT id, query, CAST(len(embedding) AS BIGINT) AS width, round(embedding[1]::DOUBLE, 6) AS first_value
-            FROM searches JOIN query_vectors USING (query)""",
+            FROM searches JOIN texts USING (query) JOIN embeddings USING (vec_id)""",
         "windowed_query_volume": volume_sql(60),
         "windowed_query_volume_sliding": volume_sql(30),
         "stream_query_volume": volume_sql(
-            60, "plain", "WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"
+            60, "searches", "WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"
         ),
         "display_phrase": """WITH chosen AS (
             SELECT doc_id, CASE WHEN doc_id % 3 = 1 AND lang <> '' THEN lang ELSE coalesce(text, '') END AS phrase FROM documents)
@@ -1174,7 +1377,7 @@ def own_oracle_sql() -> dict[str, str]:
         "embed_distinct": f"""WITH {HISTORY_SQL} SELECT query, count(*) AS rows,
             array_to_string([x::BIGINT for x in {letters_sql('query')}], ',') AS counts FROM searches GROUP BY query""",
         "trend_job": letter_trends_sql(HISTORY_SQL),
-        "stream_trends": letter_trends_sql(PLAIN_HISTORY_SQL),
+        "stream_trends": letter_trends_sql(STREAM_HISTORY_SQL),
         "full_history_clusters": f"""WITH RECURSIVE {letter_clusters_sql(HISTORY_SQL)}
             SELECT position - 1 AS row_id, label AS cluster_id, query, list_sum({letters_sql('query')})::BIGINT AS letters
             FROM numbered JOIN labels ON labels.id = query WHERE label >= 0""",
