@@ -191,19 +191,23 @@ def leaks(doc, item, units, window=8, literals=5, phrase=4):
     if not width or len(d) < width or (width < phrase and len(d) > width):
         return False
     slots = lambda words: tuple(low for kind, low, _ in words if kind.startswith("<"))
+    # by what the words of a window are in a template, and by the words in lower case: where the document has it
+    templates, exact = defaultdict(list), defaultdict(list)
+    for q in range(len(d) - width + 1):
+        own = d[q : q + width]
+        if width == window or (own[0][2] and (q + width == len(d) or d[q + width][2])):
+            templates[tuple(k for k, _, _ in own)].append(q)
+            exact[tuple(w for _, w, _ in own)].append(q)
     met = defaultdict(set)  # by shift: place in the item, whether judged, pairs of slot values
     places = range(len(i) - width + 1)
     judged = {p for p in places if sum(not k.startswith("<") for k, _, _ in i[p : p + width]) >= min(literals, width)}
     for p in places:
         mine = i[p : p + width]
-        for q in range(len(d) - width + 1):
-            own = d[q : q + width]
-            whole = width == window or (own[0][2] and (q + width == len(d) or d[q + width][2]))
-            if not whole:
-                continue
-            if p in judged and [k for k, _, _ in mine] == [k for k, _, _ in own]:
-                met[q - p].add((p, True, tuple(zip(slots(mine), slots(own)))))
-            if slots(own) and [w for _, w, _ in mine] == [w for _, w, _ in own] and slots(mine):
+        if p in judged:
+            for q in templates.get(tuple(k for k, _, _ in mine), ()):
+                met[q - p].add((p, True, tuple(zip(slots(mine), slots(d[q : q + width])))))
+        for q in exact.get(tuple(w for _, w, _ in mine), ()):
+            if slots(mine) or slots(d[q : q + width]):
                 met[q - p].add((p, p in judged, ()))
     for found in met.values():
         pairs = {pair for _, _, own in found for pair in own}
