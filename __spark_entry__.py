@@ -582,16 +582,18 @@ def dropped_files(spark: SparkSession, sf: str) -> str:
 
 
 def ingested(spark: SparkSession, videos: str, segments_path: str) -> DataFrame:
-    """Rows of both tables in one layout."""
+    """Rows of both tables in one layout; a number that the other table has is -1."""
+    no_number = F.lit(-1).cast("bigint")
     none = lambda kind: F.lit(None).cast(kind)
     films = readers.read_table(spark, "videos", videos).select(
-        F.lit("video").alias("kind"), F.col("id").alias("video_id"), none("bigint").alias("segment_index"), none("double").alias("start_time"),
-        none("double").alias("first_value"), "title", F.col("video_metadata").alias("metadata"), F.length("video_text").cast("bigint").alias("n_chars"),
+        F.lit("video").alias("kind"), F.col("id").alias("video_id"), no_number.alias("segment_index"), none("double").alias("start_time"),
+        none("double").alias("first_value"), "title", F.col("video_metadata").alias("metadata"),
+        F.coalesce(F.length("video_text").cast("bigint"), no_number).alias("n_chars"),
     )
     first = F.round(F.get("segment_embedding", F.lit(0)).cast("double"), 6)
     parts = readers.read_table(spark, "video_segments", segments_path).select(
         F.lit("segment").alias("kind"), "video_id", "segment_index", F.col("segment_start_time").alias("start_time"), first.alias("first_value"),
-        none("string").alias("title"), none("string").alias("metadata"), none("bigint").alias("n_chars"),
+        none("string").alias("title"), none("string").alias("metadata"), no_number.alias("n_chars"),
     )
     return films.unionByName(parts)
 
@@ -1300,11 +1302,11 @@ def own_oracle_sql() -> dict[str, str]:
             UNION ALL SELECT video_id, NULL, CASE WHEN size = 0 THEN 'Input file missing or empty: ' || video_id
                 ELSE 'Unsuitable file type [' || CASE suffix WHEN 'mp3' THEN 'audio' ELSE 'None' END || ']' END
             FROM media WHERE size = 0 OR suffix NOT IN ('mp4', 'mkv')""",
-        "ingest_parquet": """SELECT 'video' AS kind, doc_id::VARCHAR AS video_id, NULL::BIGINT AS segment_index, NULL::DOUBLE AS start_time,
+        "ingest_parquet": """SELECT 'video' AS kind, doc_id::VARCHAR AS video_id, (-1)::BIGINT AS segment_index, NULL::DOUBLE AS start_time,
                 NULL::DOUBLE AS first_value, source AS title,
                 CASE WHEN doc_id % 2 = 0 THEN '{"lang":"' || lang || '","source":"' || source || '"}' ELSE 'n_chars ' || n_chars END AS metadata,
-                length(text)::BIGINT AS n_chars FROM documents
-            UNION ALL SELECT 'segment', label::VARCHAR, vec_id, (vec_id * 5)::DOUBLE, round(embedding[1]::DOUBLE, 6), NULL, NULL, NULL FROM embeddings""",
+                coalesce(length(text), -1)::BIGINT AS n_chars FROM documents
+            UNION ALL SELECT 'segment', label::VARCHAR, vec_id, (vec_id * 5)::DOUBLE, round(embedding[1]::DOUBLE, 6), NULL, NULL, -1 FROM embeddings""",
         "search_log": f"""WITH {HISTORY_SQL},
             segments AS (
                 SELECT video_id, video_id || '-' || segment_index AS segment_id, {letters_sql('segment_text')} AS vector FROM (
