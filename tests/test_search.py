@@ -215,3 +215,23 @@ def test_bounds_travel_from_round_to_round(spark, monkeypatch, clustered):
     # without bounds all 40 cells would give their best k hits, 800 for each query
     assert max(n for n, _ in merged) <= (4 if clustered else 6) * k * 100
     assert sum(n for n, _ in merged) <= 12 * k * 100
+
+
+def test_blocks_of_a_search_grow_with_their_cell(spark):
+    """A query has k hits in every segment block: their number must not follow the rows."""
+    draw = np.random.default_rng(11)
+    rows = spark.createDataFrame([(i, draw.normal(size=4).tolist()) for i in range(1500)], "id int, vector array<double>")
+    cell = F.lit(0).alias("cell")
+    left, right = rows.select(F.col("id").alias("query_id"), "vector", cell), rows.select(F.col("id").alias("segment_id"), "vector", cell)
+    hits, pairs = search._grid_hits(left, right, 5, "l2", "l2", block_rows=8)
+    assert pairs <= search.QUERY_BLOCKS * search.SEGMENT_BLOCKS
+    assert hits.count() <= 1500 * 5 * search.SEGMENT_BLOCKS
+
+
+def test_registered_searches_ask_every_twentieth_row(spark):
+    import __spark_entry__ as entry
+    from tests.conftest import SF
+
+    for name in ("knn_join", "search_grouped"):
+        asked = {r["query_id"] for r in entry.queries()[name](spark, SF).select("query_id").distinct().collect()}
+        assert asked == {i for i in range(500) if i % 20 == 0}
