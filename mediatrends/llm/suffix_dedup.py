@@ -36,6 +36,19 @@ MIN_BYTES = 200
 CHUNK_BYTES = 4 << 20
 BUCKET_BYTES = 24 << 20  # bytes of text for each suffix bucket, at least
 
+# A row is a chunk of megabytes. Parquet would first look at the size of a page after 100 rows and read 4096 at a time, and
+# lists of answers would be held for 1000 chunks before they are sorted; here all three are bounded in bytes.
+_WRITING = {
+    "spark__sql__parquet__compression__codec": "zstd",
+    "parquet__block__size": str(16 << 20),
+    **{f"parquet__{part}__size__row__check__{end}": "1" for part in ("block", "page") for end in ("min", "max")},
+}
+_READING = {
+    "spark__sql__execution__arrow__maxRecordsPerBatch": "2",  # of chunks
+    "spark__sql__parquet__columnarReaderBatchSize": "4",
+    "spark__sql__objectHashAggregate__sortBased__fallbackThreshold": "16",
+}
+
 # Perfect difference sets. Every difference modulo the period occurs once among the residues.
 COVERS = {
     7: (0, 1, 3),
@@ -305,7 +318,8 @@ def _with_answers(chunks: DataFrame, answers: list[DataFrame]) -> DataFrame:
     for more in answers[1:]:
         together = together.unionByName(more)
     by_chunk = together.groupBy("chunk").agg(F.collect_list(F.struct("step", "bucket", "answer")).alias("answers"))
-    return chunks.join(by_chunk, "chunk", "left")
+    # answers are far smaller in their files than in a list: never broadcast them
+    return chunks.join(by_chunk.hint("merge"), "chunk", "left")
 
 
 def _results(chunks: DataFrame, id_type: str, min_bytes: int, texts: bool) -> DataFrame:
@@ -356,9 +370,9 @@ def remove_repeats(
     id_type = type_of(docs, id_col)
     with job(spark) as scope:
         chunks_of = _chunks(text_rows(docs, id_col, text_col), id_type, chunk_bytes)
-        with settings(spark, spark__sql__parquet__compression__codec="zstd"):
+        with settings(spark, **_WRITING):
             chunks = materialize(chunks_of, "chunks")
-        with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch="2"):  # of chunks
+        with settings(spark, **_READING):
             total = chunks.agg(F.sum("size")).first()[0] or 0
             n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
             answers: list[DataFrame] = []

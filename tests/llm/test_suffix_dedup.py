@@ -70,3 +70,31 @@ def test_long_document_is_a_chunk(spark):
     long_ = "".join(draw.choice("abcdefgh") for _ in range(200_000))
     got = found(spark.createDataFrame([(1, long_), (2, "x" + long_[1000:1300] + "y")], SCHEMA), chunk_bytes=10_000)
     assert got[1][1:3] == (300, 1) and got[2][1:3] == (300, 1)
+
+
+def test_chunks_are_written_in_small_groups(spark, monkeypatch):
+    """A task writes and reads a few chunks at a time, however many it has."""
+    import glob
+    import random
+
+    import pyarrow.parquet as pq
+
+    from mediatrends.llm import suffix_dedup
+
+    groups, plain = [], suffix_dedup.materialize
+
+    def written(df, name):
+        table = plain(df, name)
+        if name == "chunks":
+            for path in glob.glob(f"{table.scratch_path}/*.parquet"):
+                info = pq.ParquetFile(path).metadata
+                groups.extend(info.row_group(i).num_rows for i in range(info.num_row_groups))
+        return table
+
+    monkeypatch.setattr(suffix_dedup, "materialize", written)
+    draw = random.Random(3)
+    rows = [(i, draw.randbytes(500_000).hex()) for i in range(45)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = suffix_dedup.remove_repeats(docs, chunk_bytes=1 << 20)
+    assert found.agg({"n_removed": "sum"}).first()[0] == 0 and found.count() == 45
+    assert sum(groups) == 45 and max(groups) <= 36
