@@ -280,3 +280,30 @@ def test_silhouette_sends_resident_blocks_once(spark, monkeypatch, block_rows, c
 def test_blocks_are_sized_by_bytes(spark):
     wide = spark.createDataFrame([(1, [0.0] * 1536)], "id long, vector array<double>")
     assert validity._rows_of(wide) == (8 << 20) // (8 * 1536) and validity._rows_of(frame(spark, POINTS).withColumnRenamed("embedding", "vector")) == 4096
+
+
+@pytest.mark.parametrize("options", [{}, {"n_blocks": 3}, {"n_blocks": 5, "prune": True, "block_rows": 20}])
+@pytest.mark.parametrize("metric, eps", [("cosine", 0.02), ("l2", 0.3)])
+def test_linked_tells_class_and_links(spark, metric, eps, options):
+    from mediatrends.operators.dbscan import linked
+
+    near = brute.distances(POINTS, metric) <= eps
+    np.fill_diagonal(near, False)
+    label, _ = brute.dbscan(POINTS, eps, 1, metric)
+    least = {c: int(np.flatnonzero(label == c)[0]) for c in set(label.tolist())}
+    got = {r["id"]: (r["component_id"], r["n_links"]) for r in linked(frame(spark, POINTS), eps, metric, **options).collect()}
+    assert got == {i: (least[label[i]], int(near[i].sum())) for i in range(len(POINTS))}
+
+
+def test_blocks_grow_with_the_table(spark):
+    """A row meets every block, so small blocks must not make their number follow the rows."""
+    from mediatrends.operators import blocks
+
+    rows = frame(spark, rng.normal(size=(3000, 16))).select(F.col("id").alias("row"), F.col("embedding").alias("vector"))
+    for prune in (False, True, None):
+        made = block_pairs(rows, "cosine", 0.65, block_rows=8, n_blocks=12, prune=prune)
+        copies = made._tiles(made.points).groupBy("row").count()
+        assert copies.agg(F.sum("count")).first()[0] <= 2 * blocks.BLOCKS * 3000
+    # vectors without clusters are not cut into cells, since every cell would meet all others
+    made = block_pairs(rows, "cosine", 0.9, block_rows=100, n_blocks=30)
+    assert made.n_tiles is None and made.n_blocks == 30
