@@ -1,8 +1,9 @@
 """Near-duplicates by similarity: sets of 5-word shingles whose Jaccard similarity is at least 0.8.
 
 A signature has 64 positional bytes, the least of 64 hashes over the shingles of a text. Texts that share the 4 bytes
-of any of 16 choices meet in a list: at similarity 0.8 all but about one pair in 4,800 do. The pairs of a list are then
-compared by their whole shingle sets, so no pair below 0.8 is linked.
+of any of 16 choices meet in a list: at similarity 0.8 all but about one pair in 4,800 do. So do texts whose SimHash
+fingerprints over the same shingles are connected at 3 or fewer differing bits. The pairs of a list are then compared by
+their whole shingle sets, so no pair below 0.8 is linked.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediatrends.llm.common import job, join_unique, materialize, row_key, text_rows, type_of
-from mediatrends.llm.simhash import _LOWER, SEED, keep_rows
+from mediatrends.llm.simhash import _LOWER, SEED, fingerprint, keep_rows, link_edges
 from mediatrends.operators.components import connected_components
 
 SHINGLE = 5
@@ -61,10 +62,13 @@ def signature(hashes: np.ndarray) -> np.ndarray:
 
 def _signed(batches):
     for batch in batches:
-        sets = [shingles(t) for t in batch["text"].to_pylist()]
+        texts = batch["text"].to_pylist()
+        sets = [shingles(t) for t in texts]
         names = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
         signs = pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch["id"], batch["text_key"], pa.array(names), signs], names=["id", "text_key", "fp", "sign"])
+        bits = pa.array(np.array([fingerprint(t, SHINGLE) for t in texts], np.uint64).view(np.int64))
+        columns = [batch["id"], batch["text_key"], pa.array(names), signs, bits]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "text_key", "fp", "sign", "bits"])
 
 
 def _posted(batches):
@@ -77,6 +81,16 @@ def _posted(batches):
         )
 
 
+def _fingerprint_lists(signed: DataFrame) -> DataFrame:
+    """The list of each signature's fingerprint: one behind the choices for each component of near fingerprints."""
+    given = signed.select("fp", "bits")
+    edges = materialize(link_edges(given.select(F.col("bits").alias("fp")).distinct()), "near_bits")
+    near = connected_components(edges).withColumnRenamed("id", "bits")
+    # components that share a list are compared for nothing, and lose nothing
+    name = F.pmod(F.xxhash64(F.coalesce("component", "bits")), F.lit(1 << 32)) + F.lit(CHOICES << 32)
+    return given.join(near, "bits", "left").select(name.alias("list"), "fp")
+
+
 def _sets(batches):
     for batch in batches:
         found = [shingles(t).tobytes() for t in batch["text"].to_pylist()]
@@ -218,21 +232,23 @@ class _Linker:
 
 
 def similar_roots(by_fp: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``fp`` and ``root`` of the signatures (``fp``, ``sign``) that share a list with another one.
+    """``fp`` and ``root`` of the signatures (``fp``, ``sign``, ``bits``) that share a list with another one.
 
     The lists of the first choices link most of what is similar; of the others only lists whose members are not linked
     yet are compared. A list is first compared part by part. If it has several, the most common sets of every part, and
     then the members outside its largest component, are compared with all others: of two members that are not linked one
     is always among these. So a cluster of copies costs its members times its parts' few pivots, not all pairs of parts.
     """
-    posted = materialize(by_fp.filter("sign IS NOT NULL").select("fp", "sign").mapInArrow(_posted, "list bigint, fp bigint"), "posted")
+    signed = by_fp.filter("sign IS NOT NULL")
+    posted = signed.select("fp", "sign").mapInArrow(_posted, "list bigint, fp bigint").unionByName(_fingerprint_lists(signed))
+    posted = materialize(posted, "posted")
     lists = materialize(posted.groupBy("list").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "lists")
     parts = F.ceil(F.col("n") / PART).cast("int").alias("parts")
     members = materialize(join_unique(posted, lists, "list", F.col("n")).select("list", "fp", parts), "members")
     sets = materialize(sets_of(members.select("fp").distinct()), "shingles")
     has_long = not members.filter("parts > 1").isEmpty()
     linker = _Linker(members)
-    for first, last in ((0, FIRST_CHOICES), (FIRST_CHOICES, CHOICES)):
+    for first, last in ((0, FIRST_CHOICES), (FIRST_CHOICES, CHOICES + 1)):  # fingerprints last
         mine = f"list >> 32 >= {first} AND list >> 32 < {last}"
         open_ = linker.open_lists(mine)
         held = linker.rooted.filter(mine).join(open_, "list")
@@ -262,9 +278,9 @@ def keep_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     with job(docs.sparkSession) as scope:
         rows = text_rows(docs, id_col, text_col).withColumn("text_key", F.xxhash64("text"))
         kind = type_of(docs, id_col)
-        signed = rows.mapInArrow(_signed, f"id {kind}, text_key bigint, fp bigint, sign binary")
+        signed = rows.mapInArrow(_signed, f"id {kind}, text_key bigint, fp bigint, sign binary, bits bigint")
         first = F.struct(F.col("id").isNull().alias("no_id"), "id", "text_key")
-        by_fp = materialize(signed.groupBy("fp").agg(F.min(first).alias("first"), F.min("sign").alias("sign")), "signed")
+        by_fp = materialize(signed.groupBy("fp").agg(F.min(first).alias("first"), F.min("sign").alias("sign"), F.min("bits").alias("bits")), "signed")
 
         def sets_of(wanted: DataFrame) -> DataFrame:
             # one row tells the shingles of all rows with the same ones; it is found by id and text, not by text alone,

@@ -65,3 +65,16 @@ def test_clashing_columns_come_back_unchanged(spark):
     rows = [(i, "some words that are here for the test", *range(8)) for i in range(3)] + [(9, "other", *range(8))]
     docs = spark.createDataFrame(rows, SCHEMA + "".join(f", {n} int" for n in names))
     assert sorted(map(tuple, keep_similar(docs).collect())) == [rows[0], rows[3]]
+
+
+def test_near_fingerprints_are_compared(spark):
+    # no signature shares a choice: only the fingerprints of the first three are near
+    draw = random.Random(1)
+    base = list(range(1, 101))
+    sets = {1: base, 2: [*base[:-2], 500, 501], 3: list(range(1000, 1100)), 4: [*base[:-2], 600, 601]}
+    bits = {1: 0b0, 2: 0b101, 3: 0b11, 4: -1}
+    by_fp = spark.createDataFrame([(fp, bytearray(draw.randbytes(64)), bits[fp]) for fp in sets], "fp long, sign binary, bits long")
+    stored = [(fp, bytearray(b"".join(x.to_bytes(8, "little") for x in s))) for fp, s in sets.items()]
+    shingles = spark.createDataFrame(stored, "fp long, shingles binary")
+    roots = {r.fp: r.root for r in similar.similar_roots(by_fp, lambda wanted: shingles.join(wanted, "fp", "left_semi")).collect()}
+    assert roots[1] == roots[2] == 1 and roots[3] == 3 and roots.get(4, 4) == 4
