@@ -307,3 +307,17 @@ def test_blocks_grow_with_the_table(spark):
     # vectors without clusters are not cut into cells, since every cell would meet all others
     made = block_pairs(rows, "cosine", 0.9, block_rows=100, n_blocks=30)
     assert made.n_tiles is None and made.n_blocks == 30
+
+
+def test_silhouette_blocks_grow_with_the_table(spark, monkeypatch):
+    """Every row passes every block: small blocks must not make their number follow the rows."""
+    x = rng.normal(size=(1500, 3)) + 8 * np.eye(3)[np.arange(1500) % 3]
+    label, sent, plain = np.arange(1500) % 3, [], validity._exchange
+
+    def counted(resident, streamed, *more):
+        sent.append(streamed.select("right_block").distinct().count())
+        return plain(resident, streamed, *more)
+
+    monkeypatch.setattr(validity, "_exchange", counted)
+    got = validity.silhouette(labelled(spark, x, label), block_rows=8).first()[0]
+    assert got == pytest.approx(brute.silhouette(x, label), abs=1e-7) and sent[0] <= validity.BLOCKS + 3
