@@ -193,14 +193,14 @@ def _part(parts: Column) -> Column:
 
 
 def _across(chosen: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Edges between the ``chosen`` members of some lists (``list``, ``fp``, ``root``) and all ``members`` of these lists.
+    """Edges between the ``chosen`` members of some lists and all ``members`` of these lists (``list``, ``parts``, ``fp``, ``root``).
 
     Both are cut into parts, and a tile is a part of each; a member's shingles are sent once for each part of the chosen.
     """
     n_chosen = chosen.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("chosen_parts"))
-    sized = members.join(n_chosen, "list")  # lists are many and short, or few and split by adaptive execution
-    all_ = sized.withColumn("part", _part(F.col("parts"))).withColumn("a", F.explode(F.sequence(F.lit(0), F.col("chosen_parts") - 1)))
-    picked = chosen.join(sized.select("list", "fp", "parts", "chosen_parts"), ["list", "fp"]).withColumn("a", _part(F.col("chosen_parts")))
+    n_chosen = F.broadcast(materialize(n_chosen, "chosen"))  # a row for each list that is longer than a part
+    all_ = members.join(n_chosen, "list").withColumn("part", _part(F.col("parts"))).withColumn("a", F.explode(F.sequence(F.lit(0), F.col("chosen_parts") - 1)))
+    picked = chosen.join(n_chosen, "list").withColumn("a", _part(F.col("chosen_parts")))
     picked = picked.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     columns = ["list", "a", "part", "fp", "root"]
     dealt = all_.select(*columns, F.lit(False).alias("is_chosen")).unionByName(picked.select(*columns, F.lit(True).alias("is_chosen")))
@@ -251,21 +251,21 @@ def similar_roots(by_fp: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -
     for first, last in ((0, FIRST_CHOICES), (FIRST_CHOICES, CHOICES + 1)):  # fingerprints last
         mine = f"list >> 32 >= {first} AND list >> 32 < {last}"
         open_ = linker.open_lists(mine)
-        held = linker.rooted.filter(mine).join(open_, "list")
+        held = materialize(linker.rooted.filter(mine).join(open_.select("list"), "list"), "held")  # read by each step below
         inside = held.withColumn("part", _part(F.col("parts"))).select("list", "part", "parts", "fp", "root")
         inside = inside.join(sets, "fp").repartition("list", "part").sortWithinPartitions("list", "part")
         found = materialize(inside.mapInArrow(_linked_inside, _EDGES), "links")
         if not has_long:
             linker.add(found)
             continue
-        long_ = held.filter("parts > 1").drop("most")
-        pivots = long_.join(found.filter("dst IS NULL").select("list", F.col("src").alias("fp")), ["list", "fp"])
-        linker.add(found, materialize(_across(pivots.select("list", "fp", "root"), long_, sets), "links"))
+        long_ = held.filter("parts > 1")
+        pivots = materialize(long_.join(found.filter("dst IS NULL").select("list", F.col("src").alias("fp")), ["list", "fp"]), "pivots")
+        linker.add(found, materialize(_across(pivots, long_, sets), "links"))
         open_ = linker.open_lists(f"parts > 1 AND {mine}")
         if not open_.isEmpty():
-            held = linker.rooted.join(open_, "list")
-            apart = held.filter(F.col("root") != F.col("most")).select("list", "fp", "root")
-            linker.add(materialize(_across(apart, held.drop("most"), sets), "links"))
+            held = materialize(linker.rooted.join(open_, "list"), "held")
+            apart = held.filter(F.col("root") != F.col("most"))
+            linker.add(materialize(_across(apart, held, sets), "links"))
     return linker.rooted.select("fp", "root").distinct()
 
 

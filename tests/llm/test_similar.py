@@ -78,3 +78,21 @@ def test_near_fingerprints_are_compared(spark):
     shingles = spark.createDataFrame(stored, "fp long, shingles binary")
     roots = {r.fp: r.root for r in similar.similar_roots(by_fp, lambda wanted: shingles.join(wanted, "fp", "left_semi")).collect()}
     assert roots[1] == roots[2] == 1 and roots[3] == 3 and roots.get(4, 4) == 4
+
+
+def test_members_of_long_lists_are_joined_once(spark, monkeypatch):
+    # what each step reads is a table, not the join that made it, and the rows come out the same
+    monkeypatch.setattr(similar, "PART", 8)
+    draw, plans = random.Random(4), []
+    hub = words(draw, 80)
+    rows = [(i, " ".join([*hub[:i], f"y{i}", *hub[i + 1 :]])) for i in range(40)] + [(50, " ".join(words(draw, 80)))]
+    across = similar._across
+
+    def seen(chosen, members, sets):
+        plans.extend(df._jdf.queryExecution().optimizedPlan().toString() for df in (chosen, members))
+        return across(chosen, members, sets)
+
+    monkeypatch.setattr(similar, "_across", seen)
+    got = {r.doc_id for r in keep_similar(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == first_similar(rows) == {0, 50}
+    assert plans and not [p for p in plans if "Join" in p]
