@@ -321,3 +321,48 @@ def test_silhouette_blocks_grow_with_the_table(spark, monkeypatch):
     monkeypatch.setattr(validity, "_exchange", counted)
     got = validity.silhouette(labelled(spark, x, label), block_rows=8).first()[0]
     assert got == pytest.approx(brute.silhouette(x, label), abs=1e-7) and sent[0] <= validity.BLOCKS + 3
+
+
+def side_of(x, **columns):
+    import pyarrow as pa
+
+    from mediatrends.operators.blocks import Side
+
+    return Side(pa.table({"row": np.arange(len(x)), "vector": pa.array(x.tolist(), pa.list_(pa.float64())), **columns}))
+
+
+def test_forests_send_one_edge_a_point_and_density():
+    from mediatrends.operators.dbscan import _core_forest
+
+    eps_list = [0.1, 0.2, 0.3, 0.4, 0.6]
+    d = brute.distances(POINTS, "l2")
+    core = [np.array([next((i for i, e in enumerate(eps_list) if (row <= e).sum() >= m), 5) for row in d]) for m in (2, 5)]
+    side = side_of(POINTS, core0=core[0], core1=core[1])
+    kernel, _ = _core_forest("l2", eps_list, 2)
+    sent = [(s, at, u, v) for found in kernel(side, side) for s, at, u, v in zip(*(found[c].tolist() for c in ("setting", "level", "src", "dst")))]
+    assert len({(s, u) for s, _, u, _ in sent}) == len(sent) < 2 * len(POINTS)
+    for s, m in enumerate((2, 5)):
+        for level, eps in enumerate(eps_list):
+            root = list(range(len(POINTS)))
+            for _, _, u, v in sorted(e for e in sent if e[0] == s and e[1] <= level):
+                root = [root[v] if r == root[u] else r for r in root]
+            label, is_core = brute.dbscan(POINTS, eps, m, "l2")
+            at = np.flatnonzero(is_core)
+            assert len({(root[i], label[i]) for i in at}) == len({root[i] for i in at}) == len({label[i] for i in at})
+
+
+def test_borders_are_looked_for_where_points_are_not_core(monkeypatch):
+    import pyarrow as pa
+
+    from mediatrends.operators import dbscan as module
+
+    eps_list, none = [0.1, 0.2, 0.5], int(module.NO_CLUSTER)
+    x = np.array([[0.0], [0.15], [0.35]])
+    # row 1 is not core at the first two radii, row 2 at the first only
+    roots = [[0, 0, 0], [none, none, 0], [none, 2, 0]]
+    side, reach = side_of(x, roots=pa.array(roots, pa.list_(pa.int64()))), []
+    steps = module.close_steps
+    monkeypatch.setattr(module, "close_steps", lambda a, b, metric, most: reach.append(most) or steps(a, b, metric, most))
+    kernel, _ = module._border_roots("l2", eps_list, [0, 1, 2])
+    found = [r for f in kernel(side, side) for r in zip(*(f[c].tolist() for c in ("config", "row", "root")))]
+    assert found == [(1, 1, 0)] and reach == [0.2]
