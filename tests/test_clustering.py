@@ -366,3 +366,9 @@ def test_borders_are_looked_for_where_points_are_not_core(monkeypatch):
     kernel, _ = module._border_roots("l2", eps_list, [0, 1, 2])
     found = [r for f in kernel(side, side) for r in zip(*(f[c].tolist() for c in ("config", "row", "root")))]
     assert found == [(1, 1, 0)] and reach == [0.2]
+
+
+def test_blocks_of_many_clusterings_grow(spark):
+    rows = [(k, i, [float(i)]) for k, n in ((0, 100), (1, 7)) for i in range(n)]
+    points = spark.createDataFrame(rows, "config int, row long, vector array<double>")
+    assert validity._grown(points, 2, ["config"]) == 13 and validity._grown(points, 50, ["config"]) == 50
