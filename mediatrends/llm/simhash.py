@@ -26,6 +26,8 @@ SEED = 42
 MAX_BITS = 3
 BYTES = 8
 SHARED = BYTES - MAX_BITS
+# A bucket holds about this many fingerprints for each choice; a task deals at most a chunk of them at a time.
+BUCKET, CHUNK = 1 << 16, 1 << 20
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -69,13 +71,25 @@ def _mix(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(29))
 
 
+def _chunks(batches):
+    """The fingerprints of a task, in as few arrays of about CHUNK rows as hold them."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch["fp"].to_numpy(zero_copy_only=False).view(np.uint64))
+        n += len(held[-1])
+        if n >= CHUNK:
+            yield np.concatenate(held)
+            held, n = [], 0
+    if n:
+        yield np.concatenate(held)
+
+
 def _postings(n_buckets: int):
-    """Deal every fingerprint to the bucket of each of its 56 keys, as one array for a batch and bucket."""
+    """Deal every fingerprint to the bucket of each of its 56 keys, as one array for a chunk and bucket."""
     masks = [np.uint64(m) for m in _masks()]
 
     def run(batches):
-        for batch in batches:
-            values = batch["fp"].to_numpy(zero_copy_only=False).view(np.uint64)
+        for values in _chunks(batches):
             for i, mask in enumerate(masks):
                 part = (_mix(values & mask) % np.uint64(n_buckets)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
@@ -169,9 +183,9 @@ def link_edges(fps: DataFrame) -> DataFrame:
     """Edges ``src``, ``dst`` that connect the different fingerprints ``fp`` linked at 3 or fewer bits.
 
     They are a spanning set of the links, not all of them: their components are those of all links.
+    ``fps`` is a table, read twice. Its rows alone set the number of buckets, whatever the shuffle partitions.
     """
-    spark = fps.sparkSession
-    n_buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
+    n_buckets = max(1, -(-fps.count() // BUCKET))
     masks = _masks()
 
     def run(table: pa.Table) -> pa.Table:

@@ -84,7 +84,8 @@ def _posted(batches):
 def _fingerprint_lists(signed: DataFrame) -> DataFrame:
     """The list of each signature's fingerprint: one behind the choices for each component of near fingerprints."""
     given = signed.select("fp", "bits")
-    edges = materialize(link_edges(given.select(F.col("bits").alias("fp")).distinct()), "near_bits")
+    different = materialize(given.select(F.col("bits").alias("fp")).distinct(), "bits")
+    edges = materialize(link_edges(different), "near_bits")
     near = connected_components(edges).withColumnRenamed("id", "bits")
     # components that share a list are compared for nothing, and lose nothing
     name = F.pmod(F.xxhash64(F.coalesce("component", "bits")), F.lit(1 << 32)) + F.lit(CHOICES << 32)

@@ -1,9 +1,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from mediatrends.llm import simhash
 from mediatrends.llm.simhash import _links, _masks, fingerprint, keep_one, simhash_components
+from mediatrends.session import materialize, scratch_scope
 from tests.conftest import SF
 from tests.llm import plain
 
@@ -82,3 +85,37 @@ def test_large_group_of_copies_and_long_text(spark):
     rows = [(i, "the very same text here") for i in range(2000)] + [(5000, text), (4000, text + ".")]
     got = {r.doc_id: r.component_id for r in simhash_components(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got[1999] == 0 and got[5000] == 4000
+
+
+@pytest.mark.parametrize("bucket, most", [(1 << 16, 1), (40, 10)])
+def test_postings_follow_the_fingerprints_not_the_partitions(spark, monkeypatch, bucket, most):
+    # many shuffle partitions once made a row for each task, choice and eighth of the partitions
+    draw, dealt = random.Random(2), []
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
+    postings = simhash._postings
+    monkeypatch.setattr(simhash, "_postings", lambda n: dealt.append(n) or postings(n))
+    core = [draw.getrandbits(64) for _ in range(100)]
+    fps = sorted({c ^ sum(1 << b for b in draw.sample(range(64), n)) for c in core for n in (0, 1, 2, 3)})
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "211")
+    try:
+        with scratch_scope(spark):
+            signed = np.array(fps, np.uint64).view(np.int64).tolist()
+            given = materialize(spark.createDataFrame([(f,) for f in signed], "fp long").coalesce(1), "fps")
+            edges = np.array([tuple(r) for r in simhash.link_edges(given).collect()], np.int64)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert dealt == [most]
+    got, want = _joined(edges, fps), dict(zip(fps, plain.groups(fps)))
+    assert len({(got[f], want[f]) for f in fps}) == len(set(got.values())) == len(set(want.values())) < len(fps)
+
+
+def test_a_task_deals_one_array_for_a_bucket():
+    draw = random.Random(6)
+    values = np.array(sorted(draw.getrandbits(63) for _ in range(1000)), np.int64)
+    batches = [pa.RecordBatch.from_arrays([pa.array(v)], names=["fp"]) for v in np.split(values, 10)]
+    rows = [r for b in simhash._postings(3)(batches) for r in b.to_pylist()]
+    assert len(rows) == len({r["bucket"] for r in rows}) == 56 * 3
+    for choice in range(56):
+        members = b"".join(r["members"] for r in rows if r["choice"] == choice)
+        assert sorted(np.frombuffer(members, np.int64)) == values.tolist()
