@@ -228,10 +228,19 @@ def test_blocks_of_a_search_grow_with_their_cell(spark):
     assert hits.count() <= 1500 * 5 * search.SEGMENT_BLOCKS
 
 
-def test_registered_searches_ask_every_twentieth_row(spark):
+@pytest.mark.parametrize("name", ["knn_join", "knn_join_l2", "knn_join_blocked", "search_grouped", "ivf_search_all_cells", "ivf_search"])
+def test_registered_searches_ask_every_row(spark, name, tmp_path):
     import __spark_entry__ as entry
-    from tests.conftest import SF
 
-    for name in ("knn_join", "search_grouped"):
-        asked = {r["query_id"] for r in entry.queries()[name](spark, SF).select("query_id").distinct().collect()}
-        assert asked == {i for i in range(500) if i % 20 == 0}
+    draw = np.random.default_rng(21)
+    rows = [(i, draw.normal(size=4).tolist(), i % 3) for i in range(130)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    asked = {r["query_id"] for r in entry.queries()[name](spark, str(tmp_path)).select("query_id").distinct().collect()}
+    assert asked == {i for i, _, _ in rows}
+    sql = entry.oracle_sql().get(name)
+    if sql:
+        import duckdb
+
+        db = duckdb.connect()
+        db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+        assert {r[0] for r in db.execute(f"SELECT DISTINCT query_id FROM ({sql})").fetchall()} == asked
