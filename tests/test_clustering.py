@@ -243,6 +243,33 @@ def test_close_steps_equal_all_distances(metric, reach):
         assert sorted(got) == sorted(zip(*(v.tolist() for v in np.nonzero(d <= reach))))
 
 
+@pytest.mark.parametrize("metric, eps_list", [("cosine", [0.1, 0.3, 1.2]), ("l2", [1.0, 1.3, 1.6])])
+def test_close_levels_equal_all_distances(monkeypatch, metric, eps_list):
+    """The first radius that covers a pair, at the price of a few distances in double."""
+    import pyarrow as pa
+
+    from mediatrends.operators import blocks
+
+    x = np.random.default_rng(17).normal(size=(400, 16)) / 4
+    x[200:210] = x[:10]
+    x[11] = 0.0
+
+    def side(rows):
+        return blocks.Side(pa.table({"row": pa.array(np.arange(len(rows))), "vector": pa.array(rows.tolist(), pa.list_(pa.float64()))}))
+
+    computed, plain = [], blocks._Prefix.distances
+    monkeypatch.setattr(blocks._Prefix, "distances", lambda self, i, j: computed.append(len(i)) or plain(self, i, j))
+    a, b = side(x[:200]), side(x[200:])
+    for left, right in ((a, b), (b, a), (a, a)):
+        d = blocks.pairwise(left.vectors, right.vectors, metric)
+        if left is right:
+            np.fill_diagonal(d, 0.0)
+        want = np.searchsorted(eps_list, d)
+        got = {(i, j): l for x, y, z in blocks.close_levels(left, right, metric, eps_list) for i, j, l in zip(x.tolist(), y.tolist(), z.tolist())}
+        assert got == {(i, j): want[i, j] for i, j in zip(*(v.tolist() for v in np.nonzero(want < len(eps_list))))}
+    assert 0 < sum(computed) < 0.02 * 3 * 200 * 200
+
+
 def test_points_go_to_neighbouring_cells_only(spark):
     """A line of clouds: a point is copied to its own cell and to the cell before, however many cells there are."""
     cloud = np.concatenate([np.array([10.0 * c, 0.0]) + rng.normal(scale=0.5, size=(30, 2)) for c in range(40)])
