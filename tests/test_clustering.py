@@ -270,6 +270,33 @@ def test_close_levels_equal_all_distances(monkeypatch, metric, eps_list):
     assert 0 < sum(computed) < 0.02 * 3 * 200 * 200
 
 
+def test_joined_points_do_not_meet_again(spark, monkeypatch):
+    """Points of one large cluster are joined by few pairs of blocks; all others still meet every point."""
+    from mediatrends.operators import dbscan as module
+
+    draw = np.random.default_rng(23)
+    x = np.concatenate([draw.normal(scale=0.3, size=(500, 2)), draw.normal(scale=0.3, size=(60, 2)) + 6, draw.uniform(-4, 9, size=(60, 2))])
+    order = draw.permutation(len(x))
+    x, eps_list, settings, sent = x[order], [0.2, 0.35, 0.8], [2, 4, 9], []
+    plain = module.tile_pairs
+
+    def counted(left, right, *more):
+        sent.append((left.count(), right.count()))
+        return plain(left, right, *more)
+
+    monkeypatch.setattr(module, "tile_pairs", counted)
+    got = grid.dbscan_grid(frame(spark, x), eps_list, settings, "l2", n_blocks=12).collect()
+    assert len(got) == 9 and len(sent) == 2 and all(0 < left < 0.5 * right for left, right in sent)
+    for r in got:
+        label, _ = brute.dbscan(x, r["eps"], r["min_samples"], "l2")
+        assert (r["num_clusters"], r["noise_count"]) == (label.max() + 1, (label < 0).sum())
+    assert len({(r["num_clusters"], r["noise_count"]) for r in got}) > 5
+    for eps, m in ((0.35, 4), (0.8, 9)):
+        label, _ = brute.dbscan(x, eps, m, "l2")
+        found = dbscan(frame(spark, x), eps, m, "l2", n_blocks=12).orderBy("id").collect()
+        assert [r["label"] for r in found] == label.tolist()
+
+
 def test_points_go_to_neighbouring_cells_only(spark):
     """A line of clouds: a point is copied to its own cell and to the cell before, however many cells there are."""
     cloud = np.concatenate([np.array([10.0 * c, 0.0]) + rng.normal(scale=0.5, size=(30, 2)) for c in range(40)])
