@@ -270,6 +270,18 @@ def test_close_levels_equal_all_distances(monkeypatch, metric, eps_list):
     assert 0 < sum(computed) < 0.02 * 3 * 200 * 200
 
 
+@pytest.mark.parametrize("kind", [int, str])
+def test_silhouette_block_finds_its_own_rows(kind):
+    """Rows are looked up in the block, not compared with each of it; repeated ones are all found."""
+    import pyarrow as pa
+
+    held = [kind(i) for i in (5, 3, 9, 3, 7)]
+    columns = validity._Columns(pa.table({"row": held, "vector": [[1.0, float(i)] for i in range(5)], "label": [0, 1, 0, 1, 1], "size": [2.0, 3.0, 2.0, 3.0, 3.0], "weight": [1.0] * 5, "whole": [True] * 5}))
+    asked = np.array([kind(i) for i in (3, 4, 9)], dtype=object if kind is str else None)
+    row, place = columns.same(asked)
+    assert sorted(zip(row.tolist(), columns.rows[place].tolist())) == [(0, kind(3)), (0, kind(3)), (2, kind(9))]
+
+
 def test_joined_points_do_not_meet_again(spark, monkeypatch):
     """Points of one large cluster are joined by few pairs of blocks; all others still meet every point."""
     from mediatrends.operators import dbscan as module
