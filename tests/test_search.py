@@ -67,6 +67,21 @@ def test_many_queries_in_steps(segments, queries, monkeypatch):
     assert run() == exact and run(ship_limit=0, block_rows=90) == exact
 
 
+@pytest.mark.parametrize("kind", [int, str])
+def test_hits_are_merged_a_few_times(monkeypatch, kind):
+    """Many batches of segments: found hits wait until there are as many as are kept."""
+    draw = np.random.default_rng(31)
+    x, k, calls, plain = draw.integers(0, 4, size=(2000, 3)).astype(float), 10, [], search._best
+    ids = np.array([kind(i) for i in draw.permutation(len(x))])
+    monkeypatch.setattr(search, "_best", lambda *a: calls.append(len(a[0])) or plain(*a))
+    ((query, rank, _, found),) = search._nearest(x[:20], ((ids[i : i + 20], x[i : i + 20]) for i in range(0, len(x), 20)), k, "l2", "l2")
+    d = V.pairwise(x[:20], x, "l2")
+    for q in range(20):
+        want = np.lexsort((ids, d[q]))[:k]
+        assert found[query == q].tolist() == ids[want].tolist() and rank[query == q].tolist() == d[q][want].tolist()
+    assert len(calls) <= 30  # of 100 batches
+
+
 def test_single_query_equals_join(segments, queries):
     vector = queries.filter("query_id = 's003'").first()["embedding"]
     one = search.knn(segments, vector, 20)
